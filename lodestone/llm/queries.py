@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import sentencepiece_codec
+from lodestone.llm import flac, private_data, sentencepiece_codec
 from lodestone.llm.store import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,8 +23,16 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(read(spark, sf_dir, "documents"), model_path())
 
 
+def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.digests(read(spark, sf_dir, "documents"))
+
+
+def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.scan(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_sentencepiece,)}
+    return {f.__name__: f for f in (op3_sentencepiece, op4_flac, op9_private_data)}
 
 
 def oracle_sql() -> dict[str, str]:
