@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import flac, private_data, sentencepiece_codec
+from lodestone.llm import flac, private_data, repeats, sentencepiece_codec, sparse_suffixes
 from lodestone.llm.store import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(read(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(read(spark, sf_dir, "documents"), model_path())
 
@@ -27,12 +31,16 @@ def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digests(read(spark, sf_dir, "documents"))
 
 
+def op7_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse_suffixes.passages(read(spark, sf_dir, "documents"))
+
+
 def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_data.scan(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_sentencepiece, op4_flac, op9_private_data)}
+    return {f.__name__: f for f in (op2_repeats, op3_sentencepiece, op4_flac, op7_sparse_suffixes, op9_private_data)}
 
 
 def oracle_sql() -> dict[str, str]:
