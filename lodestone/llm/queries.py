@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import flac, private_data, repeats, sentencepiece_codec, sparse_suffixes
+from lodestone.llm import flac, private_data, repeats, sentencepiece_codec, set_join, sparse_suffixes
 from lodestone.llm.store import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digests(read(spark, sf_dir, "documents"))
 
 
+def op5_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.join(read(spark, sf_dir, "documents"))
+
+
 def op7_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse_suffixes.passages(read(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_repeats, op3_sentencepiece, op4_flac, op7_sparse_suffixes, op9_private_data)}
+    return {f.__name__: f for f in (op2_repeats, op3_sentencepiece, op4_flac, op5_set_join, op7_sparse_suffixes, op9_private_data)}
 
 
 def oracle_sql() -> dict[str, str]:
