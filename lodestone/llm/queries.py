@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import flac, private_data, repeats, sentencepiece_codec, set_join, sparse_suffixes
+from lodestone.llm import archives, decontaminate, flac, licences, private_data, quality, repeats, sentencepiece_codec, set_join, sparse_suffixes
 from lodestone.llm.store import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read(spark, sf_dir, "documents"))
+
+
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove(read(spark, sf_dir, "documents"))
 
@@ -35,17 +39,30 @@ def op5_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.join(read(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse_suffixes.passages(read(spark, sf_dir, "documents"))
 
 
+def op8_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.round_trip(read(spark, sf_dir, "pages"))
+
+
 def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_data.scan(read(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_repeats, op3_sentencepiece, op4_flac, op5_set_join, op7_sparse_suffixes, op9_private_data)}
+    own = (op1_licences, op2_repeats, op3_sentencepiece, op4_flac, op5_set_join, op6_decontaminate, op7_sparse_suffixes, op8_archives, op9_private_data, op10_quality)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_licences": licences.oracle_sql(), "op6_decontaminate": decontaminate.oracle_sql()}
