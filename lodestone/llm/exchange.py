@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from lodestone.llm.words import U64, Words, buffers, mix, slices
 
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 LISTS = "bucket long, part long, list binary"
 REPLIES = "part long, kind string, bucket long, reply binary"
 _REPLY_ARROW = pa.schema([("part", pa.int64()), ("kind", pa.string()), ("bucket", pa.int64()), ("reply", pa.binary())])
