@@ -24,6 +24,7 @@ SPAN = 8
 WINDOW, PERCENT = 13, 80
 #: Rows of a side that may be broadcast; beyond that it is shuffled.
 BROADCAST_ROWS = 200_000
+BROADCAST_TOKENS = 2_000_000
 _SEPARATORS = r"[\x00-/:-@\[-`{-\x7f]+"
 
 
@@ -41,7 +42,7 @@ def _spaced(frame: DataFrame, key: str, position: str) -> DataFrame:
     return rows.select(key, position, F.inline(seeds))
 
 
-def _small(frame: DataFrame) -> DataFrame:
+def small(frame: DataFrame) -> DataFrame:
     """The frame, for broadcasting if it has few rows: that is counted, one row beyond the bound at most."""
     return F.broadcast(frame) if frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else frame
 
@@ -50,7 +51,7 @@ def alignments(docs: DataFrame, items: DataFrame, key: str, item: str) -> DataFr
     """Distinct (key, item, offset) of seed hits; a document's position is an item's position plus the offset."""
     wanted = _spaced(items, item, "item_at").distinct()
     # a hit of one mask is as good as another's; of a seed that an item holds many times, all places count
-    return _spaced(docs, key, "at").join(_small(cut(wanted)), ["mask", "seed"]).select(key, item, (F.col("at") - F.col("item_at")).alias("offset")).distinct()
+    return _spaced(docs, key, "at").join(small(cut(wanted)), ["mask", "seed"]).select(key, item, (F.col("at") - F.col("item_at")).alias("offset")).distinct()
 
 
 def leaks(frame: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
@@ -60,8 +61,10 @@ def leaks(frame: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     hits = cut(alignments(docs, items.select(item, "t"), key, item))
     hit_docs = hits.select(key).distinct()
     # only documents with hits are split into tokens again
-    own = frame.select(key, text).join(_small(hit_docs), key, "left_semi").select(key, tokens(text).alias("t")).groupBy(key).agg(F.max_by("t", F.struct(F.size("t"), F.col("t"))).alias("t"))
-    pairs = hits.join(_small(items.select(item, "b")), item).join(own, key)
+    own = frame.select(key, text).join(small(hit_docs), key, "left_semi").select(key, tokens(text).alias("t")).groupBy(key).agg(F.max_by("t", F.struct(F.size("t"), F.col("t"))).alias("t"))
+    known = items.select(item, "b")
+    held = items.agg(F.sum(F.size("b")).alias("n")).first()["n"] or 0
+    pairs = hits.join(F.broadcast(known) if held <= BROADCAST_TOKENS else known, item).join(own, key)
     lo, hi = F.greatest(F.col("offset"), F.lit(0)), F.least(F.size("t"), F.col("offset") + F.size("b"))
     pairs = pairs.withColumn("lo", lo).withColumn("n", hi - lo).withColumn("w", F.least(F.lit(window), F.size("b")))
     agree = F.zip_with(F.slice("t", F.col("lo") + 1, F.col("n")), F.slice("b", F.col("lo") - F.col("offset") + 1, F.col("n")), lambda a, b: (a == b).cast("int"))
@@ -75,7 +78,7 @@ def leaks(frame: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 def remove(frame: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The rows of documents that leak nothing, null keys among them, with all their columns."""
     found = cut(leaks(frame, benchmark, key, **options).select(key).distinct())
-    return frame.join(_small(found), key, "left_anti")
+    return frame.join(small(found), key, "left_anti")
 
 
 def oracle_sql(window: int = WINDOW, percent: int = PERCENT) -> str:

@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -307,20 +308,23 @@ def decode(frame: DataFrame, model: str, ids: str = "ids", text: str = "decoded"
     return frame.mapInArrow(run, schema)
 
 
-def digests(frame: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encodes and decodes each whole text in one pass: key, n_tokens, and SHA-256 of the ids and of the decoded text."""
-    schema = T.StructType([frame.schema[key], *T._parse_datatype_string("n_tokens long, ids_sha256 string, decoded_sha256 string")])
+def digests(frame: DataFrame, model: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encodes and decodes each whole text in one pass: key, n_tokens, SHA-256 of the ids and of the decoded text, and the ids if asked for."""
+    schema = T.StructType([frame.schema[key], *T._parse_datatype_string("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         digits = [str(i) for i in range(len(own.texts))]
         for batch in batches:
-            n, a, b = [], [], []
+            n, a, b, all_ids = [], [], [], []
             for x in batch.column(text):
                 ids = own.encode(x.as_py())
                 n.append(len(ids))
+                if with_ids:
+                    all_ids.append(np.array(ids, dtype=np.int32))
                 a.append(hashlib.sha256(",".join([digits[i] for i in ids]).encode()).hexdigest())
                 b.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [batch.column(key), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(all_ids, pa.list_(pa.int32()))] * with_ids, names=[f.name for f in schema])
 
     return frame.select(key, text).mapInArrow(run, schema)
