@@ -1,41 +1,14 @@
-"""Every query of the engine on the star-schema tables, with its SQL twin."""
+"""All queries of the engine on the star-schema tables, with their SQL twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None) -> Callable[[Query], Query]:
-    """Registers a query under its function's name."""
-
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
+from lodestone.plans import catalogue_queries, graph_queries, network_queries, retention_queries, rule_queries, source_queries  # noqa: F401  they register themselves
+from lodestone.plans.registry import QUERIES, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-@query(
-    """SELECT o_orderpriority AS artifact_type, count(*) AS n, sum(CAST(floor(o_totalprice) AS BIGINT)) AS bytes
-    FROM orders GROUP BY o_orderpriority"""
-)
-def storage_stats_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.groupBy(F.col("o_orderpriority").alias("artifact_type")).agg(F.count("*").alias("n"), F.sum(F.floor("o_totalprice").cast("bigint")).alias("bytes"))
+    return dict(SQL)
