@@ -255,7 +255,7 @@ def _links(sets: DataFrame, families: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) within families, enough to connect all that links connect."""
     level = _chunked(sets.join(families.withColumnRenamed("component", "family"), "id"))
     schema = "family long, chunk long, a long, b long"
-    cluster = lambda x: cut(x.select("family", "chunk", "id", "data").groupBy("family", "chunk").applyInArrow(_cluster(percent), schema))
+    cluster = lambda x: cut(x.select("family", "chunk", "id", "data").repartition("family", "chunk").groupBy("family", "chunk").applyInArrow(_cluster(percent), schema))
     first = cluster(level)
     large = cut(level.where("chunks > 1"))
     if large.isEmpty():
@@ -278,7 +278,7 @@ def _links(sets: DataFrame, families: DataFrame, percent: int) -> DataFrame:
     main = sizes.groupBy("family").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("components")).where("components > 1")
     known = cut(known.join(main, "family"))
     minor = known.where("component != main").select("family", "id", "data", "component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("to"), "chunk").where("to != chunk").select("family", F.col("to").alias("chunk"), "id", "data", "component")
-    chunks = known.select("family", "chunk", "id", "data", "component")
+    chunks = known.select("family", "chunk", "id", "data", "component").repartition("family", "chunk")
     return links.union(chunks.groupBy("family", "chunk").cogroup(minor.groupBy("family", "chunk")).applyInArrow(_across(percent), "a long, b long"))
 
 
