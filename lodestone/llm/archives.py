@@ -176,8 +176,11 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     return joined.mapInArrow(run, "file string, records long, bytes long")
 
 
-def read_back(spark: SparkSession, folder: str, key: str = "page_id") -> DataFrame:
-    """One row per record of all archives in the folder: key, payload_bytes, payload_digest, record_type, refers_to. Digests of stored payloads and blocks are verified."""
+def read_back(spark: SparkSession, folder: str, key: str = "page_id", files: DataFrame | None = None) -> DataFrame:
+    """One row per record of the archives in the folder: key, payload_bytes, payload_digest, record_type, refers_to. Digests of stored payloads and blocks are verified.
+
+    files (file) names the archives to read; others, that lost tasks may have left, are passed over.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +203,12 @@ def read_back(spark: SparkSession, folder: str, key: str = "page_id") -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=[key, "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     schema = f"`{key}` long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content").mapInArrow(run, schema)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
+    if files is not None:
+        names = files.select("file").distinct()
+        names = F.broadcast(names) if names.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else names
+        found = found.withColumn("file", F.element_at(F.split("path", "/"), -1)).join(names, "file", "left_semi")
+    return found.select("content").mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -210,4 +218,4 @@ def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     written = cut(write(pages, folder, key, url, html))
     if written.isEmpty():
         return spark.createDataFrame([], T._parse_datatype_string(f"`{key}` long, payload_bytes long, payload_digest string, record_type string, refers_to long"))
-    return read_back(spark, folder, key)
+    return read_back(spark, folder, key, written)
