@@ -162,3 +162,15 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("firsts").count() == events.select("event_type").distinct().count()
+
+
+def test_enforcing_and_missing_roles(spark):
+    from lodestone.operators import proofs as P
+
+    frame = spark.createDataFrame([(1, 5), (2, 20)], "k long, v long")
+    long = P.evaluate(frame, "k", [P.at_least("MIN", "T0", F.col("v"), F.lit(10))])
+    with pytest.raises(Exception, match="constraint MIN failed for 1"):
+        P.enforce(long, "k").collect()
+    assert P.enforce(long.where("k = 2"), "k").count() == 1
+    reached = spark.createDataFrame([("o", ["a"]), ("o", ["b"]), ("p", None)], "origin string, roles array<string>")
+    assert sorted((r.origin, r.missing) for r in P.missing_roles(reached, ["a", "c"]).collect()) == [("o", ["c"]), ("p", ["a", "c"])]
