@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm import exchange as X
+from lodestone.llm.store import cut
 from lodestone.llm.words import U64, WORD_BASE, Words, buffers, slices, spans_hash
 
 WIDTH = 20
@@ -64,10 +65,9 @@ def frequent_prefixes(frame: DataFrame, text: str, width: int, share: float = SH
                     at = at[often[back]]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["length", "hash", "n"])
 
-    counted = frame.select(text).mapInArrow(count, "length long, hash long, n long").groupBy("length", "hash").agg(F.sum("n").alias("n"))
-    total = F.max(F.when(F.col("length") == 0, F.col("n")))
-    least = counted.agg((total * share / 2).alias("least"))
-    rows = counted.crossJoin(F.broadcast(least)).where("length > 0 and n > least and n > 1").collect()  # one row on the right; at most 2 / share rows of a length
+    counted = cut(frame.select(text).mapInArrow(count, "length long, hash long, n long").groupBy("length", "hash").agg(F.sum("n").alias("n")))
+    total = counted.where("length = 0").agg(F.sum("n")).first()[0] or 0
+    rows = counted.where((F.col("length") > 0) & (F.col("n") > max(1, total * share / 2))).collect()  # at most 2 / share rows of a length
     return [np.sort(np.array([r["hash"] for r in rows if r["length"] == k], dtype=np.int64).view(U64)) for k in range(1, width)]
 
 
