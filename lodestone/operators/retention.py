@@ -56,13 +56,13 @@ def with_budget(evaluated: DataFrame, policy: Policy, buckets: int = 64) -> Data
         return evaluated.withColumn("delete", F.col("reason") == "delete")
     kept = evaluated.where("reason <> 'delete'")
     soft = kept.where(~F.col("reason").isin(*policy.firm))
-    total = kept.agg(F.coalesce(F.sum("byte_size"), F.lit(0)).alias("total"))
+    total = kept.agg(F.coalesce(F.sum("byte_size"), F.lit(0)).alias("total")).withColumn("_one", F.lit(1))
     day = soft.withColumn("_day", F.substring("created_utc", 1, 10))
     sums = day.groupBy("_day").agg(F.sum("byte_size").alias("_s"))
     before = sums.withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_day", "_before")  # one row for each day
     inner = Window.partitionBy("_day").orderBy("created_utc", "artifact_id").rowsBetween(Window.unboundedPreceding, -1)
     running = day.withColumn("_run", F.coalesce(F.sum("byte_size").over(inner), F.lit(0))).join(before, "_day")
-    over = running.crossJoin(F.broadcast(total)).where(F.col("_run") + F.col("_before") < F.col("total") - policy.budget_bytes).select("artifact_id", F.lit(True).alias("_over"))  # total is one row
+    over = running.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").where(F.col("_run") + F.col("_before") < F.col("total") - policy.budget_bytes).select("artifact_id", F.lit(True).alias("_over"))  # total is one row
     return evaluated.join(over, "artifact_id", "left").withColumn("delete", (F.col("reason") == "delete") | F.col("_over").isNotNull()).drop("_over")
 
 

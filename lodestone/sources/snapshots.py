@@ -35,8 +35,8 @@ def verify_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """dataset_id, intact: whether the index still has the manifest's hash, count and bytes."""
     manifest = spark.read.json(f"{path}/manifest")
     own = read_index(spark, path)
-    now = own.agg(F.count("*").alias("n"), F.sum("byte_size").alias("b"), F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), "\n"), 256).alias("h"))
-    return manifest.crossJoin(now).select("dataset_id", ((F.col("count") == F.col("n")) & (F.col("total_bytes") == F.col("b")) & (F.col("manifest_hash") == F.col("h"))).alias("intact"))  # one row each
+    now = own.agg(F.count("*").alias("n"), F.sum("byte_size").alias("b"), F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), "\n"), 256).alias("h")).withColumn("dataset_id", F.lit(manifest.first()["dataset_id"]))
+    return manifest.join(now, "dataset_id").select("dataset_id", ((F.col("count") == F.col("n")) & (F.col("total_bytes") == F.col("b")) & (F.col("manifest_hash") == F.col("h"))).alias("intact"))
 
 
 def read_slice(spark: SparkSession, path: str, columns: list[str], filters: list[tuple[str, str, object]]) -> DataFrame:
