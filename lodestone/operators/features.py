@@ -1,4 +1,4 @@
-"""Derived features and dimensionless groups of coupon specifications, as expressions over columns.
+"""Derived features and dimensionless groups of board specifications, as expressions over columns.
 
 Columns: w, gap, h (substrate height, may be null), board_width, board_length, length_left, length_right (may be null),
 left_x, left_y, right_x, right_y, and, null where a part is absent: drill, via, pad; ring_radius, return_count,
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TRACE = "(length_left + coalesce(length_right, 0))"
-#: Integer features.
+#: Integer features.
 FEATURES = {
     "board_area_nm2": "board_width * board_length",
     "board_perimeter_nm": "2 * (board_width + board_length)",
@@ -31,7 +31,7 @@ FEATURES = {
     "launch_left_y_offset_nm": "abs(left_y - CAST(floor(board_width / 2) AS BIGINT))",
     "launch_right_y_offset_nm": "abs(right_y - CAST(floor(board_width / 2) AS BIGINT))",
 }
-#: Ratios, 0 where the denominator is 0 and null where a part is absent: name to (numerator, denominator).
+#: Ratios, 0 where the denominator is 0 and null where a part is absent: name to (numerator, denominator).
 RATIOS = {
     "cpwg_gap_over_w": ("gap", "w"),
     "cpwg_w_over_gap": ("w", "gap"),

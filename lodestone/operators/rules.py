@@ -44,7 +44,7 @@ LIMITS = {
     "min_via_to_via": 200_000,
     "min_board_width": 5_000_000,
 }
-#: (tier, rule, margin, parameter raised to repair it, what it is raised to); {..} are limits.
+#: Fixed values: (tier, rule, margin, parameter raised to repair it, what it is raised to); {..} are limits.
 RULES = (
     ("T0", "T0_TRACE_WIDTH_MIN", "trace_width - {min_trace_width}", "trace_width", "{min_trace_width}"),
     ("T0", "T0_TRACE_GAP_MIN", "trace_gap - {min_gap}", "trace_gap", "{min_gap}"),
@@ -189,7 +189,7 @@ def repair_distances(before: str = "u", after: str = "u_repaired") -> dict[str,
     return {"l1": total(change), "l2": F.sqrt(total(F.transform(change, lambda v: v * v))), "linf": F.array_max(change)}
 
 
-#: Checks of whole documents (integers, halves rounded down) that batches don't have: (rule, margin); names are columns.
+#: Checks of whole documents (integers, halves rounded down) that batches don't have: (rule, margin); names are columns.
 DOCUMENT_RULES = (
     ("T1_F1_CONTINUITY_LENGTH_ERROR", "-abs((right_x - left_x) - (length_left + length_right))"),
     ("T1_COPPER_TO_EDGE_CLEARANCE", "floor(board_width / 2) - (floor(trace_width / 2) + trace_gap) - min_edge_clearance"),
