@@ -100,3 +100,14 @@ def test_objects(spark, tmp_path):
     (folder / digest).write_bytes(data)
     row = S.read_object(spark, str(tmp_path), digest).first()
     assert bytes(row.content) == data and row.intact
+
+
+def test_choice_of_sources(spark, tmp_path):
+    from lodestone.sources.choice import choose
+
+    with pytest.raises(FileNotFoundError):
+        choose(spark, str(tmp_path))
+    (tmp_path / "a.csv").write_text("x")
+    assert choose(spark, str(tmp_path))[0] == "csv"
+    (tmp_path / "a.s2p").write_text("x")
+    assert choose(spark, str(tmp_path))[0] == "touchstone"
