@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from lodestone.llm.words import U64, Words, buffers, mix, slices
 
 PART_BYTES = 4 << 20
+RANGES = 1 << 16
 LISTS = "bucket long, part long, list binary"
 REPLIES = "part long, kind string, bucket long, reply binary"
 _REPLY_ARROW = pa.schema([("part", pa.int64()), ("kind", pa.string()), ("bucket", pa.int64()), ("reply", pa.binary())])
@@ -30,21 +31,35 @@ def text_bytes(frame: DataFrame, text: str) -> int:
 
 
 def ranged_parts(frame: DataFrame, key: str, text: str, part_bytes: int = PART_BYTES) -> tuple[DataFrame, int]:
-    """(part, key, text) with parts that are ranges of the key, in rising order; null keys come first. Also the bytes of text."""
+    """(part, key, text) with parts that are ranges of the key, in rising order; null keys come first. Also the bytes of text.
+
+    Quantiles of the key cut it into at most RANGES ranges, whatever the corpus' size, so that tasks get a bounded list
+    of edges; each is cut evenly by value where more parts are needed.
+    """
     size = text_bytes(frame, text)
     n = max(1, -(-size // part_bytes))
+    ranges = min(n, RANGES)
+    within = -(-n // ranges)
+    own = frame.select(key, text)
+    at = F.col(key).cast("long")
     edges = np.zeros(0, dtype=np.int64)
     if n > 1:
-        got = frame.agg(F.percentile_approx(F.col(key).cast("long"), [i / n for i in range(1, n)], 20 * n).alias("e")).first()["e"] or []
-        edges = np.unique(np.array(got, dtype=np.int64))
+        got = own.agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.percentile_approx(at, [i / ranges for i in range(1, ranges)] or [0.5], min(20 * ranges, 1_000_000)).alias("e")).first()
+        if got["lo"] is not None:
+            edges = np.unique(np.array([got["lo"] - 1, *(got["e"] if ranges > 1 else []), got["hi"]], dtype=np.int64))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0)
-            part = np.searchsorted(edges, keys.cast(pa.int64()).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="left")
+            keys = batch.column(0).cast(pa.int64())
+            value = keys.fill_null(0).to_numpy(zero_copy_only=False)
+            part = np.zeros(len(value), dtype=np.int64)
+            if len(edges) > 1:
+                r = np.clip(np.searchsorted(edges, value, side="left"), 1, len(edges) - 1)
+                lo, hi = edges[r - 1].astype(np.float64), edges[r].astype(np.float64)
+                part = 1 + (r - 1) * within + np.clip(np.floor((value - lo - 1) * within / (hi - lo)), 0, within - 1).astype(np.int64)
+                part[keys.is_null().to_numpy(zero_copy_only=False)] = 0
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *batch.columns], names=["part", key, text])
 
-    own = frame.select(key, text)
     return own.mapInArrow(deal, T.StructType([T.StructField("part", T.LongType()), *own.schema])), size
 
 

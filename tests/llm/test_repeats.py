@@ -48,6 +48,19 @@ def test_same_as_brute_force(spark):
         assert got == brute(rows, width)
 
 
+def test_parts_keep_the_order_of_keys(spark, monkeypatch):
+    from lodestone.llm import exchange
+
+    monkeypatch.setattr(exchange, "RANGES", 3)
+    frame = spark.createDataFrame([(k, "x" * 10) for k in [5, 900, 17, 17, -4, 30, 31, 32, 33, 1 << 40]] + [(None, "y")], "doc_id long, text string")
+    rows = exchange.ranged_parts(frame, "doc_id", "text", 12)[0].collect()
+    order = [r.part for r in sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0))]
+    assert order == sorted(order) and len(set(order)) > 3
+    rows = corpus(4)
+    frame = spark.createDataFrame([(d, t, "en") for d, t in rows], SCHEMA)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in repeats.remove(frame, part_bytes=700).collect()} == brute(rows, 20)
+
+
 def test_spans_cover_what_goes(spark):
     rows = corpus(2, 20)
     frame = spark.createDataFrame([(d, t, "en") for d, t in rows], SCHEMA)
