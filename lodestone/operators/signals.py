@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,9 +21,23 @@ def window(kind: str, k: Column, n: Column) -> Column:
         return 0.54 - 0.46 * F.cos(turn)
     if kind == "blackman":
         return 0.42 - 0.5 * F.cos(turn) + 0.08 * F.cos(2 * turn)
+    if kind == "tukey":  # cosine ends over half of the samples
+        x = k / F.greatest(n - 1, F.lit(1))
+        end = F.least(x, 1 - x)
+        return F.when(end < 0.25, 0.5 * (1 - F.cos(4 * F.pi() * end))).otherwise(F.lit(1.0))
+    if kind == "kaiser":  # beta 14; the Bessel function by its series, whose terms fall below 1e-17 of the sum
+        half = lambda x: sum((F.pow(x / 2, F.lit(float(m))) / float(math.factorial(m))) * (F.pow(x / 2, F.lit(float(m))) / float(math.factorial(m))) for m in range(1, 40)) + F.lit(1.0)
+        x = 2 * k / F.greatest(n - 1, F.lit(1)) - 1
+        return half(14.0 * F.sqrt(F.greatest(F.lit(0.0), 1 - x * x))) / half(F.lit(14.0))
     raise ValueError(kind)
 
 
+def thru(grid: DataFrame, ports: int = 2) -> DataFrame:
+    """A network without loss or reflection on a grid (network_id, freq_hz): every port passes to its neighbour."""
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(1.0 if i != j and (i - 1) // 2 == (j - 1) // 2 else 0.0).alias("re"), F.lit(0.0).alias("im")) for i in range(1, ports + 1) for j in range(1, ports + 1)])
+    return grid.select("network_id", "freq_hz", F.inline(cells))
+
+
 def causality(long: DataFrame, tolerance: float = 1e-3, warn: float = 1e-2) -> DataFrame:
     """network_id, ratio of the energy before the response, status; from the transmission S21 by an inverse transform."""
 

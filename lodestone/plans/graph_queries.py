@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import connectivity as K
 from lodestone.operators import lineage as G
+from lodestone.operators.catalogue import select_records
 from lodestone.plans.adapters import GRAPH_SQL, graph
 from lodestone.plans.registry import query, table
 
@@ -109,3 +110,9 @@ def connectivity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey")
     points = table(spark, sf_dir, "supplier").select(key.alias("id"), F.col("s_nationkey").alias("net"), (key * 7919 % 1000).alias("x"), (key * 104729 % 1000).alias("y"), (40 + key % 30).alias("r"))
     return K.touching(points, 70)
+
+
+@query(f"WITH {GRAPH_SQL} SELECT artifact_id, artifact_type FROM nodes WHERE artifact_type = 'customer' ORDER BY artifact_id DESC LIMIT 30 OFFSET 5")
+def node_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _ = graph(spark, sf_dir)
+    return select_records(nodes, {"artifact_type": "customer"}, order_by="artifact_id", limit=30, offset=5)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import networks as N
 from lodestone.operators import signals as S
+from lodestone.operators import verification as V
 from lodestone.plans.adapters import NETWORK_SQL, networks
 from lodestone.plans.registry import query, table
 
@@ -162,3 +163,25 @@ def network_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.join(many, "network_id", "left_semi")
     ports = rows.select("network_id", "excite", F.explode(F.array(F.lit(1), F.lit(2))).alias("port"), "k", (F.col("k") * 1e-12).alias("t_s"), "v")
     return S.extract(ports.withColumns({"i": F.when(F.col("port") == 1, F.col("v") / 60).otherwise(F.col("v") / -80), "v": F.col("v") / F.col("port")}), 50.0, [1e9, 5e9, 1e10])
+
+
+@query(f"""WITH {NETWORK_SQL} SELECT network_id, f_idx, i, j, re, im FROM networks""")
+def network_excitations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = networks(spark, sf_dir).withColumnRenamed("j", "excite")
+    return V.excitation_matrix(runs).select("network_id", "f_idx", "i", "j", "re", "im")
+
+
+@query("""SELECT DISTINCT CAST(label AS VARCHAR) AS network_id, i, j, CASE WHEN i <> j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS re, 0.0::DOUBLE AS im FROM embeddings, (VALUES (1), (2)) a(i), (VALUES (1), (2)) b(j)""")
+def network_thru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("network_id"), F.lit(1e9).alias("freq_hz")).distinct()
+    return S.thru(grid).select("network_id", "i", "j", "re", "im")
+
+
+@query("""WITH n AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events), x AS (SELECT *, CAST(k AS DOUBLE) / greatest(n - 1, 1) AS x FROM n)
+    SELECT user_id, k, round(value * CASE WHEN least(x, 1 - x) < 0.25 THEN 0.5 * (1 - cos(4 * pi() * least(x, 1 - x))) ELSE 1 END, 6) AS v FROM x""")
+def tukey_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    by = Window.partitionBy("user_id")
+    own = table(spark, sf_dir, "events").select("user_id", "value", (F.row_number().over(by.orderBy("event_id")) - 1).cast("bigint").alias("k"), F.count("*").over(by).alias("n"))
+    return own.select("user_id", "k", F.round(F.col("value") * S.window("tukey", F.col("k").cast("double"), F.col("n")), 6).alias("v"))

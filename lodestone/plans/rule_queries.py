@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import features as D
+from lodestone.operators import integrity as I
 from lodestone.operators import meshes as M
 from lodestone.operators import rules as R
 from lodestone.plans.adapters import candidates
@@ -151,3 +152,22 @@ def via_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graded_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     zones = table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").cast("string").alias("axis"), F.array(F.lit(0).cast("bigint"), (F.col("p_size") * 100_000).cast("bigint"), (F.col("p_size") * 100_000 + 5_000_000).cast("bigint")).alias("fixed"))
     return M.graded_lines(zones, finest=50_000, ratio=1.5, coarsest=500_000)
+
+
+@query(_filter_sql(R.ROUNDS).rsplit(" SELECT cand_id", 1)[0] + f" SELECT cand_id, round(" + " + ".join(f"abs(u_{n} - o_{n})" for n, _, _ in R.SPACE) + ", 8) AS l1, round(distance, 8) AS l2, round(greatest(" + ", ".join(f"abs(u_{n} - o_{n})" for n, _, _ in R.SPACE) + f"), 8) AS linf FROM s{len(R.steps(TIGHT))}")
+def repair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = candidates(spark, sf_dir)
+    both = R.batch_filter(own, TIGHT).join(own, "cand_id")
+    return both.select("cand_id", *[F.round(c, 8).alias(n) for n, c in R.repair_distances().items()])
+
+
+@query("""SELECT p_partkey, CAST(floor(c + s * r * f) AS BIGINT) AS line FROM (SELECT p_partkey, p_size * 1000 AS c, 300 + p_size AS r FROM part), (VALUES (-1), (1)) a(s), (VALUES (2.0::DOUBLE / 3), (4.0::DOUBLE / 3)) b(f)""")
+def thirds_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = M.thirds_rule(F.col("p_size") * 1000, 300 + F.col("p_size"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(lines).alias("line"))
+
+
+@query("""SELECT o_orderkey, concat_ws(',', CASE WHEN o_totalprice > 300000 THEN 'content' END, CASE WHEN o_orderstatus <> 'F' THEN 'version' END, CASE WHEN o_custkey % 7 = 0 THEN 'settings' END) AS reasons FROM orders""")
+def invalidation_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = {"content": F.col("o_totalprice") > 300_000, "version": F.col("o_orderstatus") != "F", "settings": F.col("o_custkey") % 7 == 0}
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(I.invalidation_reasons(checks), ",").alias("reasons"))

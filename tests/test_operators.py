@@ -174,3 +174,11 @@ def test_enforcing_and_missing_roles(spark):
     assert P.enforce(long.where("k = 2"), "k").count() == 1
     reached = spark.createDataFrame([("o", ["a"]), ("o", ["b"]), ("p", None)], "origin string, roles array<string>")
     assert sorted((r.origin, r.missing) for r in P.missing_roles(reached, ["a", "c"]).collect()) == [("o", ["c"]), ("p", ["a", "c"])]
+
+
+def test_windows_are_numpys(spark):
+    n = 33
+    frame = spark.range(n).withColumn("n", F.lit(n))
+    for kind, want in (("hann", np.hanning(n)), ("hamming", np.hamming(n)), ("blackman", np.blackman(n)), ("kaiser", np.kaiser(n, 14.0))):
+        got = [r.w for r in frame.select("id", S.window(kind, F.col("id").cast("double"), F.col("n")).alias("w")).orderBy("id").collect()]
+        assert np.allclose(got, want, atol=1e-12)
