@@ -191,19 +191,54 @@ def repair_distances(before: str = "u", after: str = "u_repaired") -> dict[str,
 
 #: Checks of whole documents (integers, halves rounded down) that batches don't have: (rule, margin); names are columns.
 DOCUMENT_RULES = (
-    ("T1_F1_CONTINUITY_LENGTH_ERROR", "-abs((right_x - left_x) - (length_left + length_right))"),
-    ("T1_COPPER_TO_EDGE_CLEARANCE", "floor(board_width / 2) - (floor(trace_width / 2) + trace_gap) - min_edge_clearance"),
-    ("T2_LEFT_CONNECTOR_Y_CENTERED", "-abs(left_y)"),
-    ("T2_RIGHT_CONNECTOR_Y_CENTERED", "-abs(right_y)"),
+    ("T0_TRACE_WIDTH_MIN", "trace_width - min_trace_width"),
+    ("T0_TRACE_GAP_MIN", "trace_gap - min_gap"),
+    ("T0_BOARD_WIDTH_MIN", "board_width - min_board_width"),
+    ("T0_BOARD_LENGTH_MIN", "board_length - min_board_width"),
+    ("T0_CORNER_RADIUS_MIN", "corner_radius"),
+    ("T0_CORNER_RADIUS_MAX", "floor(least(board_width, board_length) / 2) - corner_radius"),
+    ("T0_SIGNAL_DRILL_MIN", "signal_drill - min_drill"),
+    ("T0_SIGNAL_VIA_DIAMETER_MIN", "signal_via - min_via_diameter"),
+    ("T0_SIGNAL_PAD_DIAMETER_MIN", "signal_pad - min_via_diameter"),
+    ("T0_RETURN_VIA_DRILL_MIN", "return_drill - min_drill"),
+    ("T0_RETURN_VIA_DIAMETER_MIN", "return_via - min_via_diameter"),
+    ("T0_FENCE_VIA_DRILL_MIN", "fence_drill - min_drill"),
+    ("T0_FENCE_VIA_DIAMETER_MIN", "fence_via - min_via_diameter"),
+    ("T1_SIGNAL_ANNULAR_MIN", "floor((signal_pad - signal_drill) / 2) - min_annular_ring"),
+    ("T1_SIGNAL_VIA_DIAMETER_GT_DRILL", "signal_via - signal_drill - 1"),
+    ("T1_SIGNAL_PAD_GT_VIA", "signal_pad - signal_via"),
+    ("T1_RETURN_ANNULAR_MIN", "floor((return_via - return_drill) / 2) - min_annular_ring"),
+    ("T1_FENCE_ANNULAR_MIN", "floor((fence_via - fence_drill) / 2) - min_annular_ring"),
+    ("T1_TRACE_LEFT_POSITIVE", "length_left - 1"),
+    ("T1_TRACE_RIGHT_POSITIVE", "length_right - 1"),
+    ("T1_F1_CONTINUITY_LENGTH_ERROR", "-abs(length_right - (right_x - left_x - length_left))"),
+    ("T1_BOARD_ASPECT_RATIO_MAX", "20 - CAST(greatest(board_width, board_length) AS DOUBLE) / greatest(least(board_width, board_length), 1)"),
+    ("T1_COPPER_TO_EDGE_CLEARANCE", "floor(board_width / 2) - (floor(trace_width / 2) + trace_gap + coalesce(fence_offset + floor(fence_via / 2), 0)) - min_edge_clearance"),
+    ("T1_FENCE_PITCH_MIN", "fence_pitch - (fence_via + min_via_to_via)"),
+    ("T2_LEFT_CONNECTOR_X_MIN", "left_x - min_edge_clearance"),
+    ("T2_LEFT_CONNECTOR_X_MAX", "board_length - min_edge_clearance - left_x"),
+    ("T2_RIGHT_CONNECTOR_X_MIN", "right_x - min_edge_clearance"),
+    ("T2_RIGHT_CONNECTOR_X_MAX", "board_length - min_edge_clearance - right_x"),
+    ("T2_LEFT_CONNECTOR_Y_CENTERED", "floor(board_width / 2) - abs(left_y)"),
+    ("T2_RIGHT_CONNECTOR_Y_CENTERED", "floor(board_width / 2) - abs(right_y)"),
+    ("T2_TRACE_FITS_IN_BOARD", "right_x - left_x - length_left - coalesce(length_right, right_x - left_x - length_left)"),
+    ("T2_RETURN_VIA_RING_RADIUS", "ring_radius - (floor(signal_pad / 2) + floor(return_via / 2) + min_via_to_via)"),
+    ("T2_FENCE_VIA_GAP_CLEARANCE", "fence_offset - floor(fence_via / 2)"),
+    ("T2_FENCE_PITCH_MIN", "fence_pitch - (fence_via + min_via_to_via)"),
     ("T3_RETURN_VIA_RING_NO_OVERLAP", "2 * ring_radius * sin(pi() / return_count) - (return_via + min_via_to_via)"),
     ("T3_RETURN_VIA_SIGNAL_CLEARANCE", "ring_radius - (floor(signal_pad / 2) + floor(return_via / 2)) - min_via_to_via"),
     ("T3_FENCE_VIA_CPWG_GAP_CLEARANCE", "fence_offset - floor(fence_via / 2)"),
+    ("T3_FENCE_VIA_TRACE_CLEARANCE", "trace_gap + fence_offset - floor(fence_via / 2) - min_gap"),
     ("T3_TRACE_COPPER_TO_EDGE_Y", "floor(board_width / 2) - floor(trace_width / 2) - min_edge_clearance"),
     ("T3_CPWG_COPPER_TO_EDGE_Y", "floor(board_width / 2) - (floor(trace_width / 2) + trace_gap) - min_edge_clearance"),
     ("T3_LEFT_CONNECTOR_COPPER_TO_EDGE", "left_x - min_edge_clearance"),
     ("T3_RIGHT_CONNECTOR_COPPER_TO_EDGE", "board_length - right_x - min_edge_clearance"),
     ("T3_VIA_COPPER_TO_LEFT_EDGE", "left_x + length_left - floor(signal_pad / 2) - min_edge_clearance"),
     ("T3_VIA_COPPER_TO_RIGHT_EDGE", "board_length - (left_x + length_left + floor(signal_pad / 2)) - min_edge_clearance"),
+    ("T3_RETURN_VIA_COPPER_TO_EDGE_X", "least(left_x + length_left, board_length - left_x - length_left) - (ring_radius + floor(return_via / 2)) - min_edge_clearance"),
+    ("T3_RETURN_VIA_COPPER_TO_EDGE_Y", "floor(board_width / 2) - (ring_radius + floor(return_via / 2)) - min_edge_clearance"),
+    ("T3_LEFT_CONNECTOR_CORNER_KEEPOUT", "CASE WHEN left_x < corner_radius AND abs(left_y) > floor(board_width / 2) - corner_radius THEN -1 ELSE 0 END"),
+    ("T3_RIGHT_CONNECTOR_CORNER_KEEPOUT", "CASE WHEN board_length - right_x < corner_radius AND abs(right_y) > floor(board_width / 2) - corner_radius THEN -1 ELSE 0 END"),
     ("T3_TRACE_SYMMETRY", "-abs(length_left - length_right)"),
     ("T3_CONNECTOR_Y_SYMMETRY", "-abs(left_y - right_y)"),
 )

@@ -33,7 +33,7 @@ def feasible_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_SPECS_SQL} SELECT p_partkey, 'T0_TRACE_WIDTH_MIN' AS constraint_id, CAST(w - 120000 AS DOUBLE) AS margin, w >= 120000 AS passed FROM specs UNION ALL SELECT p_partkey, 'T0_TRACE_GAP_MIN', gap - 100000, gap >= 100000 FROM specs
     UNION ALL SELECT p_partkey, 'T0_SIGNAL_DRILL_MIN', drill - 200000, drill >= 200000 FROM specs WHERE drill IS NOT NULL UNION ALL SELECT p_partkey, 'T1_SIGNAL_ANNULAR_MIN', pad - drill - 425000, pad - drill >= 425000 FROM specs WHERE drill IS NOT NULL""")
 def short_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = specs(spark, sf_dir).withColumns({"min_gap": F.lit(100_000), "min_drill": F.lit(200_000), "min_annular_ring": F.lit(425_000)})
+    own = specs(spark, sf_dir).withColumns({"min_drill": F.lit(200_000), "min_annular_ring": F.lit(425_000)})
     return D.short_evaluation(own, "p_partkey").select("p_partkey", "constraint_id", "margin", "passed")
 
 

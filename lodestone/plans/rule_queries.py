@@ -82,8 +82,9 @@ _SPEC = {
     "return_count": "CAST(4 + p_partkey % 5 AS BIGINT)", "return_drill": "CAST(300000 AS BIGINT)", "return_via": "CAST(460000 AS BIGINT)", "fence_pitch": "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(400000 + p_size * 20000 AS BIGINT) END",
     "fence_offset": "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(200000 + p_size * 5000 AS BIGINT) END", "fence_drill": "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(250000 AS BIGINT) END", "fence_via": "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(420000 AS BIGINT) END",
     "er": "CAST(3.5 AS DOUBLE) + p_size / CAST(100 AS DOUBLE)", "total_thickness": "CAST(1600000 AS BIGINT)", "min_edge_clearance": "CAST(4000000 AS BIGINT)", "min_via_to_via": "CAST(200000 AS BIGINT)", "min_trace_width": "CAST(120000 AS BIGINT)",
+    "min_gap": "CAST(100000 AS BIGINT)", "min_drill": "CAST(260000 AS BIGINT)", "min_via_diameter": "CAST(430000 AS BIGINT)", "min_annular_ring": "CAST(82000 AS BIGINT)", "min_board_width": "CAST(11000000 AS BIGINT)", "corner_radius": "CAST((p_partkey % 4) * 1000000 AS BIGINT)",
 }
-_RENAMED = {"trace_width": "w", "trace_gap": "gap", "signal_pad": "pad"}
+_RENAMED = {"trace_width": "w", "trace_gap": "gap", "signal_pad": "pad", "signal_drill": "drill", "signal_via": "via"}
 _SPECS_SQL = "specs AS (SELECT p_partkey, " + ", ".join(f"{x} AS {n}" for n, x in _SPEC.items()) + " FROM part), docs AS (SELECT *, " + ", ".join(f"{b} AS {a}" for a, b in _RENAMED.items()) + " FROM specs)"
 
 
