@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.words import U64, Words, buffers, mix, slices
+from lodestone.llm.words import U64, Words, buffers, lean, mix, slices
 
 PART_BYTES = 4 << 20
 RANGES = 1 << 16
@@ -144,9 +144,11 @@ def flags_of(table: pa.Table, kind: str, bucket: np.ndarray) -> np.ndarray:
 def ask(parts: DataFrame, messages: DataFrame, send: Callable[[int, pa.Table, pa.Table], pa.Table], answer: Callable[[int, list[int], list[bytes]], pa.Table]) -> DataFrame:
     """One round: every part sends lists, in the light of what it was answered before, and every bucket answers them."""
 
+    @lean
     def sending(key, docs, got):
         return send(key[0].as_py(), docs, got)
 
+    @lean
     def answering(key, table):
         rows = sorted(zip(table["part"].to_pylist(), table["list"].to_pylist(), strict=True))
         return answer(key[0].as_py(), [p for p, _ in rows], [x for _, x in rows])

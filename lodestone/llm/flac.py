@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodestone.llm.words import buffers, slices
+from lodestone.llm.words import buffers, give_back, slices
 
 BLOCK, RATE, PAD = 1024, 8000, 64
 ORDER, PRECISION = 4, 10
@@ -441,6 +441,7 @@ def digests(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                     for column, value in zip(rows, (size, hashlib.sha256(own).hexdigest(), zlib.crc32(own[-PAD:]), len(file), hashlib.sha256(file).hexdigest(), f"frames={len(points[i])};sum={total[i]};energy={energy[i]};crossings={turns[b] - turns[a + 1]}"), strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([batch.column(key).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(rows[0], pa.int64()), pa.array(rows[1]), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64()), pa.array(rows[4]), pa.array(rows[5])], schema=_arrow(schema, batch.schema.field(key).type))
+        give_back()
 
     return frame.select(key, text).mapInArrow(run, schema)
 

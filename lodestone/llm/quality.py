@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.words import U64, WORD_BASE, Words, buffers, mix, slices, spans_hash
+from lodestone.llm.words import U64, WORD_BASE, Words, buffers, give_back, mix, slices, spans_hash
 
 BUCKETS, DIMENSIONS = 1 << 17, 12
 SAMPLE, EPOCHS, RATE = 3000, 5, 0.6
@@ -134,6 +134,7 @@ def score(frame: DataFrame, model: Model, key: str = "doc_id", text: str = "text
                 scores.append(1 / (1 + np.exp(-np.clip(total / np.maximum(many, 1) + bias, -500, 500))))
             own = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(own, pa.float64()), pa.array((own >= cut).astype(np.int32))], names=[*names, "score", "predicted"])
+        give_back()
 
     return inputs.mapInArrow(run, schema)
 

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from lodestone.llm import exchange as X
 from lodestone.llm.store import cut
-from lodestone.llm.words import U64, WORD_BASE, Words, buffers, slices, spans_hash
+from lodestone.llm.words import U64, WORD_BASE, Words, buffers, give_back, lean, slices, spans_hash
 
 WIDTH = 20
 #: A prefix that begins more than this share of all suffixes is lengthened.
@@ -64,6 +64,7 @@ def frequent_prefixes(frame: DataFrame, text: str, width: int, share: float = SH
                     rows += [(length, int(h), int(c)) for h, c in zip(own[often].view(np.int64), many[often], strict=True)]
                     at = at[often[back]]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["length", "hash", "n"])
+        give_back()
 
     counted = cut(frame.select(text).mapInArrow(count, "length long, hash long, n long").groupBy("length", "hash").agg(F.sum("n").alias("n")))
     total = counted.where("length = 0").agg(F.sum("n")).first()[0] or 0
@@ -172,6 +173,7 @@ def remove(frame: DataFrame, key: str = "doc_id", text: str = "text", width: int
     parts, messages, repeated = _rounds(frame, key, text, width, part_bytes, group_words)
     schema = T.StructType([frame.schema[key], *T._parse_datatype_string("n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)])
 
+    @lean
     def finish(_, docs, got):
         names = [f.name for f in schema]
         kinds = [docs.schema.field(key).type, pa.int64(), pa.int64(), pa.string(), pa.string()][: len(names)]
@@ -201,6 +203,7 @@ def repeats(frame: DataFrame, key: str = "doc_id", text: str = "text", width: in
     parts, messages, repeated = _rounds(frame, key, text, width, part_bytes, group_words)
     schema = T.StructType([frame.schema[key], *T._parse_datatype_string("first_word long, end_word long")])
 
+    @lean
     def finish(_, docs, got):
         names = [f.name for f in schema]
         if not len(docs):

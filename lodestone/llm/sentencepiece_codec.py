@@ -24,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lodestone.llm.words import give_back
+
 SPACE = "▁"
 #: Pieces and pairs that a worker remembers at most; beyond that it starts anew. Results do not depend on it.
-MEMO_PIECES, MEMO_PAIRS = 400_000, 300_000
+MEMO_PIECES, MEMO_PAIRS = 150_000, 150_000
 _BYTE = re.compile(r"^<0x([0-9A-F]{2})>$")
 
 
@@ -326,5 +328,6 @@ def digests(frame: DataFrame, model: str, key: str = "doc_id", text: str = "text
                 b.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
             columns = [batch.column(key), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(all_ids, pa.list_(pa.int32()))] * with_ids, names=[f.name for f in schema])
+        give_back()
 
     return frame.select(key, text).mapInArrow(run, schema)

@@ -31,7 +31,7 @@ from lodestone.llm import exchange as X
 from lodestone.llm.graph import components
 from lodestone.llm.repeats import GROUP_WORDS
 from lodestone.llm.store import cut
-from lodestone.llm.words import U64, WORD_BASE, Words, buffers, mix, slices, spans_hash
+from lodestone.llm.words import U64, WORD_BASE, Words, buffers, give_back, lean, mix, slices, spans_hash
 
 SHINGLE, PERCENT = 3, 90
 #: Sets, and shingles in all of them, of a chunk of a family.
@@ -78,6 +78,7 @@ def describe(frame: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 own, sizes = shingle_sets(w.hash, np.diff(w.first), width)
                 x, y = _marks(own, sizes)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), pa.array(x), pa.array(y)], names=[key, "n", "x", "y"])
+        give_back()
 
     return frame.select(key, text).mapInArrow(run, schema)
 
@@ -209,6 +210,7 @@ def _sets(table: pa.Table) -> tuple[list[int], list[np.ndarray]]:
 
 
 def _cluster(percent: int):
+    @lean
     def run(key, table):
         ids, sets = _sets(table)
         family = Family(ids, sets, percent)
@@ -222,6 +224,7 @@ def _cluster(percent: int):
 def _across(percent: int):
     """Links of a chunk's sets with sets of other chunks, except where both are in one component already."""
 
+    @lean
     def run(_, chunk, others):
         found = []
         if len(chunk) and len(others):
@@ -331,6 +334,7 @@ def join(frame: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         edges = np.cumsum([0, *sizes])
         return X.replies("count", bucket, parts_, [total[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)])
 
+    @lean
     def nodes(key_, docs, got):
         """Sets whose prefix holds a shingle of another set (kind by n: at least 0), local ties (n = -1), and lists for buckets (n = -2)."""
         part = key_[0].as_py()
@@ -370,6 +374,7 @@ def join(frame: DataFrame, key: str = "doc_id", text: str = "text", width: int =
                 out.append((int(keys[i]), part, int(sizes[i]), sets[first[i] : first[i] + sizes[i]].astype("<u8").tobytes()))
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["id", "part", "n", "data"])
 
+    @lean
     def tie(_, table):
         """Of each shingle's holders, one from each part, ties all to the smallest."""
         data = [(len(d) // 16, d) for d in table["data"].to_pylist()]

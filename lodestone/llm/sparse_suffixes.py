@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from lodestone.llm import exchange as X
 from lodestone.llm.repeats import GROUP_WORDS, prefixes
-from lodestone.llm.words import U64, mix
+from lodestone.llm.words import U64, lean, mix
 
 WIDTH, SEED = 50, 10
 
@@ -145,6 +145,7 @@ def passages(frame: DataFrame, key: str = "doc_id", text: str = "text", width: i
         table = table[order]
         return X.lists(part, bucket[order], lambda s: table[s].astype("<u8").tobytes())
 
+    @lean
     def compare(key_, table):
         """Sorts a group's suffixes, compares neighbours, extends to the left, and names each window's first occurrence."""
         lists = sorted(zip(table["part"].to_pylist(), table["list"].to_pylist(), strict=True))
@@ -177,6 +178,7 @@ def passages(frame: DataFrame, key: str = "doc_id", text: str = "text", width: i
         none = lambda x: pa.array(x, mask=x == _NONE)
         return out(none(doc[i[lo]]), (place[i] + back)[lo], n, none(doc[w[lo]]), (place[w] + back)[lo])
 
+    @lean
     def within(key_, docs, got):
         """Passages that the part itself holds earlier."""
         if not len(docs):
@@ -194,6 +196,7 @@ def passages(frame: DataFrame, key: str = "doc_id", text: str = "text", width: i
     windows = X.ask(parts, seeds, send_windows, X.shared("window", 5))
     messages = seeds.unionByName(windows)
 
+    @lean
     def sending(key_, docs, got):
         return send_suffixes(key_[0].as_py(), docs, got)
 

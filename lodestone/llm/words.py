@@ -6,7 +6,8 @@ character contains those bytes, so bytes and code points split alike.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -125,3 +126,28 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
         yield lo, min(hi, n)
         lo = min(hi, n)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on beyond their tasks, and others need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
+def lean(f: Callable) -> Callable:
+    """A function of a group (key, table), or of two (key, table, table), after which freed memory is given back. Spark counts arguments, so each number has its own."""
+
+    def one(key, table):
+        out = f(key, table)
+        give_back()
+        return out
+
+    def two(key, left, right):
+        out = f(key, left, right)
+        give_back()
+        return out
+
+    return two if f.__code__.co_argcount == 3 else one
