@@ -93,6 +93,21 @@ def advance(base: DataFrame, removed: DataFrame, added: DataFrame, key: str = "a
     return base.join(gone, key, "left_anti").unionByName(added)
 
 
+def upsert(base: DataFrame, new: DataFrame, keys: list[str], latest: str, keep_old: bool = False) -> DataFrame:
+    """Base with new rows put in: of a key's new rows the one with the greatest `latest` counts (the greatest row on ties); it replaces the old row, or is passed over where there is one if old rows are kept."""
+    order = F.struct(F.col(latest), F.struct(*[F.col(c) for c in sorted(new.columns)]))
+    last = new.groupBy(*keys).agg(F.max_by(F.struct(*new.columns), order).alias("_row")).select("_row.*")
+    if keep_old:
+        return base.unionByName(last.join(base.select(*keys).distinct(), keys, "left_anti"))
+    return base.join(last.select(*keys), keys, "left_anti").unionByName(last)
+
+
+def set_status(frame: DataFrame, changes: DataFrame, key: str, status: str = "status") -> DataFrame:
+    """Rows with the status that changes (key, status, one row for a key) give them; other rows stay."""
+    new = changes.select(key, F.col(status).alias("_new"))
+    return frame.join(new, key, "left").withColumn(status, F.coalesce("_new", status)).select(frame.columns)
+
+
 def overlay(base: DataFrame, overrides: DataFrame, key: str, value: str) -> DataFrame:
     """Base values with overrides in their place."""
     over = overrides.select(key, F.col(value).alias("_over"))

@@ -84,6 +84,20 @@ def via_zones(frame: DataFrame, key: str) -> DataFrame:
     return frame.where("pad IS NOT NULL").select(key, radius.cast("bigint").alias("radius"), F.inline(zones)).select(key, "axis", "center", "radius")
 
 
+def antipad_zones(layers: DataFrame, key: str) -> DataFrame:
+    """key, axis, center, radius: refinement around the cutouts (key, length_left, radius) of inner layers; none where a radius isn't above 0."""
+    zones = F.array(F.struct(F.lit("x").alias("axis"), F.col("length_left").alias("center")), F.struct(F.lit("y").alias("axis"), F.lit(0).cast("bigint").alias("center")))
+    return layers.where("radius > 0").select(key, "radius", F.inline(zones)).select(key, "axis", "center", "radius")
+
+
+def trace_zones(frame: DataFrame, key: str) -> DataFrame:
+    """key, axis, center, radius: refinement at both edges of a trace (columns w, gap) and at both outer edges of its gaps (two of the column trace_cell)."""
+    half, outer = F.floor(F.col("w") / 2), F.floor(F.col("w") / 2) + F.col("gap")
+    cell = lambda at, radius: F.struct(at.cast("bigint").alias("center"), radius.cast("bigint").alias("radius"))
+    zones = F.array(*[cell(s * half, F.floor(F.col("gap") / 2)) for s in (1, -1)], *[cell(s * outer, 2 * F.col("trace_cell")) for s in (1, -1)])
+    return frame.select(key, F.lit("y").alias("axis"), F.inline(zones))
+
+
 def network_hashes(long: DataFrame, z0: float = 50.0) -> DataFrame:
     """network_id and SHA-256 of the canonical JSON of its matrices, numbers rounded to 12 digits; the text of numbers is Python's."""
 

@@ -28,16 +28,27 @@ def cell_sizes(specs: DataFrame, f_max_hz: float, fraction: float = 0.05, finest
 
 
 def ring(frame: DataFrame, key: str, radius: str, count: str) -> DataFrame:
-    """Centres of `count` vias on a circle: key, k, x, y."""
-    own = frame.select(key, radius, count, F.explode(F.sequence(F.lit(0), F.col(count).cast("int") - 1)).alias("k"))
-    angle = 2 * F.pi() * F.col("k") / F.col(count)
-    return own.select(key, "k", F.round(F.round(F.col(radius) * F.cos(angle), 3), 0).cast("bigint").alias("x"), F.round(F.round(F.col(radius) * F.sin(angle), 3), 0).cast("bigint").alias("y"))
-
-
-def fence(frame: DataFrame, key: str, length: Column, pitch: str) -> DataFrame:
-    """Positions along a trace at every pitch: key, x."""
-    n = F.floor(length / F.col(pitch)).cast("int")
-    return frame.withColumn("_n", n).where("_n > 0").select(key, pitch, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_k")).select(key, (F.col("_k") * F.col(pitch)).cast("bigint").alias("x"))
+    """Centres of `count` vias on a circle: key, k, x, y. Angles step by whole thousandths of a degree, coordinates lose their fractions; no vias where radius or count is null or not above 0."""
+    own = frame.where((F.col(count) > 0) & (F.col(radius) > 0)).select(key, radius, count, F.explode(F.sequence(F.lit(0), F.col(count).cast("int") - 1)).alias("k"))
+    angle = F.radians(F.col("k") * F.floor(F.lit(360_000) / F.col(count)) / 1000)
+    return own.select(key, "k", (F.col(radius) * F.cos(angle)).cast("bigint").alias("x"), (F.col(radius) * F.sin(angle)).cast("bigint").alias("y"))
+
+
+def grid(frame: DataFrame, key: str, rows: str, cols: str, row_pitch: str, col_pitch: str, without_centre: bool = True) -> DataFrame:
+    """Centres of rows x cols vias around the origin: key, row, col, x, y; the middle one (of an even number, the one before the middle) stays out if asked."""
+    own = frame.where((F.col(rows) > 0) & (F.col(cols) > 0)).withColumn("row", F.explode(F.sequence(F.lit(0), F.col(rows).cast("int") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0), F.col(cols).cast("int") - 1)))
+    if without_centre:
+        own = own.where(~((F.col("row") == F.floor((F.col(rows) - 1) / 2)) & (F.col("col") == F.floor((F.col(cols) - 1) / 2))))
+    place = lambda at, n, pitch: (F.col(at) * F.col(pitch) - F.floor((F.col(n) - 1) * F.col(pitch) / 2)).cast("bigint")
+    return own.select(key, "row", "col", place("col", cols, col_pitch).alias("x"), place("row", rows, row_pitch).alias("y"))
+
+
+def fence(frame: DataFrame, key: str, length: Column, pitch: str, offset: Column) -> DataFrame:
+    """Vias in two rows along a straight trace, as many as whole pitches fit, in the middle of it, at an offset to either side: key, k, side, x, y."""
+    own = frame.withColumns({"_length": length.cast("bigint"), "_n": F.floor(length / F.col(pitch)).cast("int"), "_offset": offset.cast("bigint")}).where("_n > 0")
+    own = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1))))
+    start = F.floor((F.col("_length") - (F.col("_n") - 1) * F.col(pitch)) / 2)
+    return own.select(key, "k", "side", (start + F.col("k") * F.col(pitch)).cast("bigint").alias("x"), (F.col("side") * F.col("_offset")).cast("bigint").alias("y"))
 
 
 def _grade(a: int, b: int, finest: int, ratio: float, coarsest: int) -> list[int]:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Parameters in vector order, with the ends of their linear ranges (nanometres).
@@ -250,20 +250,60 @@ def document_results(frame: DataFrame, key: str) -> DataFrame:
     return frame.select(key, F.inline(F.array(*cells))).where("margin IS NOT NULL").withColumn("passed", F.col("margin") >= 0)
 
 
-#: Repairs of documents, in order: (action, when, column, new value).
+_EDGE = "2 * (floor(trace_width / 2) + trace_gap + coalesce(fence_offset + floor(fence_via / 2), 0) + min_edge_clearance)"
+_RING = "floor(signal_pad / 2) + floor(return_via / 2) + min_via_to_via"
+_PAST_PAD = "left_x + length_left + floor(signal_pad / 2) + min_edge_clearance"
+_PAST_RING = "left_x + length_left + greatest(floor(signal_pad / 2), ring_radius + floor(return_via / 2)) + min_edge_clearance"
+#: Repairs of documents, in order: (constraint, when, column, new value). A part that is absent (null) is left alone.
 DOCUMENT_REPAIRS = (
-    ("raise trace_width", "trace_width < min_trace_width", "trace_width", "min_trace_width"),
-    ("raise fence_pitch", "fence_pitch < fence_via + min_via_to_via", "fence_pitch", "fence_via + min_via_to_via"),
-    ("raise ring_radius", "ring_radius < floor(signal_pad / 2) + floor(return_via / 2) + min_via_to_via", "ring_radius", "floor(signal_pad / 2) + floor(return_via / 2) + min_via_to_via"),
-    ("lower right_x", "right_x > board_length - min_edge_clearance", "right_x", "board_length - min_edge_clearance"),
-    ("set length_right", "right_x - left_x - length_left > 0 AND length_right <> right_x - left_x - length_left", "length_right", "right_x - left_x - length_left"),
+    ("T0_TRACE_WIDTH_MIN", "trace_width < min_trace_width", "trace_width", "min_trace_width"),
+    ("T0_TRACE_GAP_MIN", "trace_gap < min_gap", "trace_gap", "min_gap"),
+    ("T0_BOARD_WIDTH_MIN", "board_width < min_board_width", "board_width", "min_board_width"),
+    ("T0_BOARD_LENGTH_MIN", "board_length < min_board_width", "board_length", "min_board_width"),
+    ("T0_CORNER_RADIUS_MIN", "corner_radius < 0", "corner_radius", "0"),
+    ("T0_CORNER_RADIUS_MAX", "corner_radius > floor(least(board_width, board_length) / 2)", "corner_radius", "floor(least(board_width, board_length) / 2)"),
+    ("T0_SIGNAL_DRILL_MIN", "signal_drill < min_drill", "signal_drill", "min_drill"),
+    ("T0_SIGNAL_VIA_DIAMETER_MIN", "signal_via < min_via_diameter", "signal_via", "min_via_diameter"),
+    ("T0_SIGNAL_PAD_DIAMETER_MIN", "signal_pad < min_via_diameter", "signal_pad", "min_via_diameter"),
+    ("T0_RETURN_VIA_DRILL_MIN", "return_drill < min_drill", "return_drill", "min_drill"),
+    ("T0_RETURN_VIA_DIAMETER_MIN", "return_via < min_via_diameter", "return_via", "min_via_diameter"),
+    ("T0_FENCE_VIA_DRILL_MIN", "fence_drill < min_drill", "fence_drill", "min_drill"),
+    ("T0_FENCE_VIA_DIAMETER_MIN", "fence_via < min_via_diameter", "fence_via", "min_via_diameter"),
+    ("T1_SIGNAL_VIA_DIAMETER_GT_DRILL", "signal_via <= signal_drill", "signal_via", "signal_drill + min_annular_ring"),
+    ("T1_SIGNAL_ANNULAR_MIN", "signal_pad < signal_via + 2 * min_annular_ring", "signal_pad", "signal_via + 2 * min_annular_ring"),
+    ("T1_RETURN_ANNULAR_MIN", "return_via < return_drill + 2 * min_annular_ring", "return_via", "return_drill + 2 * min_annular_ring"),
+    ("T1_FENCE_ANNULAR_MIN", "fence_via < fence_drill + 2 * min_annular_ring", "fence_via", "fence_drill + 2 * min_annular_ring"),
+    ("T1_TRACE_LEFT_POSITIVE", "length_left < 1", "length_left", "1"),
+    ("T1_TRACE_RIGHT_POSITIVE", "length_right < 1", "length_right", "1"),
+    ("T1_FENCE_PITCH_MIN", "fence_pitch < fence_via + min_via_to_via", "fence_pitch", "fence_via + min_via_to_via"),
+    ("T1_COPPER_TO_EDGE_CLEARANCE", f"board_width < {_EDGE}", "board_width", _EDGE),
+    ("T2_LEFT_CONNECTOR_X_MIN", "left_x < min_edge_clearance", "left_x", "min_edge_clearance"),
+    ("T2_LEFT_CONNECTOR_X_MAX", "left_x > board_length - min_edge_clearance", "left_x", "board_length - min_edge_clearance"),
+    ("T2_RIGHT_CONNECTOR_X_MIN", "right_x < min_edge_clearance", "right_x", "min_edge_clearance"),
+    ("T2_RIGHT_CONNECTOR_X_MAX", "right_x > board_length - min_edge_clearance", "right_x", "board_length - min_edge_clearance"),
+    ("T2_RETURN_VIA_RING_RADIUS", f"ring_radius < {_RING}", "ring_radius", _RING),
+    ("T3_VIA_COPPER_TO_RIGHT_EDGE", f"ring_radius IS NULL AND board_length < {_PAST_PAD}", "board_length", _PAST_PAD),
+    ("T3_RETURN_VIA_COPPER_TO_EDGE_X", f"ring_radius IS NOT NULL AND signal_pad IS NOT NULL AND board_length < {_PAST_RING}", "board_length", _PAST_RING),
+    ("T2_FENCE_VIA_GAP_CLEARANCE", "fence_offset < floor(fence_via / 2)", "fence_offset", "floor(fence_via / 2)"),
+    ("T2_FENCE_PITCH_MIN", "fence_pitch < fence_via + min_via_to_via", "fence_pitch", "fence_via + min_via_to_via"),
+    ("F1_CONTINUITY_LENGTH_LEFT", "signal_drill IS NOT NULL AND right_x - left_x - length_left < 1 AND length_left > greatest(right_x - left_x - 1, 1)", "length_left", "greatest(right_x - left_x - 1, 1)"),
+    ("F1_CONTINUITY_LENGTH_RIGHT", "signal_drill IS NOT NULL AND coalesce(length_right, 0) <> greatest(right_x - left_x - length_left, 1)", "length_right", "greatest(right_x - left_x - length_left, 1)"),
 )
 
 
 def document_repair(frame: DataFrame) -> DataFrame:
-    """Applies the repairs one after the other; adds actions, the log of those that took effect."""
-    own = frame.withColumn("actions", F.array().cast("array<string>"))
-    for action, when, column, value in DOCUMENT_REPAIRS:
-        hit = F.coalesce(F.expr(when), F.lit(False))
-        own = own.withColumn("_hit", hit).withColumn(column, F.when(F.col("_hit"), F.expr(value).cast("bigint")).otherwise(F.col(column))).withColumn("actions", F.when(F.col("_hit"), F.array_append("actions", F.lit(action))).otherwise(F.col("actions"))).drop("_hit")
+    """Applies the repairs one after the other, each on what those before it left; adds actions, the log of those that took effect: (constraint_id, parameter, before, after)."""
+    own = frame.withColumn("actions", F.array().cast("array<struct<constraint_id:string,parameter:string,before:bigint,after:bigint>>"))
+    for rule, when, column, value in DOCUMENT_REPAIRS:
+        hit, new = F.coalesce(F.expr(when), F.lit(False)), F.expr(value).cast("bigint")
+        action = F.struct(F.lit(rule).alias("constraint_id"), F.lit(column).alias("parameter"), F.col(column).alias("before"), new.alias("after"))
+        own = own.withColumns({column: F.when(hit, new).otherwise(F.col(column)), "actions": F.when(hit, F.concat("actions", F.array(action))).otherwise(F.col("actions"))})
     return own
+
+
+def action_distances(actions: str = "actions") -> dict[str, Column]:
+    """Of a log of repairs: the sum of relative changes (of the value before, or 1 where that is 0), L2 and the largest change."""
+    change = F.transform(actions, lambda a: F.abs(a["after"] - F.coalesce(a["before"], F.lit(0))).cast("double"))
+    share = F.transform(actions, lambda a: F.abs(a["after"] - F.coalesce(a["before"], F.lit(0))).cast("double") / F.greatest(F.abs(F.coalesce(a["before"], F.lit(0))), F.lit(1)))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    return {"relative": total(share), "l2": F.sqrt(total(F.transform(change, lambda v: v * v))), "linf": F.coalesce(F.array_max(change), F.lit(0.0))}

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -21,10 +21,10 @@ def window(kind: str, k: Column, n: Column) -> Column:
         return 0.54 - 0.46 * F.cos(turn)
     if kind == "blackman":
         return 0.42 - 0.5 * F.cos(turn) + 0.08 * F.cos(2 * turn)
-    if kind == "tukey":  # cosine ends over half of the samples
-        x = k / F.greatest(n - 1, F.lit(1))
-        end = F.least(x, 1 - x)
-        return F.when(end < 0.25, 0.5 * (1 - F.cos(4 * F.pi() * end))).otherwise(F.lit(1.0))
+    if kind == "tukey":  # cosine ends over half of the samples; the left one starts at 0, the right one ends a step above it
+        ends = F.floor(n / 4)
+        rise = lambda at: 0.5 * (1 - F.cos(F.pi() * at / F.greatest(ends, F.lit(1))))
+        return F.when(k >= n - ends, rise(n - k)).when(k < ends, rise(k)).otherwise(F.lit(1.0))
     if kind == "kaiser":  # beta 14; the Bessel function by its series, whose terms fall below 1e-17 of the sum
         half = lambda x: sum((F.pow(x / 2, F.lit(float(m))) / float(math.factorial(m))) * (F.pow(x / 2, F.lit(float(m))) / float(math.factorial(m))) for m in range(1, 40)) + F.lit(1.0)
         x = 2 * k / F.greatest(n - 1, F.lit(1)) - 1
@@ -32,6 +32,25 @@ def window(kind: str, k: Column, n: Column) -> Column:
     raise ValueError(kind)
 
 
+#: Largest loss between two bins, in dB.
+SCALLOPING = {"none": 3.92, "hann": 1.42, "hamming": 1.75, "blackman": 1.10, "kaiser": 1.0, "tukey": 2.0}
+
+
+def normalised_window(kind: str, k: Column, n: Column, by: WindowSpec) -> Column:
+    """Weights divided by their mean over a series (the window's partition), so that a constant keeps its level."""
+    own = window(kind, k, n)
+    mean = F.avg(own).over(by)
+    return F.when(mean > 0, own / mean).otherwise(own)
+
+
+def window_metrics(samples: DataFrame, by: str, kind: str) -> DataFrame:
+    """by, coherent_gain, noise_bandwidth (bins), processing_gain_db, scalloping_db of the window over each series (by, k, n)."""
+    w = window(kind, F.col("k").cast("double"), F.col("n"))
+    own = samples.groupBy(by).agg(F.avg(w).alias("coherent_gain"), F.sum(w * w).alias("_e"), F.count("*").alias("_n"))
+    own = own.withColumn("noise_bandwidth", F.try_divide(F.col("_e"), F.col("coherent_gain") * F.col("coherent_gain") * F.col("_n")))
+    return own.select(by, "coherent_gain", "noise_bandwidth", F.when(F.col("noise_bandwidth") > 0, 10 * F.log10(F.col("_n") / F.col("noise_bandwidth"))).otherwise(F.lit(0.0)).alias("processing_gain_db"), F.lit(SCALLOPING[kind]).alias("scalloping_db"))
+
+
 def thru(grid: DataFrame, ports: int = 2) -> DataFrame:
     """A network without loss or reflection on a grid (network_id, freq_hz): every port passes to its neighbour."""
     cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(1.0 if i != j and (i - 1) // 2 == (j - 1) // 2 else 0.0).alias("re"), F.lit(0.0).alias("im")) for i in range(1, ports + 1) for j in range(1, ports + 1)])
@@ -64,7 +83,7 @@ def extract(signals: DataFrame, z0: float, grid_hz: list[float]) -> DataFrame:
         waves = {}
         for port, p in own.groupby("port"):
             v, i, t = p["v"].to_numpy(), p["i"].to_numpy(), p["t_s"].to_numpy()
-            f = np.fft.rfftfreq(len(v), float(np.mean(np.diff(t))))
+            f = np.fft.rfftfreq(len(v), float(np.mean(np.diff(t))) if len(t) > 1 else 1.0)  # one sample: a constant
             waves[port] = (f, np.fft.rfft((v + z0 * i) / (2 * np.sqrt(z0))), np.fft.rfft((v - z0 * i) / (2 * np.sqrt(z0))))
         a = waves[key[1]][1]
         rows = []

@@ -59,3 +59,44 @@ def excitation_matrix(runs: DataFrame) -> DataFrame:
     """Full matrices from runs (network_id, excite, f_idx, freq_hz, i, re, im): the run that excites a port gives its column. Two runs of one port raise no error: the larger pair wins."""
     own = runs.groupBy("network_id", "f_idx", "freq_hz", "i", F.col("excite").alias("j")).agg(F.max(F.struct("re", "im")).alias("s"))
     return own.select("network_id", "f_idx", "freq_hz", "i", "j", "s.re", "s.im")
+
+
+FACES = ("x_min", "x_max", "y_min", "y_max", "z_min", "z_max")
+
+
+def absorbing_layers(frame: DataFrame, key: str) -> DataFrame:
+    """key, status, layers: whether the absorbing boundaries of a set-up (f_max_hz and, for each face, its layers, null where it doesn't absorb) have layers enough for its band.
+
+    Too few on any face fails; else the two port faces (x) must absorb, and fewer than recommended on any face warns.
+    """
+    band = F.when(F.col("f_max_hz") < 5e9, F.struct(F.lit(8).alias("least"), F.lit(8).alias("wanted"))).when(F.col("f_max_hz") <= 2e10, F.struct(F.lit(8).alias("least"), F.lit(16).alias("wanted"))).otherwise(F.struct(F.lit(16).alias("least"), F.lit(32).alias("wanted")))
+    fewest = F.array_min(F.array(*FACES))
+    status = F.when(fewest < F.col("_band.least"), "FAILED").when(F.col("x_min").isNull() | F.col("x_max").isNull() | (fewest < F.col("_band.wanted")), "WARNING").otherwise("PASSED")
+    return frame.withColumn("_band", band).select(key, status.alias("status"), fewest.alias("layers"))
+
+
+def set_up_checks(frame: DataFrame, key: str) -> DataFrame:
+    """(key, check, status) of set-ups: absorbing layers, device settings (use_gpu, engine), excited ports (n_excited), the sweep (f_start_hz, f_max_hz)."""
+    layers_ = absorbing_layers(frame, key).select(key, F.lit("absorbing_layers").alias("check"), "status")
+    other = F.array(
+        F.struct(F.lit("device").alias("check"), F.when(F.col("use_gpu") & ~F.col("engine").isin("basic", "multithreaded"), "WARNING").otherwise("PASSED").alias("status")),
+        F.struct(F.lit("excitation").alias("check"), F.when(F.col("n_excited") > 0, "PASSED").otherwise("FAILED").alias("status")),
+        F.struct(F.lit("sweep").alias("check"), F.when(F.col("f_start_hz") < F.col("f_max_hz"), "PASSED").otherwise("FAILED").alias("status")),
+    )
+    return layers_.union(frame.select(key, F.inline(other)))
+
+
+def port_shapes(ports_: DataFrame, keys: list[str], tolerance_deg: float = 0.01, cells: float = 1.0) -> DataFrame:
+    """Ports (keys, rotation_deg, width, length, mesh_cell; signal_width and gap may be null) with cardinal, shorted and long_enough: turned by a multiple of 90 degrees; gap not positive, or signal and gaps wider than the port; at least so many mesh cells long."""
+    turn = F.pmod(F.col("rotation_deg"), F.lit(90.0))
+    wide = (F.col("gap") <= 0) | (F.col("signal_width") > F.col("width")) | (F.col("signal_width") + 2 * F.col("gap") > F.col("width"))
+    return ports_.select(*keys, (F.least(turn, 90.0 - turn) <= tolerance_deg).alias("cardinal"), F.coalesce(wide, F.lit(False)).alias("shorted"), (F.col("length") >= cells * F.col("mesh_cell")).alias("long_enough"))
+
+
+def port_overlaps(ports_: DataFrame, key: str, port: str, longest: int) -> DataFrame:
+    """Pairs (key, a, b) of a design's ports whose boxes (x, y, z as centres; length, width, height) overlap; boxes that only touch don't. Ports meet in strips as wide as the longest."""
+    strip = F.floor(F.col("x") / longest)
+    a = ports_.withColumn("_strip", strip).select(key, "_strip", F.col(port).alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("x", "y", "z", "length", "width", "height")])
+    b = ports_.withColumn("_strip", F.explode(F.array(strip - 1, strip, strip + 1))).select(key, "_strip", F.col(port).alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("x", "y", "z", "length", "width", "height")])
+    near = [2 * F.abs(F.col(f"a_{at}") - F.col(f"b_{at}")) < F.col(f"a_{size}") + F.col(f"b_{size}") for at, size in (("x", "length"), ("y", "width"), ("z", "height"))]
+    return a.join(b, [key, "_strip"]).where(F.col("a") < F.col("b")).where(near[0] & near[1] & near[2]).select(key, "a", "b")

@@ -224,3 +224,16 @@ def batch_job_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderpriority AS batch, o_orderstatus AS status, count(*) AS n, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY o_orderpriority) AS share FROM orders GROUP BY 1, 2""")
 def batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.status_shares(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("batch"), F.col("o_orderstatus").alias("status")))
+
+
+@query("""SELECT c_custkey, c_acctbal AS value, CAST(0 AS BIGINT) AS version FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT o_custkey, arg_max(o_totalprice, (o_orderkey, o_totalprice)), max(o_orderkey) FROM orders GROUP BY o_custkey""")
+def registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("value"), F.lit(0).cast("bigint").alias("version"))
+    new = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("version"))
+    return C.upsert(base, new, ["c_custkey"], "version")
+
+
+@query(f"""WITH {RUNS_SQL}, c AS (SELECT CAST(o_custkey AS VARCHAR) AS run_id FROM orders GROUP BY o_custkey HAVING max(o_totalprice) > 400000) SELECT run_id, stage_name, CASE WHEN run_id IN (SELECT run_id FROM c) THEN 'archived' ELSE status END AS status FROM runs""")
+def run_status_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    large = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("run_id")).agg(F.max("o_totalprice").alias("m")).where("m > 400000")
+    return C.set_status(runs(spark, sf_dir), large.select("run_id", F.lit("archived").alias("status")), "run_id")

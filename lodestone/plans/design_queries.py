@@ -66,6 +66,18 @@ def via_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.via_zones(specs(spark, sf_dir), "p_partkey")
 
 
+@query(f"""WITH {_SPECS_SQL}, l AS (SELECT p_partkey, length_left, unnest([pad, pad + 100000, 0]) AS radius FROM specs) SELECT p_partkey, 'x' AS axis, length_left AS center, radius FROM l WHERE radius > 0 UNION ALL SELECT p_partkey, 'y', 0, radius FROM l WHERE radius > 0""")
+def antipad_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layers = specs(spark, sf_dir).select("p_partkey", "length_left", F.explode(F.array(F.col("pad"), F.col("pad") + 100_000, F.lit(0).cast("bigint"))).alias("radius"))
+    return D.antipad_zones(layers, "p_partkey")
+
+
+@query(f"""WITH {_SPECS_SQL}, c AS (SELECT p_partkey, CAST(floor(w / 2) AS BIGINT) AS h, gap, CAST(floor(gap / 3) AS BIGINT) AS cell FROM specs), z AS (SELECT p_partkey, h AS c, CAST(floor(gap / 2) AS BIGINT) AS r FROM c UNION ALL SELECT p_partkey, h + gap, 2 * cell FROM c)
+    SELECT p_partkey, 'y' AS axis, s * c AS center, r AS radius FROM z, (VALUES (1), (-1)) v(s)""")
+def trace_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.trace_zones(specs(spark, sf_dir).withColumn("trace_cell", F.floor(F.col("gap") / 3)), "p_partkey")
+
+
 @query()
 def network_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.network_hashes(networks(spark, sf_dir))

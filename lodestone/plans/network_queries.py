@@ -154,13 +154,11 @@ def network_renormalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def network_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "events").where("user_id % 10 = 0")
+    own = table(spark, sf_dir, "events")
     from pyspark.sql import Window
 
     k = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
     rows = own.select(F.col("user_id").cast("string").alias("network_id"), F.lit(1).alias("excite"), k.alias("k"), F.col("value").alias("v"))
-    many = rows.groupBy("network_id").agg(F.count("*").alias("c")).where("c > 3")
-    rows = rows.join(many, "network_id", "left_semi")
     ports = rows.select("network_id", "excite", F.explode(F.array(F.lit(1), F.lit(2))).alias("port"), "k", (F.col("k") * 1e-12).alias("t_s"), "v")
     return S.extract(ports.withColumns({"i": F.when(F.col("port") == 1, F.col("v") / 60).otherwise(F.col("v") / -80), "v": F.col("v") / F.col("port")}), 50.0, [1e9, 5e9, 1e10])
 
@@ -177,11 +175,35 @@ def network_thru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.thru(grid).select("network_id", "i", "j", "re", "im")
 
 
-@query("""WITH n AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events), x AS (SELECT *, CAST(k AS DOUBLE) / greatest(n - 1, 1) AS x FROM n)
-    SELECT user_id, k, round(value * CASE WHEN least(x, 1 - x) < 0.25 THEN 0.5 * (1 - cos(4 * pi() * least(x, 1 - x))) ELSE 1 END, 6) AS v FROM x""")
-def tukey_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+_SAMPLES = "n AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events)"
+_WEIGHTS = {
+    "hann": "0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * k / greatest(n - 1, 1))",
+    "hamming": "0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * k / greatest(n - 1, 1))",
+    "blackman": "0.42::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * k / greatest(n - 1, 1)) + 0.08::DOUBLE * cos(4 * pi() * k / greatest(n - 1, 1))",
+    "tukey": "CASE WHEN k >= n - n // 4 THEN 0.5::DOUBLE * (1 - cos(pi() * (n - k) / (n // 4))) WHEN k < n // 4 THEN 0.5::DOUBLE * (1 - cos(pi() * k / (n // 4))) ELSE 1 END",
+}
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     by = Window.partitionBy("user_id")
-    own = table(spark, sf_dir, "events").select("user_id", "value", (F.row_number().over(by.orderBy("event_id")) - 1).cast("bigint").alias("k"), F.count("*").over(by).alias("n"))
-    return own.select("user_id", "k", F.round(F.col("value") * S.window("tukey", F.col("k").cast("double"), F.col("n")), 6).alias("v"))
+    return table(spark, sf_dir, "events").select("user_id", "value", (F.row_number().over(by.orderBy("event_id")) - 1).cast("bigint").alias("k"), F.count("*").over(by).alias("n"))
+
+
+@query(f"WITH {_SAMPLES}, w AS (SELECT *, {_WEIGHTS['tukey']} AS w FROM n) SELECT user_id, k, round(value * w / avg(w) OVER (PARTITION BY user_id), 9) AS v FROM w")
+def tukey_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    weight = S.normalised_window("tukey", F.col("k").cast("double"), F.col("n"), Window.partitionBy("user_id"))
+    return _samples(spark, sf_dir).select("user_id", "k", F.round(F.col("value") * weight, 9).alias("v"))
+
+
+@query(f"WITH {_SAMPLES}, w AS (" + " UNION ALL ".join(f"SELECT user_id, '{kind}' AS kind, {x} AS w, {S.SCALLOPING[kind]}::DOUBLE AS l FROM n" for kind, x in _WEIGHTS.items()) + """), m AS (SELECT user_id, kind, l, avg(w) AS g, sum(w * w) AS e, count(*) AS n FROM w GROUP BY ALL), b AS (SELECT *, CASE WHEN g * g * n > 1e-20 THEN e / (g * g * n) END AS b FROM m)
+    SELECT user_id, kind, round(g, 9) AS coherent_gain, round(b, 6) AS noise_bandwidth, round(CASE WHEN b > 0 THEN 10 * log10(n / b) ELSE 0 END, 6) AS processing_gain_db, l AS scalloping_db FROM b WHERE g > 1e-9""")
+def window_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, out = _samples(spark, sf_dir), None
+    for kind in _WEIGHTS:
+        one = S.window_metrics(own, "user_id", kind).withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out.where("coherent_gain > 1e-9").select("user_id", "kind", F.round("coherent_gain", 9).alias("coherent_gain"), F.round("noise_bandwidth", 6).alias("noise_bandwidth"), F.round("processing_gain_db", 6).alias("processing_gain_db"), "scalloping_db")

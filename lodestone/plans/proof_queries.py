@@ -32,12 +32,12 @@ def constraint_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.withColumn("failures", F.when(F.size("failures") > 0, F.array_join("failures", ",")))
 
 
-@query("""WITH l AS (SELECT p_partkey, unnest(['L1', 'L2']) AS layer, 700000 AS pad, 800000 + p_size * 10000 - 250000 AS size_x, 900000 AS size_y, 300000 AS drill FROM part WHERE p_partkey < 500),
+@query("""WITH l AS (SELECT p_partkey, unnest(['L1', 'L2']) AS layer, 700000 AS pad, 800000 + p_size * 10000 - 250000 AS size_x, 900000 AS size_y, 300000 AS drill FROM part),
     m AS (SELECT p_partkey, layer, 'COVERAGE' AS c, CAST(least(size_x, size_y) - pad AS BIGINT) AS margin FROM l UNION ALL SELECT p_partkey, layer, 'X', CAST(floor((size_x - drill) / 2) AS BIGINT) - 250000 FROM l UNION ALL SELECT p_partkey, layer, 'Y', CAST(floor((size_y - drill) / 2) AS BIGINT) - 250000 FROM l)
     SELECT p_partkey, 'T3_ANTIPAD_' || layer || '_' || c AS constraint_id, margin, margin >= 0 AS passed FROM m""")
 def antipad_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda x: F.lit(x).cast("bigint")
-    own = table(spark, sf_dir, "part").where("p_partkey < 500").select("p_partkey", F.explode(F.array(F.lit("L1"), F.lit("L2"))).alias("layer"), n(700_000).alias("pad"), (n(800_000) + F.col("p_size") * 10_000 - 250_000).alias("size_x"), n(900_000).alias("size_y"), n(300_000).alias("drill"))
+    own = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(F.lit("L1"), F.lit("L2"))).alias("layer"), n(700_000).alias("pad"), (n(800_000) + F.col("p_size") * 10_000 - 250_000).alias("size_x"), n(900_000).alias("size_y"), n(300_000).alias("drill"))
     return P.antipads(own, "p_partkey", 250_000)
 
 
@@ -76,3 +76,34 @@ def port_map_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resource_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("ram"), (F.col("o_custkey") % 10).alias("gpu"))
     return V.resource_excess(jobs, {"ram": 400_000, "gpu": 8}, "o_orderkey")
+
+
+_LAYERS = {"x_min": "o_custkey % 4", "x_max": "o_custkey % 5", "y_min": "o_custkey % 2", "y_max": "0", "z_min": "1", "z_max": "o_orderkey % 3"}
+_SET_UPS = {"f_max_hz": "o_totalprice * CAST(100000 AS DOUBLE)", "f_start_hz": "(o_orderkey % 20) * CAST(1000000000 AS DOUBLE)", "n_excited": "o_custkey % 3", "use_gpu": "o_orderkey % 2 = 0", "engine": "CASE o_orderkey % 3 WHEN 0 THEN 'basic' WHEN 1 THEN 'multithreaded' ELSE 'other' END"} | {f: f"CASE {x} WHEN 0 THEN 32 WHEN 1 THEN 16 WHEN 2 THEN 8 END" for f, x in _LAYERS.items()}
+
+
+@query("WITH s AS (SELECT o_orderkey, " + ", ".join(f"{x} AS {n}" for n, x in _SET_UPS.items()) + """ FROM orders), b AS (SELECT *, least(x_min, x_max, y_min, y_max, z_min, z_max) AS few, CASE WHEN f_max_hz <= 2e10 THEN 8 ELSE 16 END AS least_, CASE WHEN f_max_hz < 5e9 THEN 8 WHEN f_max_hz <= 2e10 THEN 16 ELSE 32 END AS wanted FROM s)
+    SELECT o_orderkey, 'absorbing_layers' AS "check", CASE WHEN few < least_ THEN 'FAILED' WHEN x_min IS NULL OR x_max IS NULL OR few < wanted THEN 'WARNING' ELSE 'PASSED' END AS status FROM b UNION ALL SELECT o_orderkey, 'device', CASE WHEN use_gpu AND engine = 'other' THEN 'WARNING' ELSE 'PASSED' END FROM s
+    UNION ALL SELECT o_orderkey, 'excitation', CASE WHEN n_excited > 0 THEN 'PASSED' ELSE 'FAILED' END FROM s UNION ALL SELECT o_orderkey, 'sweep', CASE WHEN f_start_hz < f_max_hz THEN 'PASSED' ELSE 'FAILED' END FROM s""")
+def set_up_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "orders").select("o_orderkey", *[F.expr(x).alias(n) for n, x in _SET_UPS.items()])
+    return V.set_up_checks(own, "o_orderkey")
+
+
+_PORTS = {"rotation_deg": "(p_partkey % 8) * CAST(45 AS DOUBLE)", "width": "100000 + p_size * 1000", "signal_width": "CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE 50000 + (p_partkey % 60) * 1000 END", "gap": "CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE (p_partkey % 5 - 1) * 10000 END", "length": "p_size * 1000", "mesh_cell": "20000"}
+
+
+@query("WITH s AS (SELECT p_partkey, " + ", ".join(f"{x} AS {n}" for n, x in _PORTS.items()) + " FROM part) SELECT p_partkey, p_partkey % 2 = 0 AS cardinal, coalesce(gap <= 0 OR signal_width > width OR signal_width + 2 * gap > width, false) AS shorted, length >= mesh_cell AS long_enough FROM s")
+def port_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "part").select("p_partkey", *[F.expr(x).alias(n) for n, x in _PORTS.items()])
+    return V.port_shapes(own, ["p_partkey"])
+
+
+_BOXES = {"x": "(s_suppkey * 7919) % 300", "y": "(s_suppkey * 104729) % 300", "z": "s_suppkey % 2 * 5", "length": "40 + s_suppkey % 30", "width": "60 + s_suppkey % 20", "height": "10"}
+
+
+@query("WITH s AS (SELECT s_suppkey AS p, s_nationkey, " + ", ".join(f"{x} AS {n}" for n, x in _BOXES.items()) + """ FROM supplier) SELECT a.s_nationkey, a.p AS a, b.p AS b FROM s a JOIN s b ON a.s_nationkey = b.s_nationkey AND a.p < b.p
+    AND 2 * abs(a.x - b.x) < a.length + b.length AND 2 * abs(a.y - b.y) < a.width + b.width AND 2 * abs(a.z - b.z) < a.height + b.height""")
+def port_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("p"), "s_nationkey", *[F.expr(x).alias(n) for n, x in _BOXES.items()])
+    return V.port_overlaps(own, "s_nationkey", "p", 70)

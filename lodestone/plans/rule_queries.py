@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import mappings as P
 from lodestone.operators import features as D
 from lodestone.operators import integrity as I
 from lodestone.operators import meshes as M
@@ -109,17 +110,42 @@ def document_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.document_results(specs(spark, sf_dir), "p_partkey").withColumn("margin", F.round("margin", 3))
 
 
+_REPAIRED = tuple(dict.fromkeys(column for _, _, column, _ in R.DOCUMENT_REPAIRS))
+
+
 def _repair_sql() -> str:
     ctes, last = [_SPECS_SQL, "r0 AS (SELECT *, CAST([] AS VARCHAR[]) AS actions FROM docs)"], "r0"
-    for k, (action, when, column, value) in enumerate(R.DOCUMENT_REPAIRS, 1):
-        ctes.append(f"r{k} AS (SELECT * EXCLUDE ({column}, actions), CASE WHEN coalesce({when}, false) THEN CAST({value} AS BIGINT) ELSE {column} END AS {column}, CASE WHEN coalesce({when}, false) THEN list_append(actions, '{action}') ELSE actions END AS actions FROM {last})")
+    for k, (rule, when, column, value) in enumerate(R.DOCUMENT_REPAIRS, 1):
+        new = f"CAST({value} AS BIGINT)"
+        said = f"'{rule}:' || coalesce(CAST({column} AS VARCHAR), '') || ':' || CAST({new} AS VARCHAR)"
+        ctes.append(f"r{k} AS (SELECT * EXCLUDE ({column}, actions), CASE WHEN coalesce({when}, false) THEN {new} ELSE {column} END AS {column}, CASE WHEN coalesce({when}, false) THEN list_append(actions, {said}) ELSE actions END AS actions FROM {last})")
         last = f"r{k}"
-    return "WITH " + ", ".join(ctes) + f" SELECT p_partkey, trace_width, fence_pitch, ring_radius, right_x, length_right, array_to_string(actions, ';') AS actions FROM {last}"
+    return "WITH " + ", ".join(ctes) + f" SELECT p_partkey, {', '.join(_REPAIRED)}, array_to_string(actions, ';') AS actions FROM {last}"
 
 
 @query(_repair_sql())
 def document_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.document_repair(specs(spark, sf_dir)).select("p_partkey", "trace_width", "fence_pitch", "ring_radius", "right_x", "length_right", F.array_join("actions", ";").alias("actions"))
+    said = F.transform("actions", lambda a: F.concat(a["constraint_id"], F.lit(":"), F.coalesce(a["before"].cast("string"), F.lit("")), F.lit(":"), a["after"].cast("string")))
+    return R.document_repair(specs(spark, sf_dir)).select("p_partkey", *_REPAIRED, F.array_join(said, ";").alias("actions"))
+
+
+@query(f"""WITH r AS ({_repair_sql()}), a AS (SELECT p_partkey, unnest(CASE WHEN actions = '' THEN [NULL] ELSE string_split(actions, ';') END) AS a FROM r), c AS (SELECT p_partkey, coalesce(CAST(nullif(split_part(a, ':', 2), '') AS BIGINT), 0) AS b, CAST(nullif(split_part(a, ':', 3), '') AS BIGINT) AS e FROM a)
+    SELECT p_partkey, round(coalesce(sum(abs(e - b) / CAST(greatest(abs(b), 1) AS DOUBLE)), 0), 9) AS relative, round(sqrt(coalesce(sum(CAST(abs(e - b) AS DOUBLE) * abs(e - b)), 0)), 3) AS l2, CAST(coalesce(max(abs(e - b)), 0) AS DOUBLE) AS linf FROM c GROUP BY p_partkey""")
+def document_repair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = R.action_distances()
+    return R.document_repair(specs(spark, sf_dir)).select("p_partkey", F.round(d["relative"], 9).alias("relative"), F.round(d["l2"], 3).alias("l2"), d["linf"].alias("linf"))
+
+
+@query("""WITH u AS (SELECT p_partkey, p_size / 50.0::DOUBLE AS u, p_retailprice / 250 AS v FROM part), x AS (SELECT *, [1.0::DOUBLE, 2.5, 4.0, 8.0] AS l FROM u), m AS (SELECT *, 100.0::DOUBLE + u * 400 AS linear, exp(ln(1e3::DOUBLE) + u * (ln(1e6::DOUBLE) - ln(1e3::DOUBLE))) AS log FROM x)
+    SELECT p_partkey, round(linear, 6) AS linear, round(log, 4) AS log, l[least(4, CAST(floor(u * 4) AS INT) + 1)] AS discrete, round((linear - 100) / 400, 9) AS linear_number, round((ln(log) - ln(1e3::DOUBLE)) / (ln(1e6::DOUBLE) - ln(1e3::DOUBLE)), 9) AS log_number,
+        (list_position(list_transform(l, lambda e: abs(v - e)), list_min(list_transform(l, lambda e: abs(v - e)))) - 0.5::DOUBLE) / 4 AS discrete_number FROM m""")
+def parameter_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u, some = F.col("p_size") / F.lit(50.0), (1.0, 2.5, 4.0, 8.0)
+    linear, log = P.to_value(u, "linear", 100, 500), P.to_value(u, "log", 1e3, 1e6)
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", F.round(linear, 6).alias("linear"), F.round(log, 4).alias("log"), P.to_value(u, "discrete", values=some).alias("discrete"),
+        F.round(P.to_number(linear, "linear", 100, 500), 9).alias("linear_number"), F.round(P.to_number(log, "log", 1e3, 1e6), 9).alias("log_number"), P.to_number(F.col("p_retailprice") / 250, "discrete", values=some).alias("discrete_number"),
+    )
 
 
 @query("""WITH g AS (SELECT p_brand AS axis, list_sort(list_distinct(list(CAST(p_size * 100 AS BIGINT)))) AS l FROM part GROUP BY p_brand), d AS (SELECT axis, list_transform(range(1, len(l)), lambda i: l[i + 1] - l[i]) AS c FROM g)
@@ -136,22 +162,32 @@ def mesh_cell_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.cell_sizes(specs(spark, sf_dir), 20e9).select("p_partkey", "min_wavelength", "base_cell", "trace_cell")
 
 
-@query(f"""WITH {_SPECS_SQL} SELECT p_partkey, CAST(k AS INT) AS k, CAST(round(round(ring_radius * cos(2 * pi() * k / return_count), 3), 0) AS BIGINT) AS x, CAST(round(round(ring_radius * sin(2 * pi() * k / return_count), 3), 0) AS BIGINT) AS y
-    FROM (SELECT *, unnest(range(0, return_count)) AS k FROM specs WHERE ring_radius IS NOT NULL AND p_partkey < 400)""")
+_TURN = "k * (360000 // return_count) / 1000.0::DOUBLE * 0.017453292519943295::DOUBLE"
+
+
+@query(f"""WITH {_SPECS_SQL} SELECT p_partkey, CAST(k AS INT) AS k, CAST(trunc(ring_radius * cos({_TURN})) AS BIGINT) AS x, CAST(trunc(ring_radius * sin({_TURN})) AS BIGINT) AS y
+    FROM (SELECT *, unnest(range(0, return_count)) AS k FROM specs WHERE ring_radius IS NOT NULL)""")
 def via_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = specs(spark, sf_dir).where("ring_radius IS NOT NULL AND p_partkey < 400")
-    return M.ring(own, "p_partkey", "ring_radius", "return_count")
+    return M.ring(specs(spark, sf_dir), "p_partkey", "ring_radius", "return_count")
+
+
+@query("""WITH g AS (SELECT p_partkey, p_size % 4 + 1 AS r, p_size % 5 + 1 AS c, 500000 + p_size * 1001 AS rp, 400001 + p_size * 1000 AS cp FROM part), x AS (SELECT *, unnest(range(0, r)) AS i FROM g), y AS (SELECT *, unnest(range(0, c)) AS j FROM x)
+    SELECT p_partkey, CAST(i AS INT) AS "row", CAST(j AS INT) AS col, CAST(j * cp - floor((c - 1) * cp / 2) AS BIGINT) AS x, CAST(i * rp - floor((r - 1) * rp / 2) AS BIGINT) AS y FROM y WHERE NOT (i = (r - 1) // 2 AND j = (c - 1) // 2)""")
+def via_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    own = table(spark, sf_dir, "part").select("p_partkey", (size % 4 + 1).alias("r"), (size % 5 + 1).alias("c"), (500_000 + size * 1001).alias("rp"), (400_001 + size * 1000).alias("cp"))
+    return M.grid(own, "p_partkey", "r", "c", "rp", "cp")
 
 
-@query(f"""WITH {_SPECS_SQL} SELECT p_partkey, CAST(unnest(range(0, CAST(floor((length_left + coalesce(length_right, 0)) / fence_pitch) AS BIGINT))) AS BIGINT) * fence_pitch AS x FROM specs WHERE fence_pitch IS NOT NULL AND p_partkey < 200""")
+@query(f"""WITH {_SPECS_SQL}, f AS (SELECT p_partkey, length_left + coalesce(length_right, 0) AS l, fence_pitch AS p, CAST(floor(w / 2) AS BIGINT) + gap + fence_offset AS o FROM specs WHERE fence_pitch IS NOT NULL), k AS (SELECT *, l // p AS n, unnest(range(0, l // p)) AS k FROM f)
+    SELECT p_partkey, CAST(k AS INT) AS k, side, CAST((l - (n - 1) * p) // 2 + k * p AS BIGINT) AS x, side * o AS y FROM k, (VALUES (1), (-1)) s(side)""")
 def via_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = specs(spark, sf_dir).where("fence_pitch IS NOT NULL AND p_partkey < 200")
-    return M.fence(own, "p_partkey", F.col("length_left") + F.coalesce("length_right", F.lit(0)), "fence_pitch")
+    return M.fence(specs(spark, sf_dir), "p_partkey", F.col("length_left") + F.coalesce("length_right", F.lit(0)), "fence_pitch", F.floor(F.col("w") / 2) + F.col("gap") + F.col("fence_offset"))
 
 
 @query()
 def graded_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zones = table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").cast("string").alias("axis"), F.array(F.lit(0).cast("bigint"), (F.col("p_size") * 100_000).cast("bigint"), (F.col("p_size") * 100_000 + 5_000_000).cast("bigint")).alias("fixed"))
+    zones = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("axis"), F.array(F.lit(0).cast("bigint"), (F.col("p_size") * 100_000).cast("bigint"), (F.col("p_size") * 100_000 + 5_000_000).cast("bigint")).alias("fixed"))
     return M.graded_lines(zones, finest=50_000, ratio=1.5, coarsest=500_000)
 
 

@@ -182,3 +182,65 @@ def test_windows_are_numpys(spark):
     for kind, want in (("hann", np.hanning(n)), ("hamming", np.hamming(n)), ("blackman", np.blackman(n)), ("kaiser", np.kaiser(n, 14.0))):
         got = [r.w for r in frame.select("id", S.window(kind, F.col("id").cast("double"), F.col("n")).alias("w")).orderBy("id").collect()]
         assert np.allclose(got, want, atol=1e-12)
+
+
+def test_tukey_ends_and_normalised_windows(spark):
+    from pyspark.sql import Window
+
+    n, ends = 33, 8
+    want = np.ones(n)
+    for t in range(ends):
+        want[t] = 0.5 * (1 - np.cos(np.pi * t / ends))
+        want[n - 1 - t] = 0.5 * (1 - np.cos(np.pi * (t + 1) / ends))
+    frame = spark.range(n).select("id", F.lit("s").alias("s"), F.col("id").cast("double").alias("k"), F.lit(n).alias("n"))
+    got = frame.select("id", S.window("tukey", F.col("k"), F.col("n")).alias("w"), S.normalised_window("tukey", F.col("k"), F.col("n"), Window.partitionBy("s")).alias("v")).orderBy("id").collect()
+    assert np.allclose([r.w for r in got], want) and np.allclose([r.v for r in got], want / want.mean())
+    m = S.window_metrics(frame, "s", "none").first()
+    assert (m.coherent_gain, m.noise_bandwidth) == (1.0, 1.0) and abs(m.processing_gain_db - 10 * np.log10(n)) < 1e-9
+
+
+def test_mappings_there_and_back(spark):
+    from lodestone.functions import mappings as P
+
+    u = spark.createDataFrame([(x / 8,) for x in range(9)], "u double")
+    for kind, options in (("linear", {"low": -3, "high": 9}), ("log", {"low": 0.1, "high": 1e4})):
+        back = u.select("u", P.to_number(P.to_value(F.col("u"), kind, **options), kind, **options).alias("b"))
+        assert all(abs(r.u - r.b) < 1e-12 for r in back.collect())
+    some = (3.0, 5.0, 11.0)
+    got = u.select("u", P.to_value(F.col("u"), "discrete", values=some).alias("v")).select("u", "v", P.to_number(F.col("v"), "discrete", values=some).alias("b")).orderBy("u").collect()
+    assert [r.v for r in got] == [3, 3, 3, 5, 5, 5, 11, 11, 11] and [round(r.b * 6) for r in got] == [1, 1, 1, 3, 3, 3, 5, 5, 5]
+    with pytest.raises(ValueError):
+        P.to_value(F.col("u"), "cubic")
+
+
+def test_upserts_and_status(spark):
+    from lodestone.operators import catalogue as C
+
+    base = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k long, status string, v long")
+    new = spark.createDataFrame([(2, "c", 2), (2, "d", 3), (3, "e", 1), (3, "e", 1)], "k long, status string, v long")
+    assert sorted(map(tuple, C.upsert(base, new, ["k"], "v").collect())) == [(1, "a", 1), (2, "d", 3), (3, "e", 1)]
+    assert sorted(map(tuple, C.upsert(base, new, ["k"], "v", keep_old=True).collect())) == [(1, "a", 1), (2, "b", 1), (3, "e", 1)]
+    assert C.upsert(base.limit(0), new.limit(0), ["k"], "v").count() == 0
+    assert sorted(map(tuple, C.set_status(base, spark.createDataFrame([(2, "x")], "k long, status string"), "k").collect())) == [(1, "a", 1), (2, "x", 1)]
+
+
+def test_document_repair_order_and_log(spark):
+    limits = {"min_trace_width": 100, "min_gap": 100, "min_board_width": 5000, "min_drill": 200, "min_via_diameter": 300, "min_annular_ring": 100, "min_edge_clearance": 200, "min_via_to_via": 200}
+    doc = {"trace_width": 50, "trace_gap": 150, "board_width": 6000, "board_length": 20000, "corner_radius": -5, "signal_drill": 400, "signal_via": 350, "signal_pad": 360, "return_drill": 200, "return_via": 300, "ring_radius": 500, "fence_drill": None, "fence_via": None, "fence_pitch": None, "fence_offset": None, "length_left": 9000, "length_right": 1, "left_x": 100, "right_x": 19900}
+    row = doc | limits
+    own = R.document_repair(spark.createDataFrame([(1, *row.values())], "k long, " + ", ".join(f"{c} long" for c in row))).first()
+    assert [(a.constraint_id, a.before, a.after) for a in own.actions] == [
+        ("T0_TRACE_WIDTH_MIN", 50, 100), ("T0_CORNER_RADIUS_MIN", -5, 0), ("T1_SIGNAL_VIA_DIAMETER_GT_DRILL", 350, 500), ("T1_SIGNAL_ANNULAR_MIN", 360, 700), ("T1_RETURN_ANNULAR_MIN", 300, 400),
+        ("T2_LEFT_CONNECTOR_X_MIN", 100, 200), ("T2_RIGHT_CONNECTOR_X_MAX", 19900, 19800), ("T2_RETURN_VIA_RING_RADIUS", 500, 750), ("F1_CONTINUITY_LENGTH_RIGHT", 1, 10600),
+    ]
+    assert own.fence_pitch is None and own.signal_pad == 700
+
+
+def test_absorbing_layers_and_ports(spark):
+    rows = [(1, 4e9, 8, 8, None, None, 8, 8), (2, 1e10, 8, 16, None, None, None, None), (3, 3e10, 32, 32, 8, None, None, None), (4, 3e10, 32, None, 32, 32, 32, 32), (5, 3e10, None, None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "k long, f_max_hz double, x_min int, x_max int, y_min int, y_max int, z_min int, z_max int")
+    assert sorted((r.k, r.status) for r in V.absorbing_layers(frame, "k").collect()) == [(1, "PASSED"), (2, "WARNING"), (3, "FAILED"), (4, "WARNING"), (5, "WARNING")]
+    ports = spark.createDataFrame([("p", 90.0001, 500, 300, 150, 100, 50), ("q", 45.0, 660, 300, 180, 40, 50), ("r", 360.0, 660, None, None, 50, 50)], "id string, rotation_deg double, width long, signal_width long, gap long, length long, mesh_cell long")
+    assert sorted(map(tuple, V.port_shapes(ports, ["id"]).collect())) == [("p", True, True, True), ("q", False, False, False), ("r", True, False, True)]
+    boxes = spark.createDataFrame([("d", "a", 0, 0, 0, 100, 10, 10), ("d", "b", 50, 0, 0, 100, 10, 10), ("d", "c", 150, 0, 0, 100, 10, 10), ("e", "a", 0, 0, 0, 100, 10, 10)], "d string, p string, x long, y long, z long, length long, width long, height long")
+    assert [tuple(r) for r in V.port_overlaps(boxes, "d", "p", 100).collect()] == [("d", "a", "b")]
