@@ -9,8 +9,10 @@ skipped whole. A set that is found to link to a component's leader takes over wh
 its other members aren't looked at; where it doesn't, its overlap with the leader and the members' known overlaps with
 it bound, and mostly settle, the answers for the members. What remains is compared in full.
 
-Families too large for a task are split into chunks; components' leaders are then compared on further levels, and members
-outside the largest component with all chunks. No pair that could link is left out.
+Families too large for a task are split into chunks; components' leaders are then compared on further levels. What may
+still link is members of different components. Where few are outside a family's largest component, those are compared
+with all its chunks, at a cost in proportion to the family; in a family without such a component, members meet only in
+those prefix lists that still hold more than one component. No pair that could link is left out.
 
 Contract: a null or empty text, or one without words, has size 0 and component_id = its own key; repeated rows are in one
 component; rows with one key count as one document; a null key joins the component of an equal set that has a key, and
@@ -36,6 +38,8 @@ from lodestone.llm.words import U64, WORD_BASE, Words, buffers, give_back, lean,
 SHINGLE, PERCENT = 3, 90
 #: Sets, and shingles in all of them, of a chunk of a family.
 CHUNK_SETS, CHUNK_SHINGLES = 1000, 2_000_000
+#: Copies of its members that a family may send to its chunks, as a multiple of their number; beyond that they meet by prefix lists.
+SPREAD = 4
 _NODE = "id long, part long, n int, data binary"
 
 
@@ -204,7 +208,7 @@ def _sets(table: pa.Table) -> tuple[list[int], list[np.ndarray]]:
     """Sets by rising id; rows with one id are one set."""
     own: dict[int, np.ndarray] = {}
     for i, data in sorted(zip(table["id"].to_pylist(), table["data"].to_pylist(), strict=True)):
-        got = np.frombuffer(data, dtype="<u8").astype(U64)
+        got = np.sort(np.frombuffer(data, dtype="<u8").astype(U64))  # they come rarest first
         own[i] = np.union1d(own[i], got) if i in own else got
     return list(own), list(own.values())
 
@@ -254,6 +258,37 @@ def _chunked(sets: DataFrame) -> DataFrame:
     return sets.join(many, "family").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
 
 
+def _by_chunks(known: DataFrame, percent: int) -> DataFrame:
+    """Links of members outside a family's largest component with all its chunks but their own."""
+    minor = known.where("component != main").select("family", "id", "data", "component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("to"), "chunk").where("to != chunk").select("family", F.col("to").alias("chunk"), "id", "data", "component")
+    chunks = known.select("family", "chunk", "id", "data", "component").repartition("family", "chunk")
+    return chunks.groupBy("family", "chunk").cogroup(minor.groupBy("family", "chunk")).applyInArrow(_across(percent), "a long, b long")
+
+
+def _by_lists(known: DataFrame, percent: int) -> DataFrame:
+    """Links of members of different components that share a prefix shingle; a list that holds one component only is passed over, a long one is split."""
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            many = prefix_length(n, percent)
+            tokens = [np.frombuffer(d.as_py(), dtype="<i8", count=m) for d, m in zip(batch.column(3), many.tolist(), strict=True)]
+            spread = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), many))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.int64)), spread(0), spread(1), pa.array(np.repeat(n, many))], names=["token", "id", "component", "n"])
+
+    tokens = known.select("id", "component", "n", "data").mapInArrow(prefixes, "token long, id long, component long, n long")
+    alive = tokens.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
+    members = cut(tokens.join(alive, "token"))
+    each = members.groupBy("token", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    lists = each.groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.greatest(F.ceil(F.sum("c") / CHUNK_SETS), F.ceil(F.sum("s") / CHUNK_SHINGLES)).alias("chunks"))
+    own = members.join(lists, "token").select("token", "id", "component", "main", "chunks")
+    data = known.select("id", "data")
+    chunks = own.select("token", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"), "id", "component").join(data, "id").select("token", "chunk", "id", "data", "component")
+    minor = own.where("component != main").select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "id", "component").join(data, "id").select("token", "chunk", "id", "data", "component")
+    minor = minor.toDF(*minor.columns)  # columns of its own, for both sides come from one frame
+    return chunks.groupBy("token", "chunk").cogroup(minor.groupBy("token", "chunk")).applyInArrow(_across(percent), "a long, b long")
+
+
 def _links(sets: DataFrame, families: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) within families, enough to connect all that links connect."""
     level = _chunked(sets.join(families.withColumnRenamed("component", "family"), "id"))
@@ -278,11 +313,11 @@ def _links(sets: DataFrame, families: DataFrame, percent: int) -> DataFrame:
         now = now.join(level.where("chunks > 1").select("family").distinct(), "family", "left_semi")
     known = large.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = known.groupBy("family", "component").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("family").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("components")).where("components > 1")
-    known = cut(known.join(main, "family"))
-    minor = known.where("component != main").select("family", "id", "data", "component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("to"), "chunk").where("to != chunk").select("family", F.col("to").alias("chunk"), "id", "data", "component")
-    chunks = known.select("family", "chunk", "id", "data", "component").repartition("family", "chunk")
-    return links.union(chunks.groupBy("family", "chunk").cogroup(minor.groupBy("family", "chunk")).applyInArrow(_across(percent), "a long, b long"))
+    main = sizes.groupBy("family").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("components"), F.sum("c").alias("members"), F.max("c").alias("largest")).where("components > 1")
+    known = cut(known.join(main, "family").withColumn("few", (F.col("members") - F.col("largest")) * (F.col("chunks") - 1) <= SPREAD * F.col("members")))
+    few, many = known.where("few"), known.where("NOT few")
+    links = links.union(_by_chunks(few, percent))
+    return links if many.isEmpty() else links.union(_by_lists(many, percent))
 
 
 def join(frame: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT, part_bytes: int = X.PART_BYTES, group_words: int = GROUP_WORDS) -> DataFrame:
@@ -371,7 +406,7 @@ def join(frame: DataFrame, key: str = "doc_id", text: str = "text", width: int =
                 listed = X.lists(part, b[o], lambda s: t[o][s].astype("<u8").tobytes() + h[o][s].astype("<i8").tobytes())
                 out += [(k, part, -2, d) for k, d in zip(listed["bucket"].to_pylist(), listed["list"].to_pylist(), strict=True)]
             for i in np.unique(doc[use]).tolist():
-                out.append((int(keys[i]), part, int(sizes[i]), sets[first[i] : first[i] + sizes[i]].astype("<u8").tobytes()))
+                out.append((int(keys[i]), part, int(sizes[i]), sets[rank[first[i] : first[i] + sizes[i]]].astype("<u8").tobytes()))  # rarest first
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["id", "part", "n", "data"])
 
     @lean

@@ -46,9 +46,11 @@ def corpus(seed, n=120):
     return rows + [(5000, None), (5001, ""), (5002, "a b"), (5003, "A  b"), (5004, "a"), (5005, "a"), (5006, rows[0][1])]
 
 
-@pytest.mark.parametrize(("width", "percent", "part_bytes", "chunk"), [(3, 90, 1 << 20, 1000), (5, 80, 3000, 1000), (3, 90, 4000, 5)])
-def test_same_as_all_pairs(spark, monkeypatch, width, percent, part_bytes, chunk):
+@pytest.mark.parametrize(("width", "percent", "part_bytes", "chunk", "spread"), [(3, 90, 1 << 20, 1000, 4), (5, 80, 3000, 1000, 4), (3, 90, 4000, 5, 4), (3, 90, 4000, 5, 1000), (3, 90, 4000, 5, -1), (5, 80, 4000, 4, -1)])
+def test_same_as_all_pairs(spark, monkeypatch, width, percent, part_bytes, chunk, spread):
+    """Also with families split into chunks, whose rest meets in chunks (a large spread) or in prefix lists (none)."""
     monkeypatch.setattr(set_join, "CHUNK_SETS", chunk)
+    monkeypatch.setattr(set_join, "SPREAD", spread)
     rows = corpus(width + part_bytes)
     frame = spark.createDataFrame([(d, t, "en") for d, t in rows], SCHEMA).repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in set_join.join(frame, width=width, percent=percent, part_bytes=part_bytes, group_words=200).collect()}
