@@ -112,6 +112,20 @@ def test_emails_are_leftmost_matches(text):
     assert private_data.emails(text) == [m.span() for m in EMAIL.finditer(text)]
 
 
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="0125.. +", max_size=40))
+def test_addresses_are_leftmost_matches(text):
+    want = [m.span() for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    assert private_data.base_spans(text)["ip"] == want
+
+
+def test_long_digit_runs_take_one_pass():
+    assert private_data.base_spans("1." + "7" * 300_000)["ip"] == []
+
+
 @pytest.mark.parametrize(
     ("text", "kind", "found"),
     [
