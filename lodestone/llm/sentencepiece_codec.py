@@ -28,7 +28,7 @@ from lodestone.llm.words import give_back
 
 SPACE = "▁"
 #: Pieces and pairs that a worker remembers at most; beyond that it starts anew. Results do not depend on it.
-MEMO_PIECES, MEMO_PAIRS = 150_000, 150_000
+MEMO_PIECES, MEMO_PAIRS = 150_000, 400_000
 _BYTE = re.compile(r"^<0x([0-9A-F]{2})>$")
 
 
@@ -96,7 +96,9 @@ class Codec:
         self.score = {x: s for x, s, k in pieces if k == 1}
         self.beside = {x[i : i + 2] for x in self.normal for i in range(len(x) - 1)}
         self.longest = max(map(len, self.normal))
-        self.pairs: dict[tuple[str, str], bool] = {}
+        #: Of each token, whether it may stand behind others; n_pairs of them in all.
+        self.behind: list[dict[str, bool]] = []
+        self.n_pairs = 0
         self.spaced: dict[str, tuple[int, ...]] = {}
         self.bare: dict[str, tuple[int, ...]] = {}
         self.old_spaced: dict[str, tuple[int, ...]] = {}
@@ -111,7 +113,8 @@ class Codec:
         self.automaton = ahocorasick.Automaton()
         for x in self.normal:
             if self.merged(x) == [x]:  # others can never come out of merging
-                self.automaton.add_word(x, x)
+                self.behind.append({})
+                self.automaton.add_word(x, (x, len(x), self.behind[-1]))
         self.automaton.make_automaton()
 
     def merged(self, text: str) -> list[str]:
@@ -128,22 +131,23 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def fits(self, left: str, right: str) -> bool:
-        """Whether two tokens may stand side by side."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= MEMO_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[left, right] = left[-1] + right[0] not in self.beside or self.merged(left + right) == [left, right]
+    def fits(self, left: str, right: str, behind: dict[str, bool]) -> bool:
+        """Whether two tokens may stand side by side; remembered with the right one."""
+        if self.n_pairs >= MEMO_PAIRS:
+            for x in self.behind:
+                x.clear()
+            self.n_pairs = 0
+        self.n_pairs += 1
+        known = behind[left] = left[-1] + right[0] not in self.beside or self.merged(left + right) == [left, right]
         return known
 
     def tokens(self, piece: str) -> list[str]:
         """Tokens of a piece by the prefix table; a character outside the vocabulary is a token of its own."""
-        n, pairs, fits = len(piece), self.pairs, self.fits
+        n, fits = len(piece), self.fits
         last: list[str] = [""] * (n + 1)
         known = self.letters.issuperset(piece)
         filled = 0
-        for stop, x in self.automaton.iter(piece):  # by end, the longest first
+        for stop, (x, size, behind) in self.automaton.iter(piece):  # by end, the longest first
             end = stop + 1
             if last[end]:
                 continue
@@ -152,12 +156,12 @@ class Codec:
                     if not last[i]:
                         last[i] = piece[i - 1]
                 filled = end - 1
-            before = end - len(x)
+            before = end - size
             if not before:
                 last[end] = x
             elif left := last[before]:
-                fit = pairs.get((left, x))
-                if fits(left, x) if fit is None else fit:
+                fit = behind.get(left)
+                if fits(left, x, behind) if fit is None else fit:
                     last[end] = x
         out, at = [], n
         while at:
@@ -169,8 +173,8 @@ class Codec:
     def ids_of(self, piece: str) -> tuple[int, ...]:
         """Ids of a piece, whose spaces are spaces still."""
         normal, out = self.normal, []
-        for line_end, part in ((x == "\n", x) for x in _LINES.findall(piece)) if self.plain else [(False, piece)]:
-            if line_end:
+        for part in _LINES.findall(piece) if self.plain and "\n" in piece else (piece,):
+            if part == "\n" and self.plain:
                 out.append(self.byte_id[10]) if self.byte_id else out.append(self.unknown)
                 continue
             for x in self.tokens(part.replace(" ", SPACE)):
