@@ -3,7 +3,8 @@
 Plain identifiers follow the base patterns. Besides, a chain of transducers rewrites a text while it keeps, for every
 character it writes, the source span that it came from: look-alike letters and digits of other scripts become ASCII,
 runs of spelled digits become digits, and disguised "at" and "dot" become their signs. The base patterns then run on the
-rewritten text, and what they find is mapped back to source spans. A span that overlaps a plain one of its kind is not added.
+rewritten text, and what they find is mapped back to source spans. A span wholly inside a plain one of its kind is not added;
+one that goes beyond it is, beside the plain one.
 
 Contract: a null or empty text has no spans; offsets count code points, ends are exclusive; equal texts give equal spans.
 """
@@ -159,7 +160,7 @@ def disguised_spans(text: str, plain: dict[str, list[Span]]) -> dict[str, list[S
     for kind, spans in base_spans(own.text).items():
         taken = plain[kind]
         for lo, hi in map(own.source, spans):
-            if not any(a < hi and lo < b for a, b in taken):
+            if not any(a <= lo and hi <= b for a, b in taken):
                 out[kind].append((lo, hi))
     return out
 

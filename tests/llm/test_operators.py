@@ -153,6 +153,22 @@ def test_plain_spans_stay_and_redaction():
     assert private_data.redact(text) == "[EMAIL] [IP] or [CARD] or [PHONE] and [EMAIL]"
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "plain_part"),
+    [
+        ("jоhn.smith@example.com", "email", "hn.smith@example.com"),
+        ("john@mail.exаmple.com", "email", "john@mail.ex"),
+        ("bob@mail.example [dot] com", "email", "bob@mail.example"),
+        ("+49 30 1234567 five five five", "phone", "+49 30 1234567"),
+        ("+49 30 12345６７", "phone", "+49 30 12345"),
+    ],
+)
+def test_disguised_spans_beyond_a_plain_match(text, kind, plain_part):
+    plain, more = private_data.find(f"to {text}, or")
+    assert [f"to {text}, or"[a:b] for a, b in plain[kind]] == [plain_part]
+    assert more[kind] == [(3, 3 + len(text))] and private_data.redact(f"to {text}, or") == f"to [{kind.upper()}], or"
+
+
 def test_substitutions_are_tolerated(spark):
     rnd = random.Random(3)
     item = [f"b{i}" for i in range(30)]
