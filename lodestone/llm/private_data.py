@@ -2,9 +2,9 @@
 
 Plain identifiers follow the base patterns. Besides, a chain of transducers rewrites a text while it keeps, for every
 character it writes, the source span that it came from: look-alike letters and digits of other scripts become ASCII,
-runs of spelled digits become digits, and disguised "at" and "dot" become their signs. The base patterns then run on the
-rewritten text, and what they find is mapped back to source spans. A span wholly inside a plain one of its kind is not added;
-one that goes beyond it is, beside the plain one.
+names of digits beside figures or each other become digits, and disguised "at" and "dot", bracketed or bare in any mix,
+become their signs. The base patterns then run on the rewritten text, and what they find is mapped back to source spans.
+A span wholly inside a plain one of its kind is not added; one that goes beyond it is, beside the plain one.
 
 Contract: a null or empty text has no spans; offsets count code points, ends are exclusive; equal texts give equal spans.
 """
@@ -90,14 +90,20 @@ SPELLED = {w: str(d) for words in ("zero one two three four five six seven eight
 
 _ODD = re.compile("[" + re.escape("".join(LOOKALIKES)) + "]")
 _NAME = "|".join(sorted(SPELLED, key=len, reverse=True))
-#: Three names of digits or more in a row; single ones are words.
-_SPELLED = re.compile(rf"(?<![^\W_])(?:{_NAME})(?:[\x20,-]{{1,2}}(?:{_NAME})){{2,}}(?![^\W_])", re.IGNORECASE)
+#: Names of digits count beside figures or other names; a name by itself is a word.
+_SPELLED = re.compile(rf"(?<![^\W_])(?:{_NAME}|[0-9]++)(?:(?:[\x20,().-]{{1,3}}|\x20dot\x20)(?:{_NAME}|[0-9]++))+(?![^\W_])", re.IGNORECASE)
+#: What goes between two names; other signs between parts of a number stay.
+_GAP = re.compile(r"[\x20,-]{1,2}")
+#: Letters that a pattern without case takes for i and s.
+_FOLDED = str.maketrans("ıİſ", "iis")
 _ONE_NAME = re.compile(_NAME, re.IGNORECASE)
 _AT = re.compile(r"(?<=[A-Za-z0-9_])\x20?[\[({<]\x20?(?:at|@)\x20?[\])}>]\x20?(?=[A-Za-z0-9])", re.IGNORECASE)
 _DOT = re.compile(r"(?<=[A-Za-z0-9])\x20?[\[({<]\x20?(?:dot|\.)\x20?[\])}>]\x20?(?=[A-Za-z0-9])", re.IGNORECASE)
-#: Bare words count only together: name at host dot domain.
-_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(\x20at\x20)[A-Za-z0-9-]+(?:\x20dot\x20[A-Za-z0-9-]+)+(?![A-Za-z0-9-])", re.IGNORECASE)
+#: A bare "dot" counts in a host after a sign, or after a bare "at"; that counts where some dot of the host is disguised.
+_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(\x20at\x20|@)([A-Za-z0-9-]++(?:(?:\.|\x20dot\x20)[A-Za-z0-9-]++)+)", re.IGNORECASE)
 _BARE_DOT = re.compile(r"\x20dot\x20", re.IGNORECASE)
+#: Besides, a bare "dot" counts between figures.
+_DIGIT_DOT = re.compile(r"(?<=[0-9])\x20dot\x20(?=[0-9])", re.IGNORECASE)
 _SIGN = re.compile(r"[\[({<]\x20?(?:at|@|dot|\.)\x20?[\])}>]|\x20dot\x20", re.IGNORECASE)
 
 
@@ -133,28 +139,42 @@ class Rewritten:
 
 
 def _digits(m: re.Match) -> list[tuple[int, int, str]]:
-    """Each name becomes its digit; what stands between names goes."""
+    """Each name becomes its digit; spaces, commas and hyphens between two names go."""
     names = list(_ONE_NAME.finditer(m.string, m.start(), m.end()))
-    return [(a.start(), b.start() if b else a.end(), SPELLED[a[0].lower()]) for a, b in zip(names, [*names[1:], None], strict=True)]
+    return [(a.start(), b.start() if b and _GAP.fullmatch(m.string, a.end(), b.start()) else a.end(), SPELLED[a[0].translate(_FOLDED).lower()]) for a, b in zip(names, [*names[1:], None], strict=False)]
+
+
+def _spelled(text: str) -> list[tuple[int, int, str]]:
+    return [e for m in _SPELLED.finditer(text) for e in _digits(m)]
+
+
+def _bare(own: Rewritten, text: str) -> list[tuple[int, int, str]]:
+    """Bare signs of the addresses in a text whose bracketed signs are rewritten."""
+    out = []
+    for m in _BARE.finditer(own.text):
+        dots = [(*d.span(), ".") for d in _BARE_DOT.finditer(own.text, *m.span(2))]
+        if m[1] != "@":
+            if not dots and all(text[own.start[i] : own.end[i]] == "." for i in range(*m.span(2)) if own.text[i] == "."):
+                continue
+            out.append((*m.span(1), "@"))
+        out += dots
+    return out
 
 
 def disguised_spans(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """Spans that only rewriting shows, in source offsets."""
-    odd, spelled, sign = (not text.isascii()) and _ODD.search(text), _SPELLED.search(text), _SIGN.search(text)
+    odd, spelled, sign = (not text.isascii()) and _ODD.search(text), _spelled(text), _SIGN.search(text)
     out: dict[str, list[Span]] = {k: [] for k in KINDS}
     if not (odd or spelled or sign):
         return out
     own = Rewritten(text)
     if odd:
         own.replace([(m.start(), m.end(), LOOKALIKES[m[0]]) for m in _ODD.finditer(own.text)])
-    own.replace([e for m in _SPELLED.finditer(own.text) for e in _digits(m)])
     own.replace([(m.start(), m.end(), "@") for m in _AT.finditer(own.text)])
     own.replace([(m.start(), m.end(), ".") for m in _DOT.finditer(own.text)])
-    bare = []
-    for m in _BARE.finditer(own.text):
-        bare.append((*m.span(1), "@"))
-        bare += [(*d.span(), ".") for d in _BARE_DOT.finditer(own.text, m.end(1), m.end())]
-    own.replace(bare)
+    own.replace(_spelled(own.text))
+    own.replace(_bare(own, text))
+    own.replace([(*m.span(), ".") for m in _DIGIT_DOT.finditer(own.text)])
     if own.text == text:
         return out
     for kind, spans in base_spans(own.text).items():

@@ -169,6 +169,28 @@ def test_disguised_spans_beyond_a_plain_match(text, kind, plain_part):
     assert more[kind] == [(3, 3 + len(text))] and private_data.redact(f"to {text}, or") == f"to [{kind.upper()}], or"
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("bob [at] example dot com", "email"),
+        ("bob at example [dot] com", "email"),
+        ("bob@example dot com", "email"),
+        ("bob at mail.example dot com", "email"),
+        ("192 dot 168 dot 0 dot 1", "ip"),
+        ("192.168.zero [dot] one", "ip"),
+        ("+49 30 five five 12 34 56", "phone"),
+        ("+49 30 five 12 34 56", "phone"),
+    ],
+)
+def test_mixed_disguises(text, kind):
+    assert private_data.redact(f"is: {text}, or") == f"is: [{kind.upper()}], or"
+
+
+def test_bare_words_that_are_no_disguise():
+    for text in ("see us at example.com or six. At one, dot the i", "ſix one two İ", "2 dot 5 and one of three"):
+        assert private_data.redact(text) == text
+
+
 def test_substitutions_are_tolerated(spark):
     rnd = random.Random(3)
     item = [f"b{i}" for i in range(30)]
