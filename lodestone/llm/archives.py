@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from datetime import UTC, datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,12 +129,17 @@ def _convert(rows: list[tuple[int | None, str | None, str | None, int | None]],
     return b"".join(out)
 
 
-def revisits(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, refers_to) of pages that repeat an earlier page's payload: counted by digest with partial sums, so that no group of copies is gathered."""
+def shared_digest(html: str) -> Column:
+    """The digest of a payload that is large enough to be stored once, else null."""
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    marked = pages.where(F.col(key).isNotNull() & (F.length(payload) >= LEAST_SHARED)).select(key, F.sha2(payload, 256).alias("digest"))
+    return F.when(F.length(payload) >= LEAST_SHARED, F.sha2(payload, 256))
+
+
+def revisits(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, digest, refers_to) of pages that repeat an earlier page's payload: counted by digest with partial sums, so that no group of copies is gathered."""
+    marked = pages.select(key, shared_digest(html).alias("digest")).where(F.col(key).isNotNull() & F.col("digest").isNotNull())
     first = marked.groupBy("digest").agg(F.min(key).alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return marked.join(first, "digest").where(F.col(key) != F.col("refers_to")).select(key, "refers_to").distinct()
+    return marked.join(first, "digest").where(F.col(key) != F.col("refers_to")).select(key, "digest", "refers_to").distinct()
 
 
 def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", version: int = 1) -> DataFrame:
@@ -144,7 +149,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     """
     again = cut(revisits(pages, key, html))
     small = F.broadcast(again) if again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else again
-    joined = pages.select(key, url, html).join(small, key, "left").select(key, url, html, "refers_to")
+    joined = pages.select(key, url, html, shared_digest(html).alias("digest")).join(small, [key, "digest"], "left").select(key, url, html, "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs

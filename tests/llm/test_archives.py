@@ -20,6 +20,17 @@ def test_round_trip_and_revisits(spark):
     assert archives.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_repeated_keys_are_separate_records(spark):
+    a, b, c = (x * 200 for x in "abc")
+    for rows, want in (
+        ([(1, a), (5, a), (5, c)], [(1, a, None), (5, a, 1), (5, c, None)]),
+        ([(1, a), (2, b), (5, a), (5, b), (5, b)], [(1, a, None), (2, b, None), (5, a, 1), (5, b, 2), (5, b, 2)]),
+    ):
+        got = archives.round_trip(spark.createDataFrame([(k, "http://a/", h, 1) for k, h in rows], SCHEMA)).collect()
+        kind = {True: "response", False: "revisit"}
+        assert sorted((r.page_id, r.payload_digest, r.record_type, r.refers_to or 0) for r in got) == sorted((k, hashlib.sha256(h.encode()).hexdigest(), kind[to is None], to or 0) for k, h, to in want)
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_versions_and_damage(version):
     records = [("http://a b/c", "text/html", b"HTTP/1.1 200 OK\r\n\r\nbody\n1"), ("http://x/", "text/plain", b"")]
