@@ -1,7 +1,10 @@
 """Operator 1: licence scans. Normalised text is compared with templates by Dice's coefficient over word bigrams.
 
 A unit is a line, a paragraph (lines with words in a row, more than one), or a document (of more than one paragraph), so
-notices within other text are found as well as whole licence files. Normalising drops case and punctuation and keeps
+notices within other text are found as well as whole licence files. Besides, runs of consecutive paragraphs (unit
+`paragraphs`) are compared: of those that overlap, the one that shares most bigrams with its template counts, then the one
+most alike, then the shortest, then the first; and none that overlaps a line, paragraph or document at least as like the
+same template. Normalising drops case and punctuation and keeps
 runs of ASCII letters, digits and other scripts' characters. Dice's coefficient is at least t only if the numbers of
 distinct bigrams differ by a factor of at most (2 - t) / t; these bounds leave few templates for a unit, most often none,
 and the hits among a unit's bigrams in all templates' are counted before any set is built.
@@ -13,6 +16,7 @@ no rows; other columns don't matter.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,22 +56,85 @@ class Templates:
         data = np.frombuffer(joined, dtype=np.uint8)
         bounds = np.concatenate(([0], np.flatnonzero(data == 10) + 1, [len(data)]))
         w = Words(data, bounds)
+        self.largest = max((n * (2 - least) / least + 1e-9 for n in sizes), default=0)
         self.hashes = np.unique(spans_hash(w.hash, w.first[:-1], w.first[1:], WORD_BASE)) if len(joined) else np.zeros(0, dtype=np.uint64)
 
     def lower(self, n: int) -> float:
         """Fewest bigrams of a text that can reach the least coefficient with n of a template."""
         return self.least * n / (2 - self.least) - 1e-9
 
-    def best(self, bigrams: frozenset[bytes]) -> tuple[str, float] | None:
+    def score(self, bigrams: frozenset[bytes]) -> tuple[int, int, float] | None:
+        """Number of the template that is most alike, bigrams shared with it, coefficient."""
         n, found = len(bigrams), None
-        for name, own in self.own:
+        for k, (_, own) in enumerate(self.own):
             if self.lower(len(own)) <= n <= len(own) * (2 - self.least) / self.least + 1e-9:
-                dice = 2 * len(bigrams & own) / (n + len(own))
-                if dice >= self.least and (found is None or dice > found[1]):
-                    found = (name, dice)
+                shared = len(bigrams & own)
+                dice = 2 * shared / (n + len(own))
+                if dice >= self.least and (found is None or dice > found[2]):
+                    found = (k, shared, dice)
         return found
 
 
+def _runs(own: Templates, para: np.ndarray, doc: np.ndarray, pairs: np.ndarray, hit: np.ndarray, hits: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first word, end) of runs of paragraphs that may count: each that can be like a template, but for those that do without their first or last paragraph as well.
+
+    An end paragraph must add a hit of its own, and the first must keep one that doesn't come again; so at any word, no
+    more runs are open than templates have bigrams.
+    """
+    share = own.least / (2 - own.least)
+    most = own.largest * (1 - share)
+    bounds, of, last = para.tolist(), doc[para[:-1]].tolist(), len(pairs)
+    for k in np.flatnonzero(hits[np.minimum(para[1:], last)] > hits[para[:-1]]).tolist():
+        at, after = bounds[k], bounds[k + 1]
+        have: set[int] = set()
+        missed: set[int] = set()
+        later: set[int] = set()
+        first: set[int] = set()
+        for e in range(k, len(of)):
+            if of[e] != of[k]:
+                break
+            stop, before = bounds[e + 1] - 1, len(have)
+            while at < stop and len(missed) <= most:  # no more at a time than tells that a run is too long
+                to = min(stop, at + 256) if at >= after else min(stop, at + 256, after)
+                found, kind = pairs[at:to].tolist(), hit[at:to].tolist()
+                hit_here = {h for h, x in zip(found, kind, strict=True) if x}
+                missed.update(h for h, x in zip(found, kind, strict=True) if not x)
+                have |= hit_here
+                if at >= after:
+                    later |= hit_here
+                else:
+                    first |= hit_here
+                at = to
+            if len(missed) > most or len(have) + len(missed) > own.largest or (e > k and first <= later):
+                break
+            if e > k and len(have) > before and len(have) >= share * (len(have) + len(missed)) - 1e-9:
+                yield bounds[k], bounds[e + 1]
+
+
+def _best_runs(runs: list[tuple], units: list[tuple]) -> Iterator[tuple[int, int, int, float]]:
+    """(first word, end, template, coefficient) of the runs that count; runs and units are (kind, first word, end, template, shared bigrams, coefficient)."""
+    whole = {(a, b) for kind, a, b, *_ in units if kind == "document"}
+    lo = sorted((a, b, t, d) for _, a, b, t, _, d in units)
+    taken: list[tuple[int, int]] = []
+    for _, a, b, t, _, dice in sorted({*runs, *(u for u in units if u[0] == "document")}, key=lambda r: (-r[4], -r[5], r[2] - r[1], r[1])):
+        at = bisect_left(taken, (a, a))
+        if (at and taken[at - 1][1] > a) or (at < len(taken) and taken[at][0] < b):
+            continue
+        if (a, b) in whole:
+            insort(taken, (a, b))
+        elif not any(x < b and a < y and u == t and d >= dice for x, y, u, d in lo[: bisect_left(lo, (b,))]):
+            insort(taken, (a, b))
+            yield a, b, t, dice
+
+
+def _paragraphs(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """First words of all paragraphs, and the number of words."""
+    n = len(line)
+    breaks = np.ones(n + 1, dtype=bool)
+    breaks[1:n] = (line[1:] > line[:-1] + 1) | (doc[1:] != doc[:-1])
+    return np.flatnonzero(breaks)
+
+
 def _units(first: np.ndarray, line: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """(kind, first words, ends) of all units, of words whose documents begin at first and whose line numbers are given."""
     n = len(line)
@@ -76,9 +143,7 @@ def _units(first: np.ndarray, line: np.ndarray) -> Iterator[tuple[str, np.ndarra
     edge[1:n] = (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(edge)
     yield "line", at[:-1], at[1:]
-    breaks = np.ones(n + 1, dtype=bool)
-    breaks[1:n] = (line[1:] > line[:-1] + 1) | (doc[1:] != doc[:-1])
-    para = np.flatnonzero(breaks)
+    para = _paragraphs(doc, line)
     lo, hi = para[:-1], para[1:]
     many = line[hi - 1] > line[lo]
     yield "paragraph", lo[many], hi[many]
@@ -110,13 +175,23 @@ def scan(frame: DataFrame, key: str = "doc_id", text: str = "text", templates: t
                 place = np.minimum(np.searchsorted(own.hashes, pairs), len(own.hashes) - 1) if len(own.hashes) else 0
                 hit = own.hashes[place] == pairs if len(own.hashes) else np.zeros(len(pairs), dtype=bool)
                 hits = np.concatenate(([0], np.cumsum(hit)))
+                score = lambda i, j: own.score(_bigrams(plain[w.start[i] : w.end[j - 1]].tobytes().split()))  # noqa: B023, E731
+                units: dict[int, list[tuple]] = {}
                 for kind, a, b in _units(w.first, line):
                     likely = (b - a - 1 >= own.smallest) & (hits[np.maximum(b - 1, a)] - hits[a] >= own.smallest)
                     for i, j in zip(a[likely].tolist(), b[likely].tolist(), strict=True):
-                        found = own.best(_bigrams(plain[w.start[i] : w.end[j - 1]].tobytes().split()))
+                        found = score(i, j)
                         if found:
-                            doc = int(w.doc[i])
-                            rows.append((lo + doc, kind, i - int(w.first[doc]), j - int(w.first[doc]), *found))
+                            units.setdefault(int(w.doc[i]), []).append((kind, i, j, *found))
+                runs: dict[int, list[tuple]] = {}
+                for i, j in _runs(own, _paragraphs(w.doc, line), w.doc, pairs, hit, hits):
+                    found = score(i, j)
+                    if found:
+                        runs.setdefault(int(w.doc[i]), []).append(("paragraphs", i, j, *found))
+                for doc, some in runs.items():
+                    units.setdefault(doc, []).extend([("paragraphs", i, j, k, 0, dice) for i, j, k, dice in _best_runs(some, units.get(doc, []))])
+                for doc, some in units.items():
+                    rows.extend((lo + doc, kind, i - int(w.first[doc]), j - int(w.first[doc]), own.own[k][0], dice) for kind, i, j, k, _, dice in some)
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(columns[0], pa.int64())), *(pa.array(c, t) for c, t in zip(columns[1:], (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64()), strict=True))], names=[f.name for f in schema])
 

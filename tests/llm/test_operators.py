@@ -216,3 +216,19 @@ def test_licence_files_and_notices(spark):
     rows = [(1, "intro text here\n\nReleased under the MIT licence\n"), (2, "My Project\n\nCopyright 2020 Somebody\n\n" + mit.replace(". ", ".\n")), (3, "of the and is to")]
     got = {(r.doc_id, r.unit, r.license_id) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert (2, "document", "MIT") in got and (2, "paragraph", "MIT") in got and not any(d == 3 for d, _, _ in got)
+
+
+def test_licence_texts_of_several_paragraphs(spark):
+    def laid_out(name, n, marks):
+        w = max((t for k, t in licences.TEMPLATES if k == name), key=len).split()
+        cuts = [len(w) * i // n for i in range(n + 1)]
+        return marks.join(" ".join(w[a:b]) for a, b in zip(cuts, cuts[1:], strict=False))
+
+    prose = "\n\n".join(" ".join(f"w{i}x{k}" for k in range(25)) for i in range(8))
+    short = "Released under the MIT License."
+    rows = [(1, f"{prose}\n\n{laid_out('MIT', 3, chr(10) * 2)}\n\n{prose}"), (2, f"# a\n#\n# {laid_out('Apache-2.0', 3, chr(10) + ' * ' + chr(10))}\n#\n{prose}"), (3, "\n\n".join([prose, laid_out("BSD-3-Clause", 5, "\n\n"), laid_out("BSD-3-Clause", 4, "\n\n")]))]
+    rows += [(4, f"MIT\n\n{short}\n\n{prose}"), (5, laid_out("MIT", 3, "\n\n")), (6, f"{prose}\n\n" + f"{short}\n\n" * 200)]
+    found = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((r.doc_id, r.license_id, r.end_word - r.first_word, r.dice) for r in found if r.unit == "paragraphs")
+    size = lambda name: len(licences.normalised(max((t for k, t in licences.TEMPLATES if k == name), key=len)))
+    assert got == [(1, "MIT", size("MIT"), 1.0), (2, "Apache-2.0", size("Apache-2.0"), 1.0), *[(3, "BSD-3-Clause", size("BSD-3-Clause"), 1.0)] * 2]
