@@ -1,11 +1,11 @@
-"""Operator 2: substring de-duplication by prefix-partitioned suffix trees over words.
+"""Operator 2: substring de-duplication by hashed windows of a fixed number of words, dealt out by prefixes.
 
-The suffixes of all documents, as sequences of words, are split by variable-length prefixes: the shortest prefix that is
-not frequent, so that no prefix owns more than a small share of the suffixes and groups of prefixes fit a task's memory.
-Below a prefix, a suffix whose first `width` words occur once is a leaf without a repeat above it; one round prunes
-these. Of the rest each group builds its subtree, cut at depth `width`, by sorting the paths: suffixes that share a node
-of that depth share `width` words. Every suffix but the first of such a node starts a repeated window; overlapping
-windows of a document make up its maximal repeats, whose words are removed.
+The windows of `width` words of all documents are split by variable-length prefixes: the shortest prefix that is not
+frequent, so that no prefix owns more than a small share of the windows and groups of prefixes fit a task's memory.
+A window that occurs once is no repeat; one round prunes these. Of the rest each group sorts the hashes, and equal
+neighbours are equal windows. These are the nodes of a suffix tree at depth `width`; no others are built, as a repeat of
+`width` words or more is a union of such windows. Every window but the first of its kind is repeated, and the words of
+the unions of overlapping ones are removed.
 
 A window that occurs often in one part of the corpus is sent on once, so that no node gathers more than one suffix from each part.
 Paths are compared by 128 bits of hashes, or 64 within one part of a few MB.
@@ -113,7 +113,7 @@ class Suffixes:
 
 
 def _resolve(bucket: int, parts: list[int], data: list[bytes]) -> pa.Table:
-    """Builds the subtree's levels by sorting paths; at each node of full depth, all but the suffix of the first part repeat an earlier one."""
+    """Sorts the hashes of windows; of equal ones, all but that of the first part repeat an earlier one."""
     paths = [np.frombuffer(x, dtype="<u8").reshape(2, -1) for x in data]
     upper, lower = np.concatenate([p[0] for p in paths]), np.concatenate([p[1] for p in paths])
     order = np.lexsort((lower, upper))  # stable: parts rise within a node
