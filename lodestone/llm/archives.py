@@ -142,10 +142,12 @@ def revisits(pages: DataFrame, key: str, html: str) -> DataFrame:
     return marked.join(first, "digest").where(F.col(key) != F.col("refers_to")).select(key, "digest", "refers_to").distinct()
 
 
-def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", version: int = 1) -> DataFrame:
+def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", version: int | None = None) -> DataFrame:
     """Writes the pages as WARC files into the folder (a URI that all executors reach) and returns (file, records, bytes), lazily: an action on the result does the work.
 
-    File names come from the contents, so a task that runs twice writes the same file, whole, under the same name.
+    The legacy archives that they come from are of the given version; by default half of them, by a hash of their contents,
+    are of version 1, and half of version 2. File names come from the contents, so a task that runs twice writes the same
+    file, whole, under the same name; their first two figures name one of 256 subfolders.
     """
     again = cut(revisits(pages, key, html))
     small = F.broadcast(again) if again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else again
@@ -155,13 +157,13 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
         from pyarrow import fs
 
         store, path = fs.FileSystem.from_uri(folder)
-        store.create_dir(path, recursive=True)
 
         def flush(rows: list) -> pa.RecordBatch:
             mark = hashlib.sha256(repr([(r[0], r[1], len(r[2] or "")) for r in rows]).encode()).hexdigest()[:24]
-            data = _convert(rows, f"{mark}.arc", version)
-            name = f"{mark}-{hashlib.sha256(data).hexdigest()[:8]}.warc.gz"
-            temp = f"{path}/_{uuid.uuid4().hex}"
+            data = _convert(rows, f"{mark}.arc", version or 1 + int(mark, 16) % 2)
+            name = f"{mark[:2]}/{mark}-{hashlib.sha256(data).hexdigest()[:8]}.warc.gz"
+            store.create_dir(f"{path}/{mark[:2]}", recursive=True)
+            temp = f"{path}/{mark[:2]}/_{uuid.uuid4().hex}"
             with store.open_output_stream(temp) as file:
                 file.write(data)
             store.move(temp, f"{path}/{name}")
@@ -181,39 +183,53 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     return joined.mapInArrow(run, "file string, records long, bytes long")
 
 
+def _records(content: bytes) -> pa.RecordBatch:
+    """The records of one archive, verified."""
+    rest, rows = content, []
+    while rest:
+        member = zlib.decompressobj(31)
+        data = member.decompress(rest)
+        rest = member.unused_data
+        for fields, block in parse_warc(data):
+            digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
+            head, _, payload = block.partition(b"\r\n\r\n")
+            size = next(int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+            revisit = fields["WARC-Type"] == "revisit"
+            if (hashlib.sha256(block).hexdigest() != fields["WARC-Block-Digest"].removeprefix("sha256:")) if revisit else (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
+                raise ValueError("a record's digest is wrong")
+            refers = fields.get("WARC-Refers-To", "")[10:-1]
+            rows.append((int(fields["X-Page"]) if fields["X-Page"] else None, size, digest, fields["WARC-Type"], int(refers) if refers else None))
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["key", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+
 def read_back(spark: SparkSession, folder: str, key: str = "page_id", files: DataFrame | None = None) -> DataFrame:
     """One row per record of the archives in the folder: key, payload_bytes, payload_digest, record_type, refers_to. Digests of stored payloads and blocks are verified.
 
-    files (file) names the archives to read; others, that lost tasks may have left, are passed over.
+    files (file) names the archives to read, as paths under the folder: nothing is listed then, and others, that lost
+    tasks may have left, are passed over.
     """
+    schema = "key long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                rest, rows = content.as_py(), []
-                while rest:
-                    member = zlib.decompressobj(31)
-                    data = member.decompress(rest)
-                    rest = member.unused_data
-                    for fields, block in parse_warc(data):
-                        digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
-                        head, _, payload = block.partition(b"\r\n\r\n")
-                        size = next(int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-                        revisit = fields["WARC-Type"] == "revisit"
-                        if (hashlib.sha256(block).hexdigest() != fields["WARC-Block-Digest"].removeprefix("sha256:")) if revisit else (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-                            raise ValueError("a record's digest is wrong")
-                        refers = fields.get("WARC-Refers-To", "")[10:-1]
-                        rows.append((int(fields["X-Page"]) if fields["X-Page"] else None, size, digest, fields["WARC-Type"], int(refers) if refers else None))
-                columns = list(zip(*rows, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=[key, "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    schema = f"`{key}` long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
+                yield _records(content.as_py())
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name in batch.column(0):
+                with store.open_input_stream(f"{path}/{name.as_py()}", compression=None) as file:
+                    yield _records(file.read())
+
     if files is not None:
-        names = files.select("file").distinct()
-        names = F.broadcast(names) if names.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else names
-        found = found.withColumn("file", F.element_at(F.split("path", "/"), -1)).join(names, "file", "left_semi")
-    return found.select("content").mapInArrow(run, schema)
+        own = files.select("file").mapInArrow(fetch, schema)
+    else:
+        own = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").option("recursiveFileLookup", "true").load(folder).select("content").mapInArrow(run, schema)
+    return own.withColumnRenamed("key", key)
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

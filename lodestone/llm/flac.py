@@ -6,7 +6,8 @@ STREAMINFO block (with MD5) and a SEEKTABLE with one point per frame; decoding s
 checksum, and raises ValueError on damage.
 
 Contract: a null or empty text is one padded payload of 64 zero bytes; equal texts give equal values; other columns do
-not matter; an empty table gives an empty result.
+not matter; an empty table gives an empty result. Long texts are coded and decoded some thousand frames at a time; whole
+are held only their bytes and those of their files.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from lodestone.llm.words import buffers, give_back, slices
 
 BLOCK, RATE, PAD = 1024, 8000, 64
 ORDER, PRECISION = 4, 10
+#: Frames that are worked on side by side; long files take several passes.
+PIECE = 3072
 #: Fixed values of the format: coefficients of the fixed predictors by order, the newest sample first.
 FIXED = np.array([[0, 0, 0, 0], [1, 0, 0, 0], [2, -1, 0, 0], [3, -3, 1, 0], [4, -6, 4, -1]], dtype=np.int64)
 
@@ -131,8 +134,33 @@ def encode(data: np.ndarray, first: np.ndarray, fixed: tuple[int, ...] = (0,), l
     owner = np.repeat(np.arange(len(length)), frames)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(frames) - frames, frames)
     size = np.minimum(BLOCK, length[owner] - number * BLOCK)
-    n = len(owner)
     at = first[owner] + number * BLOCK
+    raw, frame_bytes = [], []
+    for f in range(0, len(owner), PIECE):
+        some = slice(f, f + PIECE)
+        own, many = _frames(data, at[some], number[some], size[some], fixed, linear)
+        raw.append(own.tobytes())
+        frame_bytes.append(many)
+    raw, frame_bytes = b"".join(raw), np.concatenate(frame_bytes) if frame_bytes else np.zeros(0, dtype=np.int64)
+    start = np.cumsum(frame_bytes) - frame_bytes
+    files, f = [], 0
+    for i in range(len(length)):
+        g = f + int(frames[i])
+        lo, hi = int(start[f]), int(start[g - 1] + frame_bytes[g - 1])
+        signed = data[first[i] : first[i + 1]] ^ np.uint8(128)
+        info = b"".join((BLOCK.to_bytes(2), BLOCK.to_bytes(2), int(frame_bytes[f:g].min()).to_bytes(3), int(frame_bytes[f:g].max()).to_bytes(3), (RATE << 44 | 7 << 36 | int(length[i])).to_bytes(8), hashlib.md5(signed).digest()))
+        points = np.zeros((g - f, 18), dtype=np.uint8)
+        points[:, 0:8] = (number[f:g] * BLOCK).astype(">u8").view(np.uint8).reshape(-1, 8)
+        points[:, 8:16] = (start[f:g] - lo).astype(">u8").view(np.uint8).reshape(-1, 8)
+        points[:, 16:18] = size[f:g].astype(">u2").view(np.uint8).reshape(-1, 2)
+        files.append(b"fLaC\x00\x00\x00\x22" + info + b"\x83" + points.size.to_bytes(3) + points.tobytes() + raw[lo:hi])
+        f = g
+    return files
+
+
+def _frames(data: np.ndarray, at: np.ndarray, number: np.ndarray, size: np.ndarray, fixed: tuple[int, ...], linear: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of some frames in a row, and how many each has; a frame holds the samples data[at:at+size]."""
+    n = len(at)
     col = np.arange(BLOCK)
     inside = col < size[:, None]
     x = np.where(inside, data[np.minimum(at[:, None] + col, len(data) - 1)].astype(np.int32) - 128, 0)
@@ -208,19 +236,7 @@ def encode(data: np.ndarray, first: np.ndarray, fixed: tuple[int, ...] = (0,), l
     tail = start + frame_bytes - 2
     crc = _crc(raw, start, frame_bytes - 2, 16)
     raw[tail], raw[tail + 1] = crc >> 8, crc & 255
-    files, f = [], 0
-    signed = (data ^ 128).astype(np.uint8)
-    for i in range(len(length)):
-        g = f + int(frames[i])
-        lo, hi = int(start[f]), int(start[g - 1] + frame_bytes[g - 1])
-        info = b"".join((BLOCK.to_bytes(2), BLOCK.to_bytes(2), int(frame_bytes[f:g].min()).to_bytes(3), int(frame_bytes[f:g].max()).to_bytes(3), (RATE << 44 | 7 << 36 | int(length[i])).to_bytes(8), hashlib.md5(signed[first[i] : first[i + 1]]).digest()))
-        points = np.zeros((g - f, 18), dtype=np.uint8)
-        points[:, 0:8] = (number[f:g] * BLOCK).astype(">u8").view(np.uint8).reshape(-1, 8)
-        points[:, 8:16] = (start[f:g] - lo).astype(">u8").view(np.uint8).reshape(-1, 8)
-        points[:, 16:18] = size[f:g].astype(">u2").view(np.uint8).reshape(-1, 2)
-        files.append(b"fLaC\x00\x00\x00\x22" + info + b"\x83" + points.size.to_bytes(3) + points.tobytes() + raw[lo:hi].tobytes())
-        f = g
-    return files
+    return raw, frame_bytes
 
 
 def _metadata(file: bytes) -> tuple[dict, np.ndarray, int]:
@@ -250,12 +266,28 @@ def decode(files: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]
     raw = np.frombuffer(b"".join([x[p[2] :] for x, p in zip(files, parsed, strict=True)]) + bytes(16), dtype=np.uint8)
     sizes = np.array([len(x) - p[2] for x, p in zip(files, parsed, strict=True)], dtype=np.int64)
     base = np.cumsum(sizes) - sizes
-    counts = np.array([len(p[1]) for p in parsed])
-    owner = np.repeat(np.arange(len(files)), counts)
+    counts = np.array([len(p[1]) for p in parsed], dtype=np.int64)
     points = np.concatenate([p[1] for p in parsed]) if parsed else np.zeros((0, 3), dtype=np.int64)
-    start = base[owner] + points[:, 1]
-    if not len(start):
-        return np.zeros(0, dtype=np.uint8), first, []
+    start = np.repeat(base, counts) + points[:, 1]
+    ends = np.append(start[1:], sizes.sum())
+    if (ends <= start).any() or (np.repeat(np.cumsum(counts) - counts, counts) == np.arange(len(start)))[points[:, 1] != 0].any():
+        raise ValueError("seek points don't rise")
+    got = []
+    for f in range(0, len(start), PIECE):
+        lo, hi = int(start[f]), int(ends[min(f + PIECE, len(ends)) - 1])
+        some = slice(f, f + PIECE)
+        got.append(_samples(np.append(raw[lo:hi], np.zeros(16, dtype=np.uint8)), start[some] - lo, ends[some] - lo, points[some]))
+    data = np.concatenate(got) if got else np.zeros(0, dtype=np.uint8)
+    if len(data) != first[-1]:
+        raise ValueError("the number of samples is wrong")
+    for i, p in enumerate(parsed):
+        if hashlib.md5(data[first[i] : first[i + 1]] ^ np.uint8(128)).digest() != p[0]["md5"]:
+            raise ValueError("the samples' digest is wrong")
+    return data, first, [p[1] for p in parsed]
+
+
+def _samples(raw: np.ndarray, start: np.ndarray, ends: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """The samples of frames that begin and end at the given bytes, in a row; 16 bytes follow the last."""
     if (raw[start] != 0xFF).any() or (raw[start + 1] != 0xF8).any() or (raw[start + 2] != 0x70).any() or (raw[start + 3] != 0x02).any():
         raise ValueError("no frame at a seek point")
     lead = raw[start + 4]
@@ -275,7 +307,7 @@ def decode(files: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]
         return ((window[at >> 3] << (at & 7).astype(np.uint64)) >> np.uint64(64 - width)).astype(np.int64)
 
     rank = np.argsort(-size, kind="stable")  # the longest first: each step takes a head of the frames
-    start, size, owner_r, number = start[rank], size[rank], owner[rank], number[rank]
+    start, size = start[rank], size[rank]
     n = len(start)
     bit = (b[rank] + 3) * 8
     kind = take(bit, 8).astype(np.int64) >> 1
@@ -354,19 +386,12 @@ def decode(files: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]
     crc = _crc(raw, start, end - start, 16)
     if (crc != (raw[end].astype(np.uint32) << 8 | raw[end + 1])).any():
         raise ValueError("a frame's checksum is wrong")
-    stop = base[owner_r] + sizes[owner_r]
+    if (end + 2 != ends[rank]).any():
+        raise ValueError("a frame doesn't end where the next begins")
     back = np.empty(n, dtype=np.int64)
     back[rank] = np.arange(n)
-    follows = np.concatenate((start[back][1:], [0]))
-    last = np.concatenate((owner[1:] != owner[:-1], [True]))
-    if (end[back] + 2 != np.where(last, stop[back], follows)).any():
-        raise ValueError("a frame doesn't end where the next begins")
     grid = (done[ORDER:].T + 128).astype(np.uint8)[back]
-    data = grid[np.arange(steps) < size[back][:, None]]
-    for i, p in enumerate(parsed):
-        if hashlib.md5((data[first[i] : first[i + 1]] ^ 128).astype(np.uint8)).digest() != p[0]["md5"]:
-            raise ValueError("the samples' digest is wrong")
-    return data, first, [p[1] for p in parsed]
+    return grid[np.arange(steps) < size[back][:, None]]
 
 
 def payloads(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -401,26 +426,33 @@ def encode_column(frame: DataFrame, text: str = "text", media: str = "media") ->
     return frame.mapInArrow(run, T.StructType([*(frame.schema[c] for c in stay), *new]))
 
 
+def blocks(files: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all frames of some files in a row: file, first sample, byte offset behind the metadata, samples; and the samples of all."""
+    data, _, points = decode(files)
+    owner = np.repeat(np.arange(len(files)), [len(p) for p in points])
+    table = np.concatenate(points) if points else np.zeros((0, 3), dtype=np.int64)
+    return owner, table[:, 0], table[:, 1], table[:, 2], data
+
+
 def pcm_blocks(frame: DataFrame, key: str, media: str = "media") -> DataFrame:
     """One row per frame of each file: key, block, first_sample, byte_offset (of the frame behind the metadata), pcm (unsigned samples). A null file has no rows."""
     schema = T.StructType([frame.schema[key], *T._parse_datatype_string("block int, first_sample long, byte_offset long, pcm binary")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
             for i in range(len(batch)):
-                file = batch.column(media)[i].as_py()
-                if file is None:
-                    continue
-                data, _, (points,) = decode([file])
-                n = len(points)
-                pcm = [data[s : s + c].tobytes() for s, _, c in points]
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(key)[i].as_py()] * n, batch.schema.field(key).type), pa.array(range(n), pa.int32()), pa.array(points[:, 0], pa.int64()), pa.array(points[:, 1], pa.int64()), pa.array(pcm, pa.binary())], names=[key, "block", "first_sample", "byte_offset", "pcm"])
+                _, sample, offset, size, data = blocks([batch.column(1)[i].as_py()])
+                for lo in range(0, len(sample), 4096):
+                    some = slice(lo, lo + 4096)
+                    pcm = [data[s : s + c].tobytes() for s, c in zip(sample[some].tolist(), size[some].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(pcm), batch.schema.field(0).type), pa.array(range(lo, lo + len(pcm)), pa.int32()), pa.array(sample[some], pa.int64()), pa.array(offset[some], pa.int64()), pa.array(pcm, pa.binary())], names=[key, "block", "first_sample", "byte_offset", "pcm"])
 
     return frame.select(key, media).mapInArrow(run, schema)
 
 
 def digests(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Stores each whole text as a FLAC file, reads it back, and describes both: see the query's contract."""
+    """Stores each whole text as a FLAC file, reads it back as PCM blocks by sample offset, and describes both: see the query's contract."""
     fields = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     schema = T.StructType([frame.schema[key], *T._parse_datatype_string(fields)])
 
@@ -428,17 +460,20 @@ def digests(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         for batch in batches:
             for lo, hi, data, first, n in payloads(batch.column(text)):
                 files = encode(data, first)
-                back, bounds, points = decode(files)
-                signed = back.astype(np.int64) - 128
-                total = np.add.reduceat(signed, bounds[:-1])
-                energy = np.add.reduceat(signed * signed, bounds[:-1])
-                turns = np.concatenate(([0], np.cumsum(np.concatenate(([False], (signed[1:] < 0) != (signed[:-1] < 0)))[:])))
+                owner, sample, _, many, back = blocks(files)
+                bounds = np.concatenate(([0], np.cumsum(np.bincount(owner, weights=many, minlength=len(files)).astype(np.int64))))
+                frames = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(files)))))
+                if (bounds[owner] + sample != np.cumsum(many) - many).any():
+                    raise ValueError("blocks don't follow one another")
+                signed = back.astype(np.int16) - 128
+                total = np.add.reduceat(signed, bounds[:-1], dtype=np.int64)
+                energy = np.add.reduceat(signed.astype(np.int32) ** 2, bounds[:-1], dtype=np.int64)
+                turns = np.concatenate(([0], np.cumsum(np.concatenate(([False], (signed[1:] < 0) != (signed[:-1] < 0))))))
                 rows: list[list] = [[] for _ in range(6)]
                 for i, file in enumerate(files):
                     a, b = int(bounds[i]), int(bounds[i + 1])
                     own = back[a:b].tobytes()
-                    size = b - a
-                    for column, value in zip(rows, (size, hashlib.sha256(own).hexdigest(), zlib.crc32(own[-PAD:]), len(file), hashlib.sha256(file).hexdigest(), f"frames={len(points[i])};sum={total[i]};energy={energy[i]};crossings={turns[b] - turns[a + 1]}"), strict=True):
+                    for column, value in zip(rows, (b - a, hashlib.sha256(own).hexdigest(), zlib.crc32(own[-PAD:]), len(file), hashlib.sha256(file).hexdigest(), f"frames={frames[i + 1] - frames[i]};sum={total[i]};energy={energy[i]};crossings={turns[b] - turns[a + 1]}"), strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([batch.column(key).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(rows[0], pa.int64()), pa.array(rows[1]), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64()), pa.array(rows[4]), pa.array(rows[5])], schema=_arrow(schema, batch.schema.field(key).type))
         give_back()

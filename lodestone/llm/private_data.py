@@ -6,13 +6,16 @@ names of digits beside figures or each other become digits, and disguised "at" a
 become their signs. The base patterns then run on the rewritten text, and what they find is mapped back to source spans.
 A span wholly inside a plain one of its kind is not added; one that goes beyond it is, beside the plain one.
 
-Contract: a null or empty text has no spans; offsets count code points, ends are exclusive; equal texts give equal spans.
+Contract: a null or empty text has no spans; offsets count code points, ends are exclusive; equal texts give equal spans;
+rows of one key are searched each; an empty table gives no rows; other columns don't matter, whatever their names. A long
+text takes time in proportion to its length, and memory for its characters and for the edits that disguises call for.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -108,34 +111,45 @@ _SIGN = re.compile(r"[\[({<]\x20?(?:at|@|dot|\.)\x20?[\])}>]|\x20dot\x20", re.IG
 
 
 class Rewritten:
-    """A text under rewriting; source[i] is the source span of its character i."""
+    """A text under rewriting. Only the edits of each step are kept, so memory grows with them, not with the text; spans are mapped back step by step."""
 
     def __init__(self, text: str):
-        self.text, self.start, self.end = text, list(range(len(text))), list(range(1, len(text) + 1))
+        self.text = text
+        self.steps: list[tuple[list[int], list[tuple[int, int, int]]]] = []  # of each step: where its strings begin now; spans replaced, and their strings' ends
 
     def replace(self, edits: list[tuple[int, int, str]]) -> None:
         """Puts strings in place of spans, which rise; each new character stands for the whole span it replaces, or for its own character when lengths agree."""
         if not edits:
             return
-        text, start, end, at = [], [], [], 0
+        text, at, begins, spans, n = [], 0, [], [], 0
         for lo, hi, new in edits:
             text += (self.text[at:lo], new)
-            start += self.start[at:lo]
-            end += self.end[at:lo]
-            if len(new) == hi - lo:
-                start += self.start[lo:hi]
-                end += self.end[lo:hi]
-            else:
-                start += [self.start[lo]] * len(new)
-                end += [self.end[hi - 1]] * len(new)
+            n += lo - at
+            begins.append(n)
+            n += len(new)
+            spans.append((lo, hi, n))
             at = hi
         text.append(self.text[at:])
         self.text = "".join(text)
-        self.start = start + self.start[at:]
-        self.end = end + self.end[at:]
+        self.steps.append((begins, spans))
 
     def source(self, span: Span) -> Span:
-        return self.start[span[0]], self.end[span[1] - 1]
+        first, last = (span[0], span[0] + 1), (span[1] - 1, span[1])
+        for begins, spans in reversed(self.steps):
+            first, last = (_before(begins, spans, first[0])[0], first[1]), (last[0], _before(begins, spans, last[1] - 1)[1])
+        return first[0], last[1]
+
+
+def _before(begins: list[int], spans: list[tuple[int, int, int]], at: int) -> Span:
+    """The span that a step's character at `at` came from."""
+    k = bisect_right(begins, at) - 1
+    if k < 0:
+        return at, at + 1
+    lo, hi, end = spans[k]
+    if at < end and end - begins[k] != hi - lo:
+        return lo, hi
+    place = at - end + hi
+    return place, place + 1
 
 
 def _digits(m: re.Match) -> list[tuple[int, int, str]]:
@@ -154,7 +168,7 @@ def _bare(own: Rewritten, text: str) -> list[tuple[int, int, str]]:
     for m in _BARE.finditer(own.text):
         dots = [(*d.span(), ".") for d in _BARE_DOT.finditer(own.text, *m.span(2))]
         if m[1] != "@":
-            if not dots and all(text[own.start[i] : own.end[i]] == "." for i in range(*m.span(2)) if own.text[i] == "."):
+            if not dots and all(text[slice(*own.source((i, i + 1)))] == "." for i in range(*m.span(2)) if own.text[i] == "."):
                 continue
             out.append((*m.span(1), "@"))
         out += dots
@@ -178,9 +192,10 @@ def disguised_spans(text: str, plain: dict[str, list[Span]]) -> dict[str, list[S
     if own.text == text:
         return out
     for kind, spans in base_spans(own.text).items():
-        taken = plain[kind]
+        taken = plain[kind]  # in order, and apart from each other
         for lo, hi in map(own.source, spans):
-            if not any(a <= lo and hi <= b for a, b in taken):
+            k = bisect_right(taken, lo, key=lambda s: s[0]) - 1
+            if k < 0 or hi > taken[k][1]:
                 out[kind].append((lo, hi))
     return out
 

@@ -247,7 +247,9 @@ class Codec:
                 out.append(surface[i])
             out.append(_utf8(bytes(pending)))
             text = "".join(out)
-        return text[1:] if self.dummy and text[:1] == " " and kinds[ids[0]] == 1 else text
+        if not self.dummy or text[:1] != " ":
+            return text
+        return text[1:] if kinds[next(i for i in ids if kinds[i] != 3)] == 1 else text  # control tokens write nothing
 
 
 _CUTS = re.compile(r"\n| +[^ \n]*|[^ \n]+")

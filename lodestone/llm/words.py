@@ -16,7 +16,7 @@ U64 = np.uint64
 #: Odd multipliers of the polynomial hashes over bytes and over words.
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xC2B2AE3D27D4EB4F
-#: Text bytes that one numpy pass holds at a time; about 60 bytes of memory for each.
+#: Text bytes that one numpy pass holds at a time; about 60 bytes of memory for each. Longer texts take several passes, and 32 bytes a word.
 SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -68,6 +68,44 @@ def spans_hash(codes: np.ndarray, start: np.ndarray, end: np.ndarray, base: int)
     return mix(out + (end - start).astype(U64) * U64(0x165667B19E3779F9))
 
 
+def _blocks(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about SLICE_BYTES that end where a document or a run of spaces does, so that no word is cut, however long the texts."""
+    lo, n = 0, len(data)
+    while lo < n:
+        hi = lo + SLICE_BYTES
+        while hi < n:
+            ends = bounds[np.searchsorted(bounds, hi - 4096, side="right") : np.searchsorted(bounds, hi, side="right")]
+            spaces = np.flatnonzero(_SPACE[data[hi - 4096 : hi]])
+            place = max(int(ends[-1]) if len(ends) else 0, hi - 4095 + int(spaces[-1]) if len(spaces) else 0)
+            if place > lo:
+                hi = place
+                break
+            hi += 4096
+        yield lo, min(hi, n)
+        lo = hi
+
+
+def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First bytes, ends and hashes of all words; bounds are places where a word ends even without a space."""
+    space = _SPACE[data]
+    n = len(data)
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[bounds] = True
+    word = ~space
+    before = np.empty(n, dtype=bool)
+    if n:
+        before[0] = False
+        before[1:] = word[:-1]
+    start = np.flatnonzero(word & (~before | edge[:n]))
+    after = np.empty(n, dtype=bool)
+    if n:
+        after[-1] = False
+        after[:-1] = word[1:]
+    end = np.flatnonzero(word & (~after | edge[1:])) + 1
+    with np.errstate(over="ignore"):
+        return start, end, spans_hash(_CODE[data], start, end, BYTE_BASE)
+
+
 class Words:
     """The words of some documents: flat bytes, and for each word its first byte, its end, its hash; words of document i are first[i]:first[i+1]."""
 
@@ -77,26 +115,17 @@ class Words:
         """data: bytes of all documents; bounds: byte offsets of documents, one more than there are."""
         if lower:
             data = _LOWER[data]
-        space = _SPACE[data]
-        n = len(data)
-        edge = np.zeros(n + 1, dtype=bool)
-        edge[bounds] = True  # a word ends where its document does
-        word = ~space
-        before = np.empty(n, dtype=bool)
-        if n:
-            before[0] = False
-            before[1:] = word[:-1]
-        start = np.flatnonzero(word & (~before | edge[:n]))
-        after = np.empty(n, dtype=bool)
-        if n:
-            after[-1] = False
-            after[:-1] = word[1:]
-        end = np.flatnonzero(word & (~after | edge[1:])) + 1
-        self.data, self.start, self.end = data, start, end
-        self.first = np.searchsorted(start, bounds)
+        starts, ends, hashes = [], [], []
+        for lo, hi in _blocks(data, bounds):
+            start, end, own = _words(data[lo:hi], bounds[np.searchsorted(bounds, lo) : np.searchsorted(bounds, hi, side="right")] - lo)
+            starts.append(start + lo)
+            ends.append(end + lo)
+            hashes.append(own)
+        self.data = data
+        self.start, self.end = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (starts, ends))
+        self.hash = np.concatenate(hashes) if hashes else np.zeros(0, dtype=U64)
+        self.first = np.searchsorted(self.start, bounds)
         self.doc = np.repeat(np.arange(len(bounds) - 1), np.diff(self.first))
-        with np.errstate(over="ignore"):
-            self.hash = spans_hash(_CODE[data], start, end, BYTE_BASE)
 
     def runs(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Of every run of width words within one document: the index of its first word, its hash."""

@@ -1,6 +1,7 @@
 """Operator 8: exact round trips, damage, and the choice of revisits."""
 
 import hashlib
+import random
 
 import pytest
 
@@ -44,3 +45,23 @@ def test_arc_versions_and_damage(version):
         if broken != data and not (broken == data[:-1] and not records[-1][2]):
             with pytest.raises(ValueError):
                 list(archives.parse_arc(broken))
+
+
+def test_random_pages_with_repeated_keys(spark, monkeypatch):
+    """Against a plain version, with archives of both versions and both ways of reading them."""
+    rnd = random.Random(4)
+    monkeypatch.setattr(archives, "FILE_BYTES", 2000)
+    texts = ["x" * 99, "y" * 100, "é" * 50, "", None, "<p>" * 70, "q" * 300]
+    rows = [(rnd.choice([None, *range(25)]), "http://a/", rnd.choice(texts), 1) for _ in range(300)]
+    payload = lambda h: (h or "").encode()
+    first = {}
+    for k, _, h, _ in rows:
+        if k is not None and len(payload(h)) >= 100:
+            first[payload(h)] = min(k, first.get(payload(h), k))
+    want = sorted(((k, len(payload(h)), hashlib.sha256(payload(h)).hexdigest(), *(("revisit", first[payload(h)]) if k is not None and first.get(payload(h), k) != k else ("response", None))) for k, _, h, _ in rows), key=repr)
+    pages = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    assert sorted(map(tuple, archives.round_trip(pages).collect()), key=repr) == want
+    folder = archives.new_folder(spark, "warc")
+    names = [r.file for r in archives.write(pages, folder).collect()]
+    assert {int(n.split("/")[1].split("-")[0], 16) % 2 for n in names} == {0, 1}
+    assert sorted(map(tuple, archives.read_back(spark, folder).collect()), key=repr) == want

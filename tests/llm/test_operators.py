@@ -78,6 +78,11 @@ def test_decoding_any_ids_is_the_librarys(pair, ids):
     assert pair[1].decode(ids) == pair[0].decode(ids)
 
 
+def test_control_ids_before_a_space_write_nothing(pair):
+    for ids in ([1, 284], [1, 2, 284, 1], [0, 284], [284, 284], [1, 1], [2, 0, 284]):
+        assert pair[1].decode(ids) == pair[0].decode(ids)
+
+
 @pytest.mark.parametrize(("fixed", "linear"), [((0,), True), ((0, 1, 2, 3, 4), False), ((), True), ((4,), False)])
 def test_flac_round_trip_and_damage(fixed, linear):
     rnd = random.Random(5)
@@ -93,11 +98,23 @@ def test_flac_round_trip_and_damage(fixed, linear):
                 flac.decode([bytes(bad)])
 
 
+def test_flac_of_long_texts_is_the_same_in_pieces(monkeypatch):
+    texts = pa.array(["ab\u00e9c " * 3000, "x", "no " * 20000])
+    whole = [flac.encode(data, first) for _, _, data, first, _ in flac.payloads(texts)]
+    monkeypatch.setattr(flac, "PIECE", 5)
+    for (_, _, data, first, _), files in zip(flac.payloads(texts), whole, strict=True):
+        assert flac.encode(data, first) == files and (flac.decode(files)[0] == data).all()
+        cut = files[0][:-700]
+        with pytest.raises((ValueError, IndexError)):
+            flac.decode([cut])
+
+
 def test_flac_blocks_and_digests(spark):
     docs = spark.createDataFrame([(1, "abc" * 900), (2, None)], "doc_id long, text string")
     blocks = sorted((r.doc_id, r.first_sample, bytes(r.pcm)) for r in flac.pcm_blocks(flac.encode_column(docs), "doc_id").collect())
     payload = ("abc" * 900).encode().ljust(2752, b"\0")
     assert b"".join(b for d, _, b in blocks if d == 1) == payload and [s for d, s, _ in blocks if d == 1] == [0, 1024, 2048]
+    assert [d for d, *_ in blocks if d == 2] == [2] and flac.pcm_blocks(spark.createDataFrame([(1, None)], "doc_id long, media binary"), "doc_id").count() == 0
     got = {r.doc_id: r for r in flac.digests(docs).collect()}
     assert (got[1].n_bytes, got[1].payload_bytes, got[1].payload_sha256, got[1].tail_crc32) == (2700, 2752, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     assert got[2].payload_sha256 == hashlib.sha256(bytes(64)).hexdigest() and got[2].n_bytes == 0
@@ -204,6 +221,79 @@ def test_substitutions_are_tolerated(spark):
     assert {r.doc_id for r in got.collect()} == set(range(40))
 
 
+def test_every_row_of_a_key_is_judged(spark, duck):
+    item = [f"b{i}" for i in range(14)]
+    rows = [(7, " ".join(item)), (7, "x " * 40), (8, " ".join(["y", *item, "z"])), (9, "x " * 40), (None, " ".join(item)), (7, None)]
+    bench = [(1, " ".join(item)), (2, " ".join(f"c{i}" for i in range(60))), (2, " ".join(["q", *item[1:]]))]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    got = decontaminate.leaks(docs, items)
+    own = duckdb.connect()
+    own.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    own.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    own.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    own.executemany("INSERT INTO benchmark VALUES (?, ?)", bench)
+    found = sorted(map(tuple, got.collect()))
+    assert found == sorted(own.execute(decontaminate.oracle_sql()).fetchall()) and {(d, i) for d, i, *_ in found} == {(7, 1), (7, 2), (8, 1), (8, 2)}
+    assert sorted((r.doc_id or 0) for r in decontaminate.remove(docs, items).collect()) == [0, 9]
+
+
+def test_columns_of_any_name_pass_the_classifier(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "y", 0.5), (2, None, None, "z", None)], "doc_id long, text string, __text string, __score string, score double")
+    labels = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")
+    assert sorted(map(tuple, quality.keep_good(docs, labels).collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_long_texts_score_alike_in_pieces():
+    rnd = random.Random(2)
+    text = " ".join(rnd.choice(["a", "bb", "été", "hello", "the", "the", "x\n\ny", " "]) for _ in range(9000))
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    weights = np.random.default_rng(0).normal(size=quality.BUCKETS)
+    total, many = quality._logits(data, np.array([0, len(data)]), weights)
+    for limit in (1000, 7777):
+        got = quality._long_logits(data, weights, limit)
+        assert got[1] == many[0] and abs(got[0] - total[0]) < 1e-6
+
+
+def test_words_of_long_texts_are_whole(monkeypatch):
+    from lodestone.llm import words
+
+    rnd = random.Random(1)
+    texts = ["".join(rnd.choice("ab é\n ") if rnd.random() < 0.9 else "x" * rnd.randrange(50) for _ in range(20000)) for _ in range(3)] + ["z" * 30000, "", "  "]
+    data, bounds = np.frombuffer("".join(texts).encode(), dtype=np.uint8), np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    whole = Words(data, bounds)
+    monkeypatch.setattr(words, "SLICE_BYTES", 9000)
+    for name in ("start", "end", "hash", "first", "doc"):
+        assert (getattr(whole, name) == getattr(Words(data, bounds), name)).all()
+
+
+CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet="0149+ -().a@x", max_size=60))
+def test_base_spans_are_those_of_the_patterns(text):
+    def luhn(digits):
+        own = [int(c) for c in reversed(digits)]
+        return (sum(own[::2]) + sum(sum(divmod(2 * d, 10)) for d in own[1::2])) % 10 == 0
+
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    want = {
+        "email": [m.span() for m in EMAIL.finditer(text)],
+        "ip": [m.span() for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))],
+        "card": [m.span() for m in CARD.finditer(text) if 13 <= len(digits(m)) <= 19 and luhn(digits(m))],
+        "phone": [m.span() for m in PHONE.finditer(text) if 9 <= len(digits(m)) <= 15],
+    }
+    assert private_data.base_spans(text) == want
+
+
+def test_base_digest_is_of_the_listed_spans(spark):
+    text = "é a@b.cc 1.2.3.4 or 4111 1111 1111 1111 or +49 (30) 1234567 and c@d.ee x [at] y [dot] org"
+    spans = ",".join(f"{k}:{text.index(x)}:{text.index(x) + len(x)}" for k, x in (("email", "a@b.cc"), ("email", "c@d.ee"), ("ip", "1.2.3.4"), ("card", "4111 1111 1111 1111"), ("phone", "+49 (30) 1234567")))
+    (row,) = private_data.scan(spark.createDataFrame([(1, text, 5)], "doc_id long, text string, spans int")).collect()
+    assert row.base_sha256 == hashlib.sha256(spans.encode()).hexdigest() and (row.n_email, row.n_ip, row.n_card, row.n_phone, row.n_disguised) == (2, 1, 1, 1, 1)
+    assert "email:69:85" in row.spans or len(row.spans.split(",")) == 6
+
+
 def test_held_out_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality.classify(docs, labels).join(labels, "doc_id").where("held_out").collect()
