@@ -36,10 +36,12 @@ from lodestone.llm.store import cut
 from lodestone.llm.words import U64, WORD_BASE, Words, buffers, give_back, lean, mix, slices, spans_hash
 
 SHINGLE, PERCENT = 3, 90
-#: Sets, and shingles in all of them, of a chunk of a family.
-CHUNK_SETS, CHUNK_SHINGLES = 1000, 2_000_000
+#: Sets, and shingles in all of them, of a chunk of a family: what a task does at a time.
+CHUNK_SETS, CHUNK_SHINGLES = 100, 500_000
 #: Copies of its members that a family may send to its chunks, as a multiple of their number; beyond that they meet by prefix lists.
 SPREAD = 4
+#: Rows that a task remembers, to pass on equal ones once.
+SEEN = 200_000
 _NODE = "id long, part long, n int, data binary"
 
 
@@ -70,21 +72,45 @@ def _marks(own: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def describe(frame: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(key, n, x, y): the size of each row's set and 128 bits that stand for it."""
-    schema = T.StructType([frame.schema[key], *T._parse_datatype_string("n long, x long, y long")])
+    """(key, salt, n, x, y): a hash of each row's key and text, the size of its set, and 128 bits that stand for the set."""
+    schema = T.StructType([frame.schema[key], *T._parse_datatype_string("salt long, n long, x long, y long")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
+            data, offsets = buffers(batch.column(2))
             for lo, hi in slices(offsets):
                 base = offsets[lo]
                 w = Words(data[base : offsets[hi]], offsets[lo : hi + 1] - base, lower=True)
                 own, sizes = shingle_sets(w.hash, np.diff(w.first), width)
                 x, y = _marks(own, sizes)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), pa.array(x), pa.array(y)], names=[key, "n", "x", "y"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), pa.array(x), pa.array(y)], names=[key, "salt", "n", "x", "y"])
         give_back()
 
-    return frame.select(key, text).mapInArrow(run, schema)
+    return frame.select(key, F.xxhash64(key, text).alias("salt"), text).mapInArrow(run, schema)
+
+
+def _dealt(frame: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """(part, key, text) of all rows with a key, by a hash of both, so that a key with many rows fills no part; of equal rows a task passes one on."""
+    schema = T.StructType([T.StructField("part", T.LongType()), frame.schema[key], frame.schema[text]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            new = []
+            for salt in batch.column(0).to_pylist():
+                new.append(salt not in seen)
+                if len(seen) < SEEN:
+                    seen.add(salt)
+            batch = batch.filter(pa.array(new, pa.bool_()))
+            part = batch.column(0).to_numpy(zero_copy_only=False) % n  # as pmod
+            yield pa.RecordBatch.from_arrays([pa.array(part), batch.column(1), batch.column(2)], names=["part", key, text])
+
+    return frame.where(F.col(key).isNotNull()).select(F.xxhash64(key, text), key, text).mapInArrow(run, schema)
+
+
+def _code(many: np.ndarray) -> np.ndarray:
+    """Counts of sets as bytes: eight times their logarithm to base 2; 0 is one set."""
+    return np.minimum(np.rint(8 * np.log2(np.maximum(many, 1))), 255).astype(np.uint8)
 
 
 def least_overlap(a, b, percent: int):
@@ -322,17 +348,19 @@ def _links(sets: DataFrame, families: DataFrame, percent: int) -> DataFrame:
 
 def join(frame: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT, part_bytes: int = X.PART_BYTES, group_words: int = GROUP_WORDS) -> DataFrame:
     """One row per document: key, n_shingles, component_id (the smallest key that links reach)."""
-    described = cut(describe(frame, key, text, width))
-    classes = described.where("n > 0").groupBy("n", "x", "y").agg(F.min(key).alias("rep"))
-    own = frame.where(F.col(key).isNotNull())
-    parts, size = X.hashed_parts(own, key, text, part_bytes)
+    described = cut(describe(frame.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text", width))
+    own = frame.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    classes = described.where("n > 0").groupBy("n", "x", "y").agg(F.min(F.when(F.col("key").isNotNull(), F.struct("key", "salt"))).alias("rep"))
+    size = own.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n_parts = max(1, -(-size // part_bytes))
+    parts = X.Parts(_dealt(own, "key", "text", n_parts), n_parts, size, True)
     groups = max(16, size // (6 * group_words))
-    reps = classes.where("rep is not null").select(F.pmod(F.xxhash64("rep"), F.lit(n_parts)).alias("part"), F.lit("rep").alias("kind"), F.col("rep").cast("long").alias("bucket"), F.unhex(F.hex("x")).alias("reply"))
+    fine = X.per_bucket(groups)
+    reps = classes.where("rep is not null").select(F.pmod("rep.salt", F.lit(n_parts)).alias("part"), F.lit("rep").alias("kind"), F.col("rep.key").cast("long").alias("bucket"), F.unhex(F.hex("x")).alias("reply"))
 
     def chosen(docs: pa.Table, got: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys, sets in a row, and sizes, of the part's representatives."""
-        words = X.Part(docs, key, text, lower=True)
+        words = X.Part(docs, "key", "text", lower=True)
         sets, sizes = shingle_sets(words.hash, words.count, width)
         x, _ = _marks(sets, sizes)
         wanted = got.filter(pa.compute.equal(got["kind"], "rep"))
@@ -347,27 +375,29 @@ def join(frame: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         return np.array(keys, dtype=np.int64)[take], sets[np.repeat(take, sizes)], sizes[take]
 
     def entries(sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        own, back, many = np.unique(sets, return_inverse=True, return_counts=True)
-        bucket = X.bucket_of(own, groups)
-        return own, bucket, many
+        """Distinct shingles in the order they are asked for, their groups, and how many of the part's sets hold them."""
+        own, many = np.unique(sets, return_counts=True)
+        group = X.bucket_of(own, groups)
+        order = np.argsort(group, kind="stable")
+        return own[order], group[order], many[order]
 
-    def send(part: int, docs: pa.Table, got: pa.Table) -> pa.Table:
+    def send(_: int, docs: pa.Table, got: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         if not len(docs):
-            return X.lists(part, np.zeros(0, dtype=np.int64), bytes)
+            return np.zeros(0, dtype=np.int64), np.zeros((0, 7), dtype=np.uint8)
         _, sets, _ = chosen(docs, got)
-        own, bucket, many = entries(sets)
-        order = np.argsort(bucket, kind="stable")
-        own, bucket, many = own[order], bucket[order], np.minimum(many[order], 255).astype(np.uint8)
-        return X.lists(part, bucket, lambda s: X.pack(own[s], 6) + many[s].tobytes())
-
-    def count(bucket: int, parts_: list[int], data: list[bytes]) -> pa.Table:
-        sizes = [len(d) // 7 for d in data]
-        values = np.concatenate([X.unpack(d[: 6 * n], 6) for d, n in zip(data, sizes, strict=True)])
-        many = np.concatenate([np.frombuffer(d, dtype=np.uint8, offset=6 * n) for d, n in zip(data, sizes, strict=True)]).astype(np.float64)
-        _, back = np.unique(values, return_inverse=True)
-        total = np.minimum(np.bincount(back, weights=many), 255).astype(np.uint8)[back]
-        edges = np.cumsum([0, *sizes])
-        return X.replies("count", bucket, parts_, [total[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)])
+        own, group, many = entries(sets)
+        return group, np.concatenate([X.pack(own, 6), _code(many)[:, None]], axis=1)
+
+    def merge(records: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        values, first, of = np.unique(X.unpack(records[:, :6]), return_index=True, return_inverse=True)
+        total = _code(np.bincount(of, weights=np.exp2(records[:, 6] / 8), minlength=len(values)))
+        return np.concatenate([X.pack(values, 6), total[:, None]], axis=1), of, first
+
+    def count(records: np.ndarray, senders: np.ndarray) -> np.ndarray:
+        merged, of, _ = merge(records, senders)
+        return merged[of, 6]
+
+    counts = X.Question("count", 7, send, count, merge, reply=1)
 
     @lean
     def nodes(key_, docs, got):
@@ -376,51 +406,43 @@ def join(frame: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         out: list[tuple[int, int, int, bytes]] = []
         if len(docs):
             keys, sets, sizes = chosen(docs, got)
-            own, bucket, _ = entries(sets)
-            order = np.argsort(bucket, kind="stable")
-            counts = np.zeros(len(own), dtype=np.uint8)
-            answered = got.filter(pa.compute.equal(got["kind"], "count"))
-            ordered = bucket[order]
-            for b, data in zip(answered["bucket"].to_pylist(), answered["reply"].to_pylist(), strict=True):
-                lo, hi = np.searchsorted(ordered, [b, b + 1])
-                counts[order[lo:hi]] = np.frombuffer(data, dtype=np.uint8)
-            often = counts[np.searchsorted(own, sets)]
+            own, group, _ = entries(sets)
+            by = np.argsort(own, kind="stable")
+            often = counts.of(got, group, fine)[by][np.searchsorted(own[by], sets)] if len(sets) else np.zeros(0, dtype=np.uint8)
             doc = np.repeat(np.arange(len(keys)), sizes)
             rank = np.lexsort((sets, often, doc))  # rarest first within each set
             first = np.cumsum(sizes) - sizes
             place = np.arange(len(sets)) - first[doc]
-            use = (place < prefix_length(sizes, percent)[doc]) & (often[rank] > 1)
-            token, holder = sets[rank][use], doc[use]
-            by = np.lexsort((keys[holder], token)) if len(token) else np.zeros(0, dtype=np.int64)
-            token, holder = token[by], keys[holder[by]]
-            group = X.group_ids(np.arange(len(token)), token)
-            heads = np.flatnonzero(np.diff(group, prepend=-1))
-            lead = holder[heads][group] if len(heads) else holder
-            ties = np.unique(np.stack([holder, lead], axis=1)[holder != lead], axis=0) if len(token) else np.zeros((0, 2), dtype=np.int64)
+            use = (place < prefix_length(sizes, percent)[doc]) & (often[rank] > 0)
+            token, holder = sets[rank][use], keys[doc[use]]
+            token, holder, ties = _tied(token, holder)
             if len(ties):
                 out.append((0, part, -1, ties.astype("<i8").tobytes()))
-            if len(heads):
-                t, h = token[heads], holder[heads]
-                b = X.bucket_of(t, groups)
-                o = np.argsort(b, kind="stable")
-                listed = X.lists(part, b[o], lambda s: t[o][s].astype("<u8").tobytes() + h[o][s].astype("<i8").tobytes())
-                out += [(k, part, -2, d) for k, d in zip(listed["bucket"].to_pylist(), listed["list"].to_pylist(), strict=True)]
+            bucket = X.bucket_of(token, groups) // fine
+            order = np.argsort(bucket, kind="stable")
+            listed = X.lists(part, bucket[order], np.stack([token[order], holder[order].view(U64)], axis=1).astype("<u8").view(np.uint8).reshape(-1, 16))
+            out += [(k, part, -2, d) for k, d in zip(listed["bucket"].to_pylist(), listed["list"].to_pylist(), strict=True)]
             for i in np.unique(doc[use]).tolist():
                 out.append((int(keys[i]), part, int(sizes[i]), sets[rank[first[i] : first[i] + sizes[i]]].astype("<u8").tobytes()))  # rarest first
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["id", "part", "n", "data"])
 
-    @lean
-    def tie(_, table):
-        """Of each shingle's holders, one from each part, ties all to the smallest."""
-        data = [(len(d) // 16, d) for d in table["data"].to_pylist()]
-        token = np.concatenate([np.frombuffer(d, dtype="<u8", count=n) for n, d in data])
-        holder = np.concatenate([np.frombuffer(d, dtype="<i8", count=n, offset=8 * n) for n, d in data])
-        by = np.lexsort((holder, token))
-        token, holder = token[by], holder[by]
-        group = X.group_ids(np.arange(len(token)), token)
-        lead = holder[np.flatnonzero(np.diff(group, prepend=-1))][group]
-        got = np.unique(np.stack([holder, lead], axis=1)[holder != lead], axis=0)
-        return pa.table([pa.array(got[:, 0], pa.int64()), pa.array(got[:, 1], pa.int64())], names=["a", "b"])
+    def tie(last: bool):
+        """Of each shingle's holders, one from each part, ties all to the smallest; that goes on from a block of parts to where all blocks meet."""
+
+        @lean
+        def run(key_, table):
+            data = np.frombuffer(b"".join(table["data"].to_pylist()), dtype="<u8").reshape(-1, 2).astype(U64)
+            token, holder, ties = _tied(data[:, 0], data[:, 1].view(np.int64))
+            id_ = key_[0].as_py()
+            out = [(id_, -1, ties.astype("<i8").tobytes())]
+            if not last:
+                bucket = X.bucket_of(token, groups)
+                order = np.argsort(bucket, kind="stable")
+                listed = X.lists(0, bucket[order], np.stack([token[order], holder[order].view(U64)], axis=1).astype("<u8").view(np.uint8).reshape(-1, 16))
+                out += [(k, -2, d) for k, d in zip(listed["bucket"].to_pylist(), listed["list"].to_pylist(), strict=True)]
+            return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["id", "n", "data"])
+
+        return run
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -428,12 +450,28 @@ def join(frame: DataFrame, key: str = "doc_id", text: str = "text", width: int =
                 got = np.frombuffer(d.as_py(), dtype="<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(got[:, 0], pa.int64()), pa.array(got[:, 1], pa.int64())], names=["a", "b"])
 
-    counted = X.ask(parts, reps, send, count)
-    got = cut(parts.groupBy("part").cogroup(reps.unionByName(counted).groupBy("part")).applyInArrow(nodes, _NODE))
-    ties = got.where("n = -1").select("data").mapInArrow(spread, "a long, b long").union(got.where("n = -2").select("id", "data").groupBy("id").applyInArrow(tie, "a long, b long"))
+    counted = X.ask(parts, reps, counts, groups)
+    got = cut(parts.frame.groupBy("part").cogroup(reps.unionByName(counted).groupBy("part")).applyInArrow(nodes, _NODE))
+    ties = got.where("n = -1").select("data")
+    holders = got.where("n = -2").select("id", F.floor(F.col("part") / X.FAN).alias("block"), "data")
+    if n_parts > X.FAN or fine > 1:
+        met = cut(holders.groupBy("id", "block").applyInArrow(tie(False), "id long, n int, data binary"))
+        ties, holders = ties.union(met.where("n = -1").select("data")), met.where("n = -2").select("id", "data")
+    ties = ties.union(holders.groupBy("id").applyInArrow(tie(True), "id long, n int, data binary").where("n = -1").select("data")).mapInArrow(spread, "a long, b long")
     linked = components(_links(got.where("n >= 0").select("id", "n", "data"), components(ties), percent))
-    labels = classes.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("n", "x", "y", F.coalesce("component", F.col("rep").cast("long")).alias("component"))
+    reached = classes.select("n", "x", "y", F.col("rep.key").cast("long").alias("rep")).join(linked.withColumnRenamed("id", "rep"), "rep", "left")
+    labels = reached.select("n", "x", "y", F.coalesce("component", "rep").alias("component"))
     return (
         described.join(labels, ["n", "x", "y"], "left")
-        .select(key, F.col("n").alias("n_shingles"), F.coalesce("component", F.col(key).cast("long")).alias("component_id"))
+        .select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", F.col("key").cast("long")).alias("component_id"))
     )
+
+
+def _tied(token: np.ndarray, holder: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles, the smallest holder of each, and pairs that tie the other holders to it."""
+    by = np.lexsort((holder, token))
+    token, holder = token[by], holder[by]
+    group = X.group_ids(np.arange(len(token)), token)
+    heads = np.flatnonzero(np.diff(group, prepend=-1))
+    lead = holder[heads][group] if len(heads) else holder
+    return token[heads], holder[heads], np.unique(np.stack([holder, lead], axis=1)[holder != lead], axis=0)

@@ -2,10 +2,12 @@
 
 Suffixes are kept only at minimisers: of each window of `width` words, the start of its `seed`-word run with the smallest
 hash, the leftmost on ties. Equal windows choose equal places, so every repeat of `width` words holds a kept suffix at
-the same offset in each of its occurrences. Suffixes whose seed occurs once are dropped, then those all of whose windows
-occur once in all; the rest meet in groups by seed, are sorted by the words that follow, compared with their neighbours
+the same offset in each of its occurrences. Suffixes whose seed occurs once are dropped, then those whose seed occurs
+once together with as many words before it, or behind it, as each of its windows has at least at one side. The rest meet
+by seed, first within a part, then across parts: they are sorted by the words that follow, compared with their neighbours
 (common prefix lengths), and extended to the left. A window that starts earlier elsewhere is a repetition; consecutive
-ones with one source make up a passage.
+ones with one source make up a passage. Only what is the first of its kind in a part goes on to the others, and, where
+there are very many parts, only what is the first in a block of parts.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import types as T
 
 from lodestone.llm import exchange as X
 from lodestone.llm.repeats import GROUP_WORDS, prefixes
+from lodestone.llm.store import cut
 from lodestone.llm.words import U64, lean, mix
 
 WIDTH, SEED = 50, 10
@@ -44,44 +47,104 @@ def minimisers(hashes: np.ndarray, span: int) -> np.ndarray:
 
 
 class Sparse:
-    """Windows of a part, the suffix that each chose, and what comes again within the part."""
+    """The sparse suffix array of a part: kept suffixes, the windows that chose each (bits, by distance from their starts), and what the part itself repeats."""
 
     def __init__(self, words: X.Part, width: int, seed: int):
-        self.words, self.at = words, words.windows(width)
+        self.words, self.width, self.seed = words, width, seed
+        at = words.windows(width)
         runs = words.windows(seed)
         own = np.full(len(words.hash), np.iinfo(np.uint64).max, dtype=U64)
         own[runs] = prefixes(words.hash, runs, seed)
-        chosen = minimisers(own, width - seed + 1)[self.at]
-        self.seeds, self.of = np.unique(chosen, return_inverse=True)
-        self.seed_hash = own[self.seeds]
-        path = prefixes(words.hash, self.at, width)
-        order = np.argsort(path, kind="stable")
-        group = X.group_ids(order, path)
-        firsts = order[np.flatnonzero(np.diff(group, prepend=-1))] if len(order) else order
-        self.first = np.empty(len(order), dtype=np.int64)  # of each window, the first window of the part with its words
-        self.first[order] = firsts[group] if len(order) else order
-        self.again = self.first != np.arange(len(order))
-        self.path = path
-
-    def seed_lists(self, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct seed hashes and their buckets in the order they are sent; which of them the part holds twice."""
-        own, many = np.unique(self.seed_hash, return_counts=True)
-        bucket = X.bucket_of(own, groups)
-        order = np.argsort(bucket, kind="stable")
-        return own[order], bucket[order], many[order] > 1
-
-    def window_list(self, groups: int, got: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """Windows, first of their kind in the part, whose seed occurs again somewhere, in the order they are sent, and their buckets."""
-        own, bucket, twice = self.seed_lists(groups)
-        alive = own[twice | X.flags_of(got, "seed", bucket)]
-        alive.sort()
-        if not len(alive) or not len(self.at):
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        place = np.minimum(np.searchsorted(alive, self.seed_hash), len(alive) - 1)
-        index = np.flatnonzero((alive[place] == self.seed_hash)[self.of] & ~self.again)
-        bucket = X.bucket_of(self.path[index], groups)
-        order = np.lexsort((self.path[index], bucket))
-        return index[order], bucket[order]
+        self.place, of = np.unique(minimisers(own, width - seed + 1)[at], return_inverse=True)
+        self.hash = own[self.place]
+        self.offsets = np.zeros(len(self.place), dtype=U64)
+        np.bitwise_or.at(self.offsets, of, U64(1) << (self.place[of] - at).astype(U64))
+
+    def repeated(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the part itself repeats, as compare gives it; the windows' bits of these go."""
+        _, group, many = np.unique(self.hash, return_inverse=True, return_counts=True)
+        twins = np.flatnonzero(many[group] > 1)
+        later, distance, first = compare(self.rows(twins), self.width, self.seed)
+        later, first = twins[later], twins[first]
+        np.bitwise_and.at(self.offsets, later, ~(U64(1) << distance.astype(U64)))
+        return later, distance, first
+
+    def head(self, index: np.ndarray) -> np.ndarray:
+        """Windows' bits, key and first word of some suffixes."""
+        words, place = self.words, self.place[index]
+        doc = words.doc[place]
+        return np.stack([self.offsets[index], words.ids()[doc].view(U64), (place - words.first[doc]).astype(U64)], axis=1) if len(index) else np.zeros((0, 3), dtype=U64)
+
+    def rows(self, index: np.ndarray) -> np.ndarray:
+        """The same, the `width` words from there on, and the words before."""
+        words, place = self.words, self.place[index]
+        doc = words.doc[place]
+        grid = np.append(words.hash, U64(0))
+        right = place[:, None] + np.arange(self.width)
+        right = grid[np.where(right < words.first[doc + 1][:, None], right, len(words.hash))]
+        left = place[:, None] - 1 - np.arange(self.width - self.seed)
+        left = grid[np.where(left >= words.first[doc][:, None], left, len(words.hash))]
+        return np.concatenate([self.head(index), right, left], axis=1)
+
+    def seeds(self, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct seeds and their groups, in the order they are sent; and each suffix' seed among them."""
+        return _distinct(self.hash, groups)
+
+    def sides(self, seed_shared: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+        """What is asked for in the second round: distinct hashes of seeds with the words before, or behind, that some window holds; their groups; each question's place among them.
+
+        Also the suffixes that ask, which of them ask for the words before and for those behind, and the windows' bits that depend on either.
+        """
+        reach = (self.width - self.seed) // 2
+        index = np.flatnonzero(seed_shared & (self.offsets > 0))
+        far = U64(((1 << self.width) - 1) ^ ((1 << reach) - 1))  # windows that begin so many words before the seed, or more
+        before, behind = self.offsets[index] & far, self.offsets[index] & ~far
+        a, b = np.flatnonzero(before), np.flatnonzero(behind)
+        left = prefixes(self.words.hash, self.place[index[a]] - reach, self.seed + reach)
+        right = prefixes(self.words.hash, self.place[index[b]], self.width - reach) ^ U64(0x5851F42D4C957F2D)
+        own, group, of = _distinct(np.concatenate([left, right]), groups)
+        return own, group, of, (index, a, b, before, behind)
+
+
+def _distinct(hashes: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    own, of = np.unique(hashes, return_inverse=True)
+    group = X.bucket_of(own, groups)
+    order = np.argsort(group, kind="stable")
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    return own[order], group[order], rank[of] if len(of) else of
+
+
+def compare(rows: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows of a sparse suffix array, in order of place: each window that isn't the first of its words, as its suffix, its distance before that, and the suffix of the first.
+
+    Sorts suffixes by the words that follow, takes common prefix lengths of neighbours, and extends to the left a word at
+    a time: a window is its suffix' node at the depth that lies behind the seed, and the words before it.
+    """
+    offsets, right, left = rows[:, 0], rows[:, 3 : 3 + width], rows[:, 3 + width :]
+    n, reach = len(rows), width - seed
+    order = np.argsort(np.ascontiguousarray(right.astype(">u8")).view(f"V{8 * width}").ravel(), kind="stable")
+    common = np.zeros(n, dtype=np.int64)  # words in common with the neighbour before
+    same = right[order][1:] == right[order][:-1]
+    common[1:] = np.where(same.all(axis=1), width, same.argmin(axis=1))
+    extended = np.zeros(n, dtype=U64)
+    found = [np.zeros((0, 3), dtype=np.int64)]
+    for distance in range(reach + 1):
+        live = np.flatnonzero((offsets >> U64(distance)) & U64(1))
+        if len(live) > 1:
+            node = np.empty(n, dtype=np.int64)
+            node[order] = np.cumsum(common < width - distance)
+            by = np.lexsort((extended[live], node[live]))  # stable: earlier places first
+            group = X.group_ids(by, node[live], extended[live])
+            first = live[by[np.flatnonzero(np.diff(group, prepend=-1))]][group]
+            later = live[by]
+            m = later != first
+            found.append(np.stack([later[m], np.full(m.sum(), distance), first[m]], axis=1))
+        if distance < reach:
+            with np.errstate(over="ignore"):
+                extended = mix(extended * U64(0x9E3779B97F4A7C15) + left[:, distance])
+    later, distance, first = np.concatenate(found).T
+    return later, distance, first
 
 
 def _islands(doc, start, source_doc, source_start) -> tuple[np.ndarray, np.ndarray]:
@@ -98,119 +161,110 @@ def passages(frame: DataFrame, key: str = "doc_id", text: str = "text", width: i
     Every run of `width` words whose words also start earlier (smaller key, or earlier in the document) lies in a
     passage of its document, and each passage's words stand in its source, which is earlier, one for one. Documents
     without repetitions have no rows. A null text has no words; a null key counts as the smallest; repeated rows repeat
-    one another; an empty table gives no rows; other columns don't matter.
+    one another; an empty table gives no rows; other columns don't matter. A long text is one part, of about 100 bytes a
+    word; `width` - `seed` is at most 62.
     """
-    parts, size = X.ranged_parts(frame, key, text, part_bytes)
-    groups = max(16, size // (6 * group_words))
-    reach = width - seed
+    parts = X.ranged_parts(frame, key, text, part_bytes)
+    groups = max(16, parts.size // (6 * group_words))
+    fine = X.per_bucket(groups)
     source = f"source_{key}"
     kind = frame.schema[key].dataType
-    rows = T.StructType([T.StructField(key, kind), *T._parse_datatype_string("first_word long, n long"), T.StructField(source, kind), T.StructField("source_first_word", T.LongType())])
+    columns = 3 + 2 * width - seed
+    rows = T.StructType([T.StructField("key", kind), *T._parse_datatype_string("first_word long, n long"), T.StructField("source", kind), *T._parse_datatype_string("source_first_word long, bucket long, part long, list binary")])
+    integer = pa.int64() if isinstance(kind, T.LongType) else pa.int32()
 
-    def out(keys, start, n, source_keys, source_start) -> pa.Table:
-        own = pa.int64() if isinstance(kind, T.LongType) else pa.int32()
-        return pa.table([pa.array(keys, own), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(source_keys, own), pa.array(source_start, pa.int64())], names=[f.name for f in rows])
+    def out(keys, start, source_keys, source_start, sent: pa.Table | None = None) -> pa.Table:
+        """Windows of later suffixes as passages, and lists to be sent on."""
+        by = np.lexsort((start, source_start - start, source_keys, keys))
+        keys, start, source_keys, source_start = keys[by], start[by], source_keys[by], source_start[by]
+        lo, n = _islands(keys, start, source_keys, source_start)
+        ids = lambda x: pa.array(np.where(x[lo] == X.NONE, 0, x[lo]), integer, mask=x[lo] == X.NONE)
+        more = len(sent) if sent is not None else 0
+        columns = [ids(keys), pa.array(start[lo]), pa.array(n), ids(source_keys), pa.array(source_start[lo])]
+        columns = [pa.concat_arrays([c, pa.nulls(more, c.type)]) for c in columns]
+        lists = [pa.concat_arrays([pa.nulls(len(lo), t), *([sent[name].combine_chunks()] if more else [])]) for name, t in (("bucket", pa.int64()), ("part", pa.int64()), ("list", pa.binary()))]
+        return pa.table([*columns, *lists], names=[f.name for f in rows])
 
-    def ids(words: X.Part) -> np.ndarray:
-        return words.keys.cast(pa.int64()).fill_null(_NONE).to_numpy(zero_copy_only=False)
+    def passages_of(grid: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+        later, distance, first = found
+        doc, place = grid[:, 1].view(np.int64), grid[:, 2].view(np.int64)
+        return doc[later], place[later] - distance, doc[first], place[first] - distance
 
-    def send_seeds(part: int, docs: pa.Table, got: pa.Table) -> pa.Table:
-        own, bucket, _ = Sparse(X.Part(docs, key, text), width, seed).seed_lists(groups)
-        return X.lists(part, bucket, lambda s: X.pack(own[s], 5))
+    def ask_seeds(_: int, docs: pa.Table, got: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        own, group, _ = Sparse(X.Part(docs, key, text), width, seed).seeds(groups)
+        return group, X.fingerprints(own)
 
-    def send_windows(part: int, docs: pa.Table, got: pa.Table) -> pa.Table:
-        own = Sparse(X.Part(docs, key, text), width, seed)
-        index, bucket = own.window_list(groups, got)
-        return X.lists(part, bucket, lambda s: X.pack(own.path[index[s]], 5))
+    def seed_shared(own: Sparse, got: pa.Table) -> np.ndarray:
+        _, group, of = own.seeds(groups)
+        return (by_seed.of(got, group, fine) > 0)[of] if len(of) else np.zeros(0, dtype=bool)
 
-    def send_suffixes(part: int, docs: pa.Table, got: pa.Table) -> pa.Table:
+    def ask_sides(_: int, docs: pa.Table, got: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         own = Sparse(X.Part(docs, key, text), width, seed)
-        index, bucket = own.window_list(groups, got)
-        index = index[X.flags_of(got, "window", bucket)]
-        used, back = np.unique(own.of[index], return_inverse=True)
-        offsets = np.zeros(len(used), dtype=U64)  # which of the windows around it a suffix stands for, by distance to their starts
-        place = own.seeds[used]
-        np.bitwise_or.at(offsets, back, U64(1) << (place[back] - own.at[index]).astype(U64))
-        words = own.words
-        doc = words.doc[place]
-        grid = np.append(words.hash, U64(0))
-        right = place[:, None] + np.arange(width)
-        right = grid[np.where(right < words.first[doc + 1][:, None], right, len(words.hash))]
-        left = place[:, None] - 1 - np.arange(reach)
-        left = grid[np.where(left >= words.first[doc][:, None], left, len(words.hash))]
-        head = np.stack([offsets, ids(words)[doc].view(U64), (place - words.first[doc]).astype(U64)], axis=1) if len(used) else np.zeros((0, 3), dtype=U64)
-        table = np.concatenate([head, right, left], axis=1)
-        bucket = X.bucket_of(own.seed_hash[used], groups)
-        order = np.argsort(bucket, kind="stable")
-        table = table[order]
-        return X.lists(part, bucket[order], lambda s: table[s].astype("<u8").tobytes())
+        own.repeated()
+        hashes, group, _, _ = own.sides(seed_shared(own, got), groups)
+        return group, X.fingerprints(hashes)
 
-    @lean
-    def compare(key_, table):
-        """Sorts a group's suffixes, compares neighbours, extends to the left, and names each window's first occurrence."""
-        lists = sorted(zip(table["part"].to_pylist(), table["list"].to_pylist(), strict=True))
-        grid = np.concatenate([np.frombuffer(x, dtype="<u8").reshape(-1, 3 + width + reach) for _, x in lists]).astype(U64)
-        offsets, doc, place = grid[:, 0], grid[:, 1].view(np.int64), grid[:, 2].astype(np.int64)
-        right, left = grid[:, 3 : 3 + width], grid[:, 3 + width :]
-        order = np.argsort(np.ascontiguousarray(right.astype(">u8")).view(f"V{8 * width}").ravel(), kind="stable")
-        common = np.zeros(len(order), dtype=np.int64)  # words in common with the neighbour before
-        common[1:] = np.cumprod(right[order][1:] == right[order][:-1], axis=1).sum(axis=1)
-        extended = np.zeros(len(order), dtype=U64)
-        found: list[np.ndarray] = []
-        for distance in range(reach + 1):
-            node = np.empty(len(order), dtype=np.int64)
-            node[order] = np.cumsum(common < width - distance)
-            live = np.flatnonzero((offsets >> U64(distance)) & U64(1))
-            if len(live) > 1:
-                by = np.lexsort((extended[live], node[live]))  # stable: earlier places first
-                group = X.group_ids(by, node[live], extended[live])
-                first = live[by[np.flatnonzero(np.diff(group, prepend=-1))]][group]
-                later = live[by]
-                m = later != first
-                found.append(np.stack([later[m], np.full(m.sum(), -distance), first[m]], axis=1))
-            if distance < reach:
-                with np.errstate(over="ignore"):
-                    extended = mix(extended * U64(0x9E3779B97F4A7C15) + left[:, distance])
-        got = np.concatenate(found) if found else np.zeros((0, 3), dtype=np.int64)
-        got = got[np.lexsort((got[:, 1], got[:, 2], got[:, 0]))]
-        i, back, w = got.T
-        lo, n = _islands(i, place[i] + back, w, place[w] + back)
-        none = lambda x: pa.array(x, mask=x == _NONE)
-        return out(none(doc[i[lo]]), (place[i] + back)[lo], n, none(doc[w[lo]]), (place[w] + back)[lo])
+    by_seed, by_side = X.shared("seed", ask_seeds), X.shared("side", ask_sides)
+
+    def ask_suffixes(_: int, docs: pa.Table, got: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes that other parts may hold too."""
+        own = Sparse(X.Part(docs, key, text), width, seed)
+        own.repeated()
+        _, group, of, (index, a, b, before, behind) = own.sides(seed_shared(own, got), groups)
+        shared = (by_side.of(got, group, fine) > 0)[of] if len(of) else np.zeros(0, dtype=bool)
+        left, right = np.zeros(len(index), dtype=bool), np.zeros(len(index), dtype=bool)
+        left[a], right[b] = shared[: len(a)], shared[len(a) :]
+        own.offsets[:] = 0
+        own.offsets[index] = np.where(left, before, U64(0)) | np.where(right, behind, U64(0))
+        sent = np.flatnonzero(own.offsets)
+        group = X.bucket_of(own.hash[sent], groups)
+        order = np.argsort(group, kind="stable")
+        return group[order], own.rows(sent[order]).astype("<u8").view(np.uint8).reshape(-1, 8 * columns)
 
     @lean
     def within(key_, docs, got):
         """Passages that the part itself holds earlier."""
-        if not len(docs):
-            return out([], [], [], [], [])
-        words = X.Part(docs, key, text)
-        own = Sparse(words, width, seed)
-        index = np.flatnonzero(own.again)
-        here, there = own.at[index], own.at[own.first[index]]
-        a, b = words.doc[here], words.doc[there]
-        lo, n = _islands(a, here, b, there)
-        take = lambda d: words.keys.take(pa.array(d[lo], pa.int64()))
-        return out(take(a), (here - words.first[a])[lo], n, take(b), (there - words.first[b])[lo])
-
-    seeds = X.ask(parts, X.no_replies(frame), send_seeds, X.shared("seed", 5))
-    windows = X.ask(parts, seeds, send_windows, X.shared("window", 5))
-    messages = seeds.unionByName(windows)
+        own = Sparse(X.Part(docs, key, text), width, seed)
+        found = own.repeated()
+        return out(*passages_of(own.head(np.arange(len(own.place))), found))
+
+    def meeting(table: pa.Table, lead: int, last: bool, bucket: int, block: int) -> pa.Table:
+        """Compares the suffixes of a group, or of a bucket's groups from one block of parts, and sends on what is first of its kind."""
+        _, records, sender, _ = X.gathered(table, 8 * columns + lead)
+        group = X.unpack(records[:, :lead]).astype(np.int64) if lead else np.zeros(len(records), dtype=np.int64)
+        grid = np.ascontiguousarray(records[:, lead:]).view("<u8").astype(U64)
+        order = np.lexsort((sender, grid[:, 1].view(np.int64)))  # stable: by key, part, place
+        grid, group = grid[order], group[order]
+        found = compare(grid, width, seed)
+        if last:
+            return out(*passages_of(grid, found))
+        np.bitwise_and.at(grid[:, 0], found[0], ~(U64(1) << found[1].astype(U64)))
+        left = np.flatnonzero(grid[:, 0])
+        left = left[np.argsort(group[left], kind="stable")]
+        sent = X.lists(block, bucket * fine + group[left], grid[left].astype("<u8").view(np.uint8).reshape(-1, 8 * columns))
+        return out(*passages_of(grid, found), sent)
+
+    @lean
+    def comparing(key_, table):
+        return meeting(table, 0, True, 0, 0)
 
     @lean
-    def sending(key_, docs, got):
-        return send_suffixes(key_[0].as_py(), docs, got)
-
-    across = parts.groupBy("part").cogroup(messages.groupBy("part")).applyInArrow(sending, X.LISTS).groupBy("bucket").applyInArrow(compare, rows)
-    inside = parts.groupBy("part").cogroup(X.no_replies(frame).groupBy("part")).applyInArrow(within, rows)
-    step = F.col("first_word") - F.col("source_first_word")
-    by = Window.partitionBy(key, source, "step").orderBy("first_word")
-    joined = across.unionByName(inside).withColumn("step", step).withColumn("new", (F.lag(F.col("first_word") + F.col("n"), 1, -1).over(by) < F.col("first_word")).cast("int")).withColumn("run", F.sum("new").over(by))
+    def passing(key_, table):
+        return meeting(table, 2 if fine > 1 else 0, False, key_[0].as_py(), key_[1].as_py())
+
+    seeds = X.ask(parts, X.no_replies(frame), by_seed, groups)
+    messages = seeds.unionByName(X.ask(parts, seeds, by_side, groups))
+    windows = parts.frame.groupBy("part").cogroup(X.no_replies(frame).groupBy("part")).applyInArrow(within, rows)
+    lists = X.sent_lists(parts, messages, ask_suffixes, groups)
+    if parts.n > X.FAN or fine > 1:
+        passed = cut(lists.withColumn("block", F.floor(F.col("part") / X.FAN)).groupBy("bucket", "block").applyInArrow(passing, rows))
+        windows, lists = windows.union(passed.where("list is null")), passed.where("list is not null").select("bucket", "part", "list")
+    windows = windows.union(lists.groupBy("bucket").applyInArrow(comparing, rows))
+    joined = windows.select("key", "first_word", "n", "source", "source_first_word").withColumn("step", F.col("first_word") - F.col("source_first_word"))
+    by = Window.partitionBy("key", "source", "step").orderBy("first_word")
+    joined = joined.withColumn("new", (F.lag(F.col("first_word") + F.col("n"), 1, -1).over(by) < F.col("first_word")).cast("int")).withColumn("run", F.sum("new").over(by))
     return (
-        joined.groupBy(key, source, "step", "run")
+        joined.groupBy("key", "source", "step", "run")
         .agg(F.min("first_word").alias("first_word"), F.max(F.col("first_word") + F.col("n")).alias("end"))
-        .select(key, "first_word", (F.col("end") + width - 1).alias("end_word"), source, (F.col("first_word") - F.col("step")).alias("source_first_word"))
+        .select(F.col("key").alias(key), "first_word", (F.col("end") + width - 1).alias("end_word"), F.col("source").alias(source), (F.col("first_word") - F.col("step")).alias("source_first_word"))
     )
-
-
-#: Stands for a null key in packed rows.
-_NONE = -(1 << 63)

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from lodestone.llm import set_join
+from lodestone.llm import exchange, set_join
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -57,6 +57,19 @@ def test_same_as_all_pairs(spark, monkeypatch, width, percent, part_bytes, chunk
     assert got == brute(rows, width, percent)
 
 
+def test_two_steps_and_a_key_of_many_rows(spark, monkeypatch):
+    """More parts and groups than the fan; one key with a third of all rows; a columns' names that clash."""
+    monkeypatch.setattr(exchange, "FAN", 4)
+    rows = corpus(11, 60)
+    many = [(8000, f"{rows[3][1]} z{i % 3}") for i in range(30)]
+    frame = spark.createDataFrame([(d, t, "en", 1, "k") for d, t in rows + many], "doc_id long, text string, salt string, n int, key string").repartition(3)
+    got = {}
+    for r in set_join.join(frame, part_bytes=1500, group_words=100).collect():
+        got.setdefault(r.doc_id, set()).add(r.component_id)
+    want = brute(rows + [(9000 + i, t) for i, t in enumerate(sorted({t for _, t in many}))], 3, 90)
+    assert {d: c for d, c in got.items() if d < 8000} == {d: {c if c < 8000 else 8000} for d, (_, c) in want.items() if d < 8000}
+
+
 def test_empty_table_and_null_keys(spark):
     assert set_join.join(spark.createDataFrame([], SCHEMA)).count() == 0
     frame = spark.createDataFrame([(None, "a b c d", "x"), (4, "a b c d", "x"), (4, "a b c d", "x"), (None, "z z z z", "x"), (None, None, "x")], SCHEMA)

@@ -2,7 +2,9 @@
 
 import re
 
-from lodestone.llm import sparse_suffixes
+import pytest
+
+from lodestone.llm import exchange, sparse_suffixes
 from tests.llm.test_repeats import SCHEMA, corpus
 
 
@@ -10,7 +12,10 @@ def split(t):
     return re.findall("[^\x20\x09-\x0d]+", t or "")
 
 
-def test_same_windows_as_brute_force(spark):
+@pytest.mark.parametrize("fan", [1 << 14, 4])
+def test_same_windows_as_brute_force(spark, monkeypatch, fan):
+    """Also in two steps, where there are more parts and groups than the fan."""
+    monkeypatch.setattr(exchange, "FAN", fan)
     rows = corpus(3)
     words = {d: split(t) for d, t in rows}
     frame = spark.createDataFrame([(d, t, "en") for d, t in rows], SCHEMA).repartition(3)
@@ -38,3 +43,13 @@ def test_empty_table_null_keys_and_ties(spark):
     text = " ".join(f"a{i}" for i in range(60))
     frame = spark.createDataFrame([(None, text, "x"), (1, text, "x"), (1, text, "y"), (2, None, "z"), (3, "", "z")], SCHEMA)
     assert {r.doc_id for r in sparse_suffixes.passages(frame).collect()} == {1}
+
+
+def test_columns_of_any_name_and_split_ranges(spark, monkeypatch):
+    monkeypatch.setattr(exchange, "RANGES", 3)
+    text = " ".join(f"a{i}" for i in range(60))
+    frame = spark.createDataFrame([(k, text, 1, "s") for k in [None, *range(5)] * 8], "doc_id int, text string, step int, source string")
+    got = sparse_suffixes.passages(frame, part_bytes=400)
+    assert got.columns == ["doc_id", "first_word", "end_word", "source_doc_id", "source_first_word"]
+    rows = got.collect()
+    assert {(r.doc_id, r.first_word, r.end_word, r.source_first_word) for r in rows} == {(k, 0, 60, 0) for k in [None, *range(5)]}
