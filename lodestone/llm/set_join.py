@@ -36,10 +36,12 @@ from lodestone.llm.store import cut
 from lodestone.llm.words import U64, WORD_BASE, Words, buffers, give_back, lean, mix, slices, spans_hash
 
 SHINGLE, PERCENT = 3, 90
-#: Sets, and shingles in all of them, of a chunk of a family: what a task does at a time.
+#: Sets, and shingles in all of them, of a chunk of a family that is joined within itself; of one that others' members are compared with; and of a chunk of a prefix list.
 CHUNK_SETS, CHUNK_SHINGLES = 100, 500_000
+ACROSS_SETS, ACROSS_SHINGLES = 250, 1_000_000
+LIST_SETS, LIST_SHINGLES = 1000, 2_000_000
 #: Copies of its members that a family may send to its chunks, as a multiple of their number; beyond that they meet by prefix lists.
-SPREAD = 4
+SPREAD = 16
 #: Rows that a task remembers, to pass on equal ones once.
 SEEN = 200_000
 _NODE = "id long, part long, n int, data binary"
@@ -285,9 +287,9 @@ def _chunked(sets: DataFrame) -> DataFrame:
 
 
 def _by_chunks(known: DataFrame, percent: int) -> DataFrame:
-    """Links of members outside a family's largest component with all its chunks but their own."""
-    minor = known.where("component != main").select("family", "id", "data", "component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("to"), "chunk").where("to != chunk").select("family", F.col("to").alias("chunk"), "id", "data", "component")
-    chunks = known.select("family", "chunk", "id", "data", "component").repartition("family", "chunk")
+    """Links of members outside a family's largest component with all its chunks."""
+    minor = known.where("component != main").select("family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("across") - 1)).alias("chunk"), "id", "data", "component")
+    chunks = known.select("family", F.pmod(F.xxhash64("id"), F.col("across")).alias("chunk"), "id", "data", "component").repartition("family", "chunk")
     return chunks.groupBy("family", "chunk").cogroup(minor.groupBy("family", "chunk")).applyInArrow(_across(percent), "a long, b long")
 
 
@@ -306,7 +308,7 @@ def _by_lists(known: DataFrame, percent: int) -> DataFrame:
     alive = tokens.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
     members = cut(tokens.join(alive, "token"))
     each = members.groupBy("token", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    lists = each.groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.greatest(F.ceil(F.sum("c") / CHUNK_SETS), F.ceil(F.sum("s") / CHUNK_SHINGLES)).alias("chunks"))
+    lists = each.groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.greatest(F.ceil(F.sum("c") / LIST_SETS), F.ceil(F.sum("s") / LIST_SHINGLES)).alias("chunks"))
     own = members.join(lists, "token").select("token", "id", "component", "main", "chunks")
     data = known.select("id", "data")
     chunks = own.select("token", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"), "id", "component").join(data, "id").select("token", "chunk", "id", "data", "component")
@@ -338,9 +340,10 @@ def _links(sets: DataFrame, families: DataFrame, percent: int) -> DataFrame:
         count = left
         now = now.join(level.where("chunks > 1").select("family").distinct(), "family", "left_semi")
     known = large.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = known.groupBy("family", "component").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("family").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("components"), F.sum("c").alias("members"), F.max("c").alias("largest")).where("components > 1")
-    known = cut(known.join(main, "family").withColumn("few", (F.col("members") - F.col("largest")) * (F.col("chunks") - 1) <= SPREAD * F.col("members")))
+    sizes = known.groupBy("family", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    across = F.greatest(F.ceil(F.sum("c") / ACROSS_SETS), F.ceil(F.sum("s") / ACROSS_SHINGLES))
+    main = sizes.groupBy("family").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("components"), F.sum("c").alias("members"), F.max("c").alias("largest"), across.alias("across")).where("components > 1")
+    known = cut(known.join(main, "family").withColumn("few", (F.col("members") - F.col("largest")) * F.col("across") <= SPREAD * F.col("members")))
     few, many = known.where("few"), known.where("NOT few")
     links = links.union(_by_chunks(few, percent))
     return links if many.isEmpty() else links.union(_by_lists(many, percent))

@@ -50,6 +50,8 @@ def corpus(seed, n=120):
 def test_same_as_all_pairs(spark, monkeypatch, width, percent, part_bytes, chunk, spread):
     """Also with families split into chunks, whose rest meets in chunks (a large spread) or in prefix lists (none)."""
     monkeypatch.setattr(set_join, "CHUNK_SETS", chunk)
+    monkeypatch.setattr(set_join, "ACROSS_SETS", 2 * chunk)
+    monkeypatch.setattr(set_join, "LIST_SETS", 2 * chunk)
     monkeypatch.setattr(set_join, "SPREAD", spread)
     rows = corpus(width + part_bytes)
     frame = spark.createDataFrame([(d, t, "en") for d, t in rows], SCHEMA).repartition(3)
