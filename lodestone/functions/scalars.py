@@ -39,6 +39,20 @@ def format_bytes(n: Column) -> Column:
     return out
 
 
+def format_bytes_listing(n: Column) -> Column:
+    """Bytes as listings show them: whole below 1024, one decimal for KB and MB, two for GB, the largest unit; ties go to the even digit."""
+    shown = lambda k, places, unit: F.format_string(f"%.{places}f {unit}", F.bround(n / 1024**k, places))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, shown(1, 1, "KB")).when(n < 1024**3, shown(2, 1, "MB")).otherwise(shown(3, 2, "GB"))
+
+
+def format_bytes_report(n: Column) -> Column:
+    """Bytes as retention reports show them: divided by 1024 without a rest until less remains, with a decimal that is always 0."""
+    out = F.concat(F.floor(n / 1024**5).cast("string"), F.lit(".0 PB"))
+    for k, unit in ((4, "TB"), (3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
+        out = F.when(F.abs(F.floor(n / 1024**k)) < 1024, F.concat(F.floor(n / 1024**k).cast("string"), F.lit(f".0 {unit}"))).otherwise(out)
+    return out
+
+
 def age_days(created: Column, as_of: Column) -> Column:
     """Days between two timestamps as a number."""
     return (F.unix_micros(as_of) - F.unix_micros(created)) / 86_400_000_000
@@ -59,5 +73,26 @@ def canonical_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"[ \t]+", " "))
 
 
+def _lines(text: Column, skip: str) -> Column:
+    """Trimmed lines that aren't empty and don't match, each with a line end."""
+    lines = F.transform(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n"), lambda x: F.regexp_replace(x, r"^[ \t\f\x0B]+|[ \t\f\x0B]+$", ""))
+    return F.array_join(F.transform(F.filter(lines, lambda x: (x != "") & ~x.rlike(skip)), lambda x: F.concat(x, F.lit("\n"))), "")
+
+
+def canonical_layers(text: Column) -> Column:
+    """Layer plots without comments (G04) and lines that tell when they were made."""
+    return _lines(text, r"^G04|(?i:creation\s*date|creation\s*time)")
+
+
+def canonical_drills(text: Column) -> Column:
+    """Drill files without comments."""
+    return _lines(text, "^;")
+
+
+def canonical_boards(text: Column) -> Column:
+    """Board files whose time stamps and UUIDs have lost their values."""
+    return F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"\((tstamp|uuid)\s+[^)]+\)", "($1)")
+
+
 def canonical_hash(text: Column) -> Column:
     return F.sha2(canonical_text(text), 256)

@@ -7,6 +7,9 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Members of a snapshot whose sorted digests (64 bytes each) are gathered for a manifest's hash.
+MOST_MEMBERS = 2_000_000
+
 
 def select_records(
     frame: DataFrame,
@@ -61,9 +64,33 @@ def latest_versions(frame: DataFrame, name: str, version: str) -> DataFrame:
     return frame.withColumn("_r", F.row_number().over(Window.partitionBy(name).orderBy(F.col(version).desc()))).where("_r = 1").drop("_r")
 
 
-def manifest_hash(frame: DataFrame, by: Iterable[str], digest: str = "digest") -> DataFrame:
-    """SHA-256 of each group's digests, sorted and joined by line ends: a group is a snapshot, whose members fit a manifest."""
-    return frame.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(digest)), "\n"), 256).alias("manifest_hash"))
+def fingerprint(frame: DataFrame, by: Iterable[str], digest: str = "digest") -> DataFrame:
+    """members, and two numbers that stand for each group's digests, whatever their order: sums of hashes, added up in parts, for groups of any size."""
+    two = (F.sum(F.xxhash64(digest).cast("decimal(38,0)")).alias("sum_a"), F.sum(F.xxhash64(F.lit(1), digest).cast("decimal(38,0)")).alias("sum_b"))
+    return frame.groupBy(*by).agg(F.count("*").alias("members"), *two)
+
+
+def same_members(before: DataFrame, after: DataFrame, by: Iterable[str], digest: str = "digest") -> DataFrame:
+    """by, intact: whether a group of both frames has the same digests in both."""
+    a, b = (fingerprint(f, by, digest) for f in (before, after))
+    same = (F.col("members") == F.col("_n")) & (F.col("sum_a") == F.col("_a")) & (F.col("sum_b") == F.col("_b"))
+    return a.join(b.toDF(*by, "_n", "_a", "_b"), list(by)).select(*by, same.alias("intact"))
+
+
+def delete(frame: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The records but those of the keys. An index entry goes by itself: nothing that names it goes with it."""
+    return frame.join(keys.select(key).distinct(), key, "left_anti").select(frame.columns)
+
+
+def manifest_hash(frame: DataFrame, by: Iterable[str], digest: str = "digest", most: int = MOST_MEMBERS) -> DataFrame:
+    """SHA-256 of each group's digests, sorted and joined by line ends: a group is a snapshot, whose members fit a manifest. One of more than `most` members fails before it is gathered."""
+    by = list(by)
+    large = frame.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    kept = frame.select(*by, F.col(digest).alias("_digest")).join(large, by, "left")
+    message = F.concat(F.lit("a manifest of "), F.col("_n").cast("string"), F.lit(f" members; at most {most} are hashed"))
+    own = kept.withColumn("_digest", F.when(F.col("_n").isNull(), F.col("_digest")).otherwise(F.raise_error(message).cast("string")))
+    digest = "_digest"
+    return own.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(digest)), "\n"), 256).alias("manifest_hash"))
 
 
 def grouped_stats(frame: DataFrame, *groups: str) -> DataFrame:

@@ -75,22 +75,26 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(artifact_id, level): the longest way from a root; order by (level, artifact_id). Nodes on or behind a cycle have no level."""
-    names = nodes.select("artifact_id")
-    own = cut(edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).join(names.withColumnRenamed("artifact_id", "a"), "a").join(names.withColumnRenamed("artifact_id", "b"), "b").where("a <> b").distinct())
-    own_loops = edges.where("source_id = target_id").select(F.col("source_id").alias("artifact_id"))
-    left, out, level = cut(names.distinct()), None, 0
-    while True:
-        ready = left.join(own.select(F.col("b").alias("artifact_id")), "artifact_id", "left_anti").join(own_loops, "artifact_id", "left_anti")
-        ready = cut(ready.withColumn("level", F.lit(level)))
-        if ready.isEmpty():
-            break
-        out = ready if out is None else out.union(ready)
-        done = ready.select("artifact_id")
-        left = cut(left.join(done, "artifact_id", "left_anti"))
-        own = cut(own.join(done.withColumnRenamed("artifact_id", "a"), "a", "left_anti").select("a", "b"))
+    """(artifact_id, level): the longest way from a root; order by (level, artifact_id). Nodes on or behind a cycle have no level.
+
+    Edges are written once. Each round writes only how many inputs of which nodes its frontier has settled; a node is
+    ready when these add up to its number of inputs, so all rounds together write no more than the edges. A node that is
+    its own input is never ready.
+    """
+    names = nodes.select("artifact_id").distinct()
+    own = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).join(names.withColumnRenamed("artifact_id", "a"), "a", "left_semi").join(names.withColumnRenamed("artifact_id", "b"), "b", "left_semi")
+    own = cut(own.distinct())
+    inputs = cut(own.groupBy("b").agg(F.count("*").alias("n")))
+    ready = cut(names.join(inputs.select(F.col("b").alias("artifact_id")), "artifact_id", "left_anti").withColumn("level", F.lit(0)))
+    out, settled, level = ready, None, 0
+    while not ready.isEmpty():
         level += 1
-    return out if out is not None else ready
+        step = cut(own.join(ready.select(F.col("artifact_id").alias("a")), "a", "left_semi").groupBy("b").agg(F.count("*").alias("c")))
+        settled = step if settled is None else settled.union(step)
+        total = settled.join(step.select("b"), "b", "left_semi").groupBy("b").agg(F.sum("c").alias("c"))
+        ready = cut(total.join(inputs, "b").where("c = n").select(F.col("b").alias("artifact_id"), F.lit(level).alias("level")))
+        out = out.union(ready)
+    return out
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -117,9 +121,20 @@ def ancestors_of_pins(edges: DataFrame, nodes: DataFrame, pins: DataFrame) -> Da
 
 
 def audit(nodes: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
-    """(origin, n_ancestors, n_edges, root_ids) of each audited artifact."""
+    """(origin, n_ancestors, n_edges, root_ids) of each audited artifact. The roots are one array: audit_roots gives them as rows, for wide graphs."""
     reached = cut(ancestors(nodes, edges, targets))
     tops = reached.join(edges.select(F.col("target_id").alias("artifact_id")), "artifact_id", "left_anti").groupBy("origin").agg(F.array_sort(F.collect_set("artifact_id")).alias("root_ids"))
     counted = reached.groupBy("origin").agg((F.count("*") - 1).alias("n_ancestors"))
     links = subgraph_edges(reached, edges).groupBy("origin").agg(F.count("*").alias("n_edges"))
     return counted.join(links, "origin", "left").join(tops, "origin", "left").select("origin", "n_ancestors", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), F.coalesce("root_ids", F.array().cast("array<string>")).alias("root_ids"))
+
+
+def audit_roots(nodes: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """(origin, artifact_id): the roots that each audited artifact comes from."""
+    reached = ancestors(nodes, edges, targets)
+    return reached.join(edges.select(F.col("target_id").alias("artifact_id")), "artifact_id", "left_anti").select("origin", "artifact_id")
+
+
+def audit_types(nodes: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """(origin, artifact_type, n): how many ancestors of each type an audited artifact has, itself left out."""
+    return ancestors(nodes, edges, targets).where("origin <> artifact_id").groupBy("origin", "artifact_type").agg(F.count("*").alias("n"))

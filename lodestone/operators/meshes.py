@@ -27,6 +27,17 @@ def cell_sizes(specs: DataFrame, f_max_hz: float, fraction: float = 0.05, finest
     return own.withColumn("trace_cell", F.greatest(F.lit(finest), F.least(F.lit(edge), F.floor(F.col("w") / 4).cast("bigint"), F.floor(F.col("gap") / 3).cast("bigint"), F.col("base_cell"))).cast("bigint"))
 
 
+def densities(specs: DataFrame, f_max_hz: float, drill: str, pad: str, thickness: str, finest: int = 5_000, via: int = 25_000, substrate: int = 50_000, **options) -> DataFrame:
+    """Adds to the cell sizes those of vias (4 across a drill, 6 across a pad), of antipads, of the substrate (3 to a layer, of which `thickness` is an array) and of the absorbing border; drills and pads of 0 or null ask for nothing."""
+    own = cell_sizes(specs, f_max_hz, finest=finest, **options)
+    at_least = lambda x: F.greatest(F.lit(finest), x).cast("bigint")
+    across = lambda c, n: F.when(F.col(c) > 0, F.floor(F.col(c) / n))  # noqa: E731  least() passes nulls over
+    own = own.withColumn("via_cell", at_least(F.least(F.greatest(F.lit(finest), F.least(F.lit(via), F.col("base_cell"))), across(drill, 4), across(pad, 6))))
+    layers = F.array_min(F.transform(F.filter(thickness, lambda t: t > 0), lambda t: F.floor(t / 3)))
+    own = own.withColumn("substrate_cell", at_least(F.least(F.greatest(F.lit(finest), F.least(F.lit(substrate), F.col("base_cell"))), layers)))
+    return own.withColumns({"antipad_cell": F.col("via_cell"), "border_cell": F.col("base_cell")})
+
+
 def ring(frame: DataFrame, key: str, radius: str, count: str) -> DataFrame:
     """Centres of `count` vias on a circle: key, k, x, y. Angles step by whole thousandths of a degree, coordinates lose their fractions; no vias where radius or count is null or not above 0."""
     own = frame.where((F.col(count) > 0) & (F.col(radius) > 0)).select(key, radius, count, F.explode(F.sequence(F.lit(0), F.col(count).cast("int") - 1)).alias("k"))

@@ -28,9 +28,10 @@ def evaluate(artifacts: DataFrame, policy: Policy, as_of: str, pinned: DataFrame
     min_count keeps the oldest of each type: as long as fewer of them are kept than the policy asks for.
     """
     flag = lambda f, name: f.select("artifact_id", F.lit(True).alias(name)).distinct()
-    joined = artifacts.join(flag(pinned, "_pin"), "artifact_id", "left").join(flag(pinned_ancestors, "_anc"), "artifact_id", "left").join(flag(with_descendants, "_desc"), "artifact_id", "left")
+    oldest = Window.partitionBy("artifact_type").orderBy("created_utc", "artifact_id")
+    first = artifacts.select("artifact_type", "created_utc", "artifact_id", F.row_number().over(oldest).alias("_r")).where(F.col("_r") <= policy.keep_min_count)  # each task keeps no more of a type
+    joined = artifacts.join(flag(pinned, "_pin"), "artifact_id", "left").join(flag(pinned_ancestors, "_anc"), "artifact_id", "left").join(flag(with_descendants, "_desc"), "artifact_id", "left").join(flag(first, "_old"), "artifact_id", "left")
     age = (F.unix_micros(F.to_timestamp(F.lit(as_of))) - F.unix_micros(F.to_timestamp("created_utc"))) / 86_400_000_000
-    oldest = F.row_number().over(Window.partitionBy("artifact_type").orderBy("created_utc", "artifact_id"))
     rules = [
         ("pinned", F.lit(policy.keep_pinned) & F.col("_pin").isNotNull()),
         ("ancestor_of_pinned", F.lit(policy.keep_ancestors_of_pinned) & F.col("_anc").isNotNull()),
@@ -38,12 +39,12 @@ def evaluate(artifacts: DataFrame, policy: Policy, as_of: str, pinned: DataFrame
         ("protected_type", F.col("artifact_type").isin(*policy.keep_types) if policy.keep_types else F.lit(False)),
         ("protected_role", F.arrays_overlap("roles", F.array(*[F.lit(r) for r in policy.keep_roles])) if policy.keep_roles else F.lit(False)),
         ("age", age < policy.keep_min_age_days),
-        ("min_count", oldest <= policy.keep_min_count),
+        ("min_count", F.col("_old").isNotNull()),
     ]
     reason = F.lit("delete")
     for name, rule in reversed(rules):
         reason = F.when(rule, name).otherwise(reason)
-    return joined.withColumn("reason", reason).drop("_pin", "_anc", "_desc")
+    return joined.withColumn("reason", reason).drop("_pin", "_anc", "_desc", "_old")
 
 
 def with_budget(evaluated: DataFrame, policy: Policy, buckets: int = 64) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,9 +18,26 @@ def session(app: str = "lodestone", master: str | None = None, partitions: int |
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where that is unset in local mode, one of this machine's. On a cluster it must be set."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    have = context._jsc.sc().getCheckpointDir()
+    if not named and not have.isDefined():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        named = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+    if not have.isDefined():
+        context.setCheckpointDir(named)
+    return named or have.get()
+
+
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A path of its own under the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def cut(frame: DataFrame) -> DataFrame:
-    """Computes the frame into the folder of spark.checkpoint.dir; where that is unset, as in tests, into one of this machine's."""
-    context = frame.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="lodestone-"))
+    """Computes the frame into the shared folder and reads it from there."""
+    shared_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)

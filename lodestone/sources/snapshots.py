@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.catalogue import manifest_hash
+from lodestone.operators.catalogue import fingerprint, manifest_hash
 
 MEMBER = ["artifact_id", "artifact_type", "role", "digest", "byte_size", "storage_path"]
 
@@ -24,7 +24,8 @@ def write_snapshot(members: DataFrame, path: str, dataset_id: str, version: str,
     wide_features(members, features).write.mode("errorifexists").parquet(f"{path}/index")
     own = members.sparkSession.read.parquet(f"{path}/index").withColumn("dataset_id", F.lit(dataset_id))
     totals = own.groupBy("dataset_id").agg(F.count("*").alias("count"), F.sum("byte_size").alias("total_bytes"))
-    totals.join(manifest_hash(own, ["dataset_id"]), "dataset_id").withColumn("version", F.lit(version)).coalesce(1).write.json(f"{path}/manifest")  # one row
+    marks = fingerprint(own, ["dataset_id"]).select("dataset_id", F.col("sum_a").cast("string").alias("sum_a"), F.col("sum_b").cast("string").alias("sum_b"))
+    totals.join(marks, "dataset_id").join(manifest_hash(own, ["dataset_id"]), "dataset_id").withColumn("version", F.lit(version)).coalesce(1).write.json(f"{path}/manifest")  # one row
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -32,11 +33,12 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def verify_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """dataset_id, intact: whether the index still has the manifest's hash, count and bytes."""
+    """dataset_id, intact: whether the index still has the manifest's count, bytes and sums of the digests' hashes; nothing is gathered."""
     manifest = spark.read.json(f"{path}/manifest")
-    own = read_index(spark, path)
-    now = own.agg(F.count("*").alias("n"), F.sum("byte_size").alias("b"), F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), "\n"), 256).alias("h")).withColumn("dataset_id", F.lit(manifest.first()["dataset_id"]))
-    return manifest.join(now, "dataset_id").select("dataset_id", ((F.col("count") == F.col("n")) & (F.col("total_bytes") == F.col("b")) & (F.col("manifest_hash") == F.col("h"))).alias("intact"))
+    own = read_index(spark, path).withColumn("dataset_id", F.lit(manifest.first()["dataset_id"]))
+    now = fingerprint(own, ["dataset_id"]).toDF("dataset_id", "n", "a", "b").join(own.groupBy("dataset_id").agg(F.sum("byte_size").alias("bytes")), "dataset_id")
+    same = (F.col("count") == F.col("n")) & (F.col("total_bytes") == F.col("bytes")) & (F.col("sum_a") == F.col("a").cast("string")) & (F.col("sum_b") == F.col("b").cast("string"))
+    return manifest.join(now, "dataset_id").select("dataset_id", same.alias("intact"))
 
 
 def read_slice(spark: SparkSession, path: str, columns: list[str], filters: list[tuple[str, str, object]]) -> DataFrame:
@@ -49,20 +51,45 @@ def read_slice(spark: SparkSession, path: str, columns: list[str], filters: list
 
 
 def row_groups(spark: SparkSession, path: str) -> DataFrame:
-    """(file, row_group, n_rows, n_bytes, columns) from the footers of Parquet files; contents pass through Spark's reader, so any store will do."""
+    """(file, row_group, n_rows, n_bytes, columns) of Parquet files: tasks get paths and read the footers alone."""
 
     def run(batches):
-        import io
-
         import pandas as pd
         import pyarrow.parquet as pq
 
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                meta = pq.ParquetFile(io.BytesIO(bytes(content))).metadata
+            for name in batch["path"]:
+                with _opened(name) as file:
+                    meta = pq.ParquetFile(file).metadata
                 yield pd.DataFrame([(name, g, meta.row_group(g).num_rows, meta.row_group(g).total_byte_size, meta.num_columns) for g in range(meta.num_row_groups)], columns=["file", "row_group", "n_rows", "n_bytes", "columns"])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path", "content").mapInPandas(run, "file string, row_group int, n_rows bigint, n_bytes bigint, columns int")
+    return _files(spark, path).mapInPandas(run, "file string, row_group int, n_rows bigint, n_bytes bigint, columns int")
+
+
+def read_row_groups(chosen: DataFrame, columns: list[str], path: str) -> DataFrame:
+    """Columns of the row groups that chosen (file, row_group) names, of the files under the path; each is one piece of work."""
+    schema = chosen.sparkSession.read.parquet(path).select(*columns).schema
+
+    def run(batches):
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            for name, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with _opened(name) as file:
+                    yield from pq.ParquetFile(file).read_row_group(group, columns=columns).select(columns).to_batches()
+
+    return chosen.select("file", "row_group").distinct().mapInArrow(run, schema)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
+
+
+def _opened(name: str):
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(name.replace("file:///", "file:/").replace("file:/", "file:///"))
+    return store.open_input_file(path)
 
 
 def object_path(root: str, digest: str) -> str:
@@ -89,10 +116,34 @@ def write_filtered(filtered: DataFrame, path: str) -> None:
     own.agg(F.count("*").alias("n"), F.count_if("feasible").alias("n_feasible"), F.sum("repairs").alias("repairs"), *[F.sum(f"violations_t{i}").alias(f"violations_t{i}") for i in range(3)]).coalesce(1).write.json(f"{path}/meta")
 
 
-def load_spec(spark: SparkSession, text: str, known: Mapping[str, type]) -> DataFrame:
-    """A specification document of JSON as one row; unknown and missing keys raise ValueError."""
-    own = json.loads(text)
-    wrong = sorted(set(own) ^ set(known))
-    if wrong:
-        raise ValueError(f"unknown or missing keys: {', '.join(wrong)}")
-    return spark.createDataFrame([{k: known[k](v) for k, v in own.items()}])
+def load_spec(spark: SparkSession, text: str, known: Mapping[str, object]) -> DataFrame:
+    """A specification document of JSON, or YAML where that is at hand, as one row.
+
+    known gives each key's type, or the known keys of a document within it, or a list of one such entry for a list.
+    Unknown and missing keys raise ValueError, at whatever depth, with their path.
+    """
+    return spark.createDataFrame([_strict(_document(text), known, "")])
+
+
+def _document(text: str) -> object:
+    try:
+        return json.loads(text)
+    except ValueError:
+        try:
+            import yaml
+        except ImportError:
+            raise ValueError("not a JSON document, and no YAML reader is installed") from None
+        return yaml.safe_load(text)
+
+
+def _strict(value: object, known: object, path: str) -> object:
+    if isinstance(known, Mapping):
+        if not isinstance(value, Mapping):
+            raise ValueError(f"{path or 'the document'} has no keys")
+        wrong = sorted(set(value) ^ set(known), key=str)
+        if wrong:
+            raise ValueError(f"unknown or missing keys: {', '.join(f'{path}.{k}' if path else str(k) for k in wrong)}")
+        return Row(**{k: _strict(v, known[k], f"{path}.{k}" if path else k) for k, v in value.items()})
+    if isinstance(known, list):
+        return [_strict(v, known[0], f"{path}[{i}]") for i, v in enumerate(value)]
+    return None if value is None else known(value)

@@ -81,3 +81,32 @@ def lines(long: DataFrame, z0: float = 50.0) -> DataFrame:
     own = long.join(ports, "network_id").groupBy("network_id", "f_idx", "freq_hz").agg(F.array_sort(F.collect_list(cell)).alias("c"))
     data = own.select("network_id", F.col("f_idx").alias("line_no"), F.concat(F.format_string("%.9e ", "freq_hz"), F.array_join(F.transform("c", lambda x: x["t"]), " ")).alias("line"))
     return ports.select("network_id", F.lit(0).alias("line_no"), F.lit(f"# HZ S RI R {z0:g}").alias("line")).union(data)
+
+
+def write(long: DataFrame, folder: str, z0: float = 50.0, impedances: DataFrame | None = None) -> DataFrame:
+    """Writes one .sNp file for each network into the folder, a URI, and returns (network_id, file, points), lazily.
+
+    impedances (network_id, port, z0) are told in comments, one for each port. A network is a file, so it fits a task.
+    """
+    ports = long.groupBy("network_id").agg(F.max("i").alias("ports"))
+    own = lines(long, z0).join(ports, "network_id")
+    if impedances is not None:
+        told = impedances.select("network_id", (F.col("port") - 1000).alias("line_no"), F.format_string("! Port[%d] = %.6g", F.col("port"), F.col("z0").cast("double")).alias("line"))
+        own = own.union(told.join(ports, "network_id"))
+
+    def run(key, rows):
+        import uuid
+
+        import pandas as pd
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path, recursive=True)
+        rows = rows.sort_values("line_no")
+        name, temp = f"{key[0]}.s{rows['ports'].iloc[0]}p", f"{path}/_{uuid.uuid4().hex}"
+        with store.open_output_stream(temp) as file:
+            file.write(("\n".join(rows["line"]) + "\n").encode())
+        store.move(temp, f"{path}/{name}")
+        return pd.DataFrame([(key[0], name, int((rows["line_no"] > 0).sum()))], columns=["network_id", "file", "points"])
+
+    return own.groupBy("network_id").applyInPandas(run, "network_id string, file string, points bigint")
