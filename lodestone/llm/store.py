@@ -11,13 +11,15 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where it is unset, as in tests, one of this machine's."""
+    """The folder that spark.checkpoint.dir names; only where it is unset in local mode, as in tests, one of this machine's. On a cluster it must be set."""
     named = spark.sparkContext.getConf().get(SETTING) or spark.conf.get(SETTING, None)
     if named:
         return named
     have = spark.sparkContext._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     made = "file://" + tempfile.mkdtemp(prefix="lodestone-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -38,7 +40,11 @@ def new_folder(spark: SparkSession, what: str) -> str:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows of text that pass between Spark and Python at a time, unless the session says otherwise: ten thousand long ones fill a task's memory."""
+    """Rows of text that pass between Spark and Python at a time: ten thousand long ones fill a task's memory.
+
+    Spark has no way to say this of one plan, so it is set for the session, unless that says otherwise; the registered
+    queries and the pipeline do so when they read a table. Who calls operators on frames of their own should set it.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key, "10000") == "10000":
         spark.conf.set(key, str(rows))

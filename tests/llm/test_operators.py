@@ -308,6 +308,17 @@ def test_licence_files_and_notices(spark):
     assert (2, "document", "MIT") in got and (2, "paragraph", "MIT") in got and not any(d == 3 for d, _, _ in got)
 
 
+def test_each_template_is_most_like_itself():
+    own = licences.Templates(licences.TEMPLATES, 0.8)
+    assert {n for n, _ in own.own} >= {"GPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "Unlicense", "Zlib", "BSL-1.0", "0BSD", "CC0-1.0"}
+    for k, (name, bigrams) in enumerate(own.own):
+        assert own.own[own.score(bigrams)[0]][0] == name
+        fewer = frozenset(sorted(bigrams)[: int(len(bigrams) * 0.9)])
+        plain = max(((2 * len(fewer & b) / (len(fewer) + len(b)), -j) for j, (_, b) in enumerate(own.own)), default=(0, 0))
+        got = own.score(fewer)
+        assert (got is None and plain[0] < 0.8) or (got[2], -got[0]) == plain
+
+
 def test_licence_texts_of_several_paragraphs(spark):
     def laid_out(name, n, marks):
         w = max((t for k, t in licences.TEMPLATES if k == name), key=len).split()
