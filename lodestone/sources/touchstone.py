@@ -91,7 +91,7 @@ def write(long: DataFrame, folder: str, z0: float = 50.0, impedances: DataFrame
     ports = long.groupBy("network_id").agg(F.max("i").alias("ports"))
     own = lines(long, z0).join(ports, "network_id")
     if impedances is not None:
-        told = impedances.select("network_id", (F.col("port") - 1000).alias("line_no"), F.format_string("! Port[%d] = %.6g", F.col("port"), F.col("z0").cast("double")).alias("line"))
+        told = impedances.select("network_id", (F.col("port") - 1000).alias("line_no"), F.concat(F.lit("! Port["), F.col("port").cast("string"), F.lit("] = "), F.col("z0").cast("double").cast("string")).alias("line"))
         own = own.union(told.join(ports, "network_id"))
 
     def run(key, rows):

@@ -244,3 +244,44 @@ def test_absorbing_layers_and_ports(spark):
     assert sorted(map(tuple, V.port_shapes(ports, ["id"]).collect())) == [("p", True, True, True), ("q", False, False, False), ("r", True, False, True)]
     boxes = spark.createDataFrame([("d", "a", 0, 0, 0, 100, 10, 10), ("d", "b", 50, 0, 0, 100, 10, 10), ("d", "c", 150, 0, 0, 100, 10, 10), ("e", "a", 0, 0, 0, 100, 10, 10)], "d string, p string, x long, y long, z long, length long, width long, height long")
     assert [tuple(r) for r in V.port_overlaps(boxes, "d", "p", 100).collect()] == [("d", "a", "b")]
+
+
+def test_manifests_have_a_bound(spark):
+    from lodestone.operators import catalogue as C
+
+    frame = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (2, "d"), (2, "e")], "g int, digest string")
+    import hashlib
+
+    assert C.manifest_hash(frame.where("g = 1"), ["g"], most=2).first().manifest_hash == hashlib.sha256(b"a\nb").hexdigest()
+    with pytest.raises(Exception, match="a manifest of 3 members"):
+        C.manifest_hash(frame, ["g"], most=2).collect()
+
+
+def test_levels_with_cycles_loops_and_lone_nodes(spark):
+    from lodestone.operators import lineage as G
+
+    nodes = spark.createDataFrame([(x,) for x in "abcdefgh"], "artifact_id string")
+    edges = [("a", "b", "r"), ("a", "b", "s"), ("b", "c", "r"), ("a", "c", "r"), ("d", "e", "r"), ("e", "d", "r"), ("e", "f", "r"), ("g", "g", "r"), ("zz", "b", "r")]
+    got = {r.artifact_id: r.level for r in G.topological_levels(nodes, spark.createDataFrame(edges, "source_id string, target_id string, relation string")).collect()}
+    assert got == {"a": 0, "h": 0, "b": 1, "c": 2}
+
+
+def test_byte_forms(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.functions import scalars as X
+
+    sizes = [0, 1023, 1024, 1280, 1536 * 1024, 5 * 1024**3 + 7 * 1024**2, 3 * 1024**4, 1024**5, 2000 * 1024**5]
+    frame = spark.createDataFrame([(n,) for n in sizes], "n bigint")
+    rows = frame.select("n", X.format_bytes_listing(F.col("n")).alias("a"), X.format_bytes_report(F.col("n")).alias("b")).collect()
+
+    def listing(n):
+        return f"{n} B" if n < 1024 else f"{n / 1024:.1f} KB" if n < 1024**2 else f"{n / 1024**2:.1f} MB" if n < 1024**3 else f"{n / 1024**3:.2f} GB"
+
+    def report(n):
+        for unit in ("B", "KB", "MB", "GB", "TB", "PB"):
+            if n < 1024 or unit == "PB":
+                return f"{n}.0 {unit}"
+            n //= 1024
+
+    assert [(r.a, r.b) for r in rows] == [(listing(n), report(n)) for n in sizes]

@@ -111,3 +111,45 @@ def test_choice_of_sources(spark, tmp_path):
     assert choose(spark, str(tmp_path))[0] == "csv"
     (tmp_path / "a.s2p").write_text("x")
     assert choose(spark, str(tmp_path))[0] == "touchstone"
+
+
+def test_network_files_with_impedances(spark, tmp_path):
+    rows = [(n, k, k * 1e9, 1, 1, 0.1 * k, -0.2) for n in ("a", "b") for k in (1, 2)]
+    long = spark.createDataFrame(rows, "network_id string, f_idx int, freq_hz double, i int, j int, re double, im double")
+    told = spark.createDataFrame([("a", 1, 60.0), ("b", 1, 75.5)], "network_id string, port int, z0 double")
+    folder = f"file://{tmp_path}/out"
+    assert sorted((r.file, r.points) for r in T.write(long, folder, 50.0, told).collect()) == [("a.s1p", 2), ("b.s1p", 2)]
+    assert (tmp_path / "out/b.s1p").read_text().splitlines()[:2] == ["! Port[1] = 75.5", "# HZ S RI R 50"]
+    got = {(r.network_id, r.f_idx): (r.freq_hz, round(r.re, 9), r.im) for r in T.read(spark, f"{folder}/*.s1p").collect()}
+    assert got == {(n, k): (f, round(re, 9), im) for n, k, f, _, _, re, im in rows}
+
+
+def test_row_groups_are_read_by_number(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"a": list(range(10)), "b": ["x"] * 10}), tmp_path / "t.parquet", row_group_size=4)
+    groups = S.row_groups(spark, str(tmp_path))
+    assert sorted((r.row_group, r.n_rows, r.columns) for r in groups.collect()) == [(0, 4, 2), (1, 4, 2), (2, 2, 2)]
+    assert sorted(r.a for r in S.read_row_groups(groups.where("row_group <> 1"), ["a"], str(tmp_path)).collect()) == [0, 1, 2, 3, 8, 9]
+
+
+def test_nested_specs_are_strict(spark):
+    known = {"name": str, "trace": {"w": int}, "layers": [{"t": float}]}
+    row = S.load_spec(spark, '{"name": "n", "trace": {"w": 4}, "layers": [{"t": 1}, {"t": 2}]}', known).first()
+    assert row.trace.w == 4 and [x.t for x in row.layers] == [1.0, 2.0]
+    for text, path in (('{"name": "n", "trace": {"w": 4, "v": 1}, "layers": []}', "trace.v"), ('{"name": "n", "trace": {"w": 4}, "layers": [{}]}', r"layers\[0\].t"), ('{"name": "n", "trace": 5, "layers": []}', "trace")):
+        with pytest.raises(ValueError, match=path):
+            S.load_spec(spark, text, known)
+    pytest.importorskip("yaml")
+    assert S.load_spec(spark, "name: n\ntrace:\n  w: 4\nlayers:\n- t: 1\n", known).first().trace.w == 4
+
+
+def test_snapshots_that_change_are_not_intact(spark, tmp_path):
+    rows = [(str(i), "t", "r", f"d{i}", 5, "p", {"x": 1.0}) for i in range(6)]
+    schema = "artifact_id string, artifact_type string, role string, digest string, byte_size bigint, storage_path string, features map<string,double>"
+    path = str(tmp_path / "snap")
+    S.write_snapshot(spark.createDataFrame(rows, schema), path, "set", "v1")
+    changed = S.wide_features(spark.createDataFrame([*rows[:5], ("5", "t", "r", "d0", 5, "p", {"x": 1.0})], schema))
+    changed.write.mode("overwrite").parquet(f"{path}/index")
+    assert not S.verify_snapshot(spark, path).first().intact
