@@ -26,6 +26,8 @@ WINDOW, PERCENT = 13, 80
 #: Rows of a side that may be broadcast; beyond that it is shuffled.
 BROADCAST_ROWS = 200_000
 BROADCAST_TOKENS = 2_000_000
+#: Slots that seeds fall into: which of them a benchmark fills is broadcast, at most that many longs, where its seeds are too many to be.
+SLOTS = 1 << 21
 _SEPARATORS = r"[\x00-/:-@\[-`{-\x7f]+"
 
 
@@ -50,9 +52,14 @@ def small(frame: DataFrame) -> DataFrame:
 
 def alignments(docs: DataFrame, items: DataFrame, key: str, item: str) -> DataFrame:
     """Distinct (key, digest, item, b, offset) of seed hits; a document's position is an item's position plus the offset."""
-    wanted = _spaced(items, [item, "b"], "item_at").distinct()
+    wanted = cut(_spaced(items, [item, "b"], "item_at").distinct())
+    own = _spaced(docs, [key, "digest"], "at")
+    if (few := small(wanted)) is wanted:  # a shuffle follows: seeds in slots that no item fills stay out of it
+        slot = F.pmod("seed", F.lit(SLOTS))
+        filled = F.broadcast(wanted.select(slot.alias("slot")).distinct())
+        own = own.join(filled, slot == F.col("slot"), "left_semi")
     # a hit of one mask is as good as another's; of a seed that an item holds many times, all places count
-    hits = _spaced(docs, [key, "digest"], "at").join(small(cut(wanted)), "seed")
+    hits = own.join(few, "seed")
     return hits.select(key, "digest", item, "b", (F.col("at") - F.col("item_at")).alias("offset")).distinct()
 
 

@@ -237,6 +237,15 @@ def test_every_row_of_a_key_is_judged(spark, duck):
     assert sorted((r.doc_id or 0) for r in decontaminate.remove(docs, items).collect()) == [0, 9]
 
 
+def test_benchmarks_too_large_to_broadcast(spark, monkeypatch):
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = sorted(map(tuple, decontaminate.leaks(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    assert want and sorted(map(tuple, decontaminate.leaks(docs, bench).collect())) == want
+    monkeypatch.setattr(decontaminate, "SLOTS", 64)
+    assert sorted(map(tuple, decontaminate.leaks(docs, bench).collect())) == want
+
+
 def test_columns_of_any_name_pass_the_classifier(spark):
     docs = spark.createDataFrame([(1, "a b", "x", "y", 0.5), (2, None, None, "z", None)], "doc_id long, text string, __text string, __score string, score double")
     labels = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")
