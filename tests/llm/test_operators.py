@@ -243,6 +243,7 @@ def test_benchmarks_too_large_to_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
     assert want and sorted(map(tuple, decontaminate.leaks(docs, bench).collect())) == want
     monkeypatch.setattr(decontaminate, "SLOTS", 64)
+    monkeypatch.setattr(decontaminate, "BLOCK", 5)  # texts of many blocks
     assert sorted(map(tuple, decontaminate.leaks(docs, bench).collect())) == want
 
 
