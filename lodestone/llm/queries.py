@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import archives, decontaminate, flac, licences, private_data, quality, repeats, sentencepiece_codec, set_join, sparse_suffixes
+from lodestone.llm import archives, conversations, decontaminate, flac, licences, periodic_runs, private_data, quality, repeats, sentencepiece_codec, set_join, sparse_suffixes
 from lodestone.llm.store import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,8 +59,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(read(spark, sf_dir, "conversations"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_licences, op2_repeats, op3_sentencepiece, op4_flac, op5_set_join, op6_decontaminate, op7_sparse_suffixes, op8_archives, op9_private_data, op10_quality)
+    own = (op1_licences, op2_repeats, op3_sentencepiece, op4_flac, op5_set_join, op6_decontaminate, op7_sparse_suffixes, op8_archives, op9_private_data, op10_quality, op11_conversations, op12_periodic_runs)
     return {f.__name__: f for f in own}
 
 
