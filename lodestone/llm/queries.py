@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import archives, conversations, decontaminate, flac, licences, periodic_runs, private_data, quality, repeats, sentencepiece_codec, set_join, sparse_suffixes
+from lodestone.llm import archives, conversations, decontaminate, flac, licences, periodic_runs, private_data, quality, repeats, sentencepiece_codec, set_join, set_sketches, sparse_suffixes
 from lodestone.llm.store import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,8 +67,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(read(spark, sf_dir, "documents"))
 
 
+def op13_set_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_sketches.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_licences, op2_repeats, op3_sentencepiece, op4_flac, op5_set_join, op6_decontaminate, op7_sparse_suffixes, op8_archives, op9_private_data, op10_quality, op11_conversations, op12_periodic_runs)
+    own = (op1_licences, op2_repeats, op3_sentencepiece, op4_flac, op5_set_join, op6_decontaminate, op7_sparse_suffixes, op8_archives, op9_private_data, op10_quality, op11_conversations, op12_periodic_runs, op13_set_sketches)
     return {f.__name__: f for f in own}
 
 
