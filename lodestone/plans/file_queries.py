@@ -16,6 +16,7 @@ from lodestone.operators import verification as V
 from lodestone.plans.adapters import ARTIFACTS_SQL, GRAPH_SQL, NETWORK_SQL, artifacts, graph, networks
 from lodestone.plans.registry import query, table
 from lodestone.plans.session import new_folder
+from lodestone.sources import contents
 from lodestone.sources import documents as J
 from lodestone.sources import snapshots as S
 from lodestone.sources import touchstone
@@ -60,17 +61,12 @@ def graph_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT sha256(r_name) AS digest, CAST(length(r_name) AS BIGINT) AS length, true AS intact FROM region WHERE r_regionkey = 2")
 def object_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One stored content, written under its digest as the store does."""
-    name = table(spark, sf_dir, "region").where("r_regionkey = 2").first()["r_name"]
-    import hashlib
-
-    digest = hashlib.sha256(name.encode()).hexdigest()
+    """One content, by its digest, of a store of all regions' names."""
+    names = table(spark, sf_dir, "region")
     root = new_folder(spark, "objects")
-    spark.createDataFrame([(name,)], "t string").coalesce(1).write.option("lineSep", "\0").text(f"{root}/raw")
-    # text ends with its separator, which a content has not
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{root}/raw")
-    content = F.expr("substring(content, 1, length(content) - 1)")
-    return found.select(F.lit(digest).alias("digest"), F.length(content).cast("bigint").alias("length"), (F.sha2(content, 256) == digest).alias("intact"))
+    contents.put(names, root, "r_name")
+    digest = names.where("r_regionkey = 2").select(F.sha2("r_name", 256)).first()[0]
+    return contents.read(spark, root, digest).select("digest", F.octet_length("content").cast("bigint").alias("length"), "intact")
 
 
 _MEMBERS_SQL = """SELECT CAST(p_partkey AS VARCHAR) AS artifact_id, p_brand AS artifact_type, sha256(p_name) AS digest, CAST(p_size AS BIGINT) AS byte_size,

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.catalogue import fingerprint, manifest_hash
+from lodestone.sources.stores import opened_store
 
 MEMBER = ["artifact_id", "artifact_type", "role", "digest", "byte_size", "storage_path"]
 
@@ -86,9 +87,7 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _opened(name: str):
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(name.replace("file:///", "file:/").replace("file:/", "file:///"))
+    store, path = opened_store(name)
     return store.open_input_file(path)
 
 

@@ -9,6 +9,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.stores import opened_store
+
 SCALE = {"HZ": 1.0, "KHZ": 1e3, "MHZ": 1e6, "GHZ": 1e9}
 SCHEMA = "network_id string, f_idx int, freq_hz double, i int, j int, re double, im double, z0 double"
 
@@ -98,9 +100,8 @@ def write(long: DataFrame, folder: str, z0: float = 50.0, impedances: DataFrame
         import uuid
 
         import pandas as pd
-        from pyarrow import fs
 
-        store, path = fs.FileSystem.from_uri(folder)
+        store, path = opened_store(folder)
         store.create_dir(path, recursive=True)
         rows = rows.sort_values("line_no")
         name, temp = f"{key[0]}.s{rows['ports'].iloc[0]}p", f"{path}/_{uuid.uuid4().hex}"
