@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.plans.registry import query, table
 from lodestone.plans.session import cut, new_folder
-from lodestone.sources import contents, zones
+from lodestone.sources import buckets, contents, zones
 
 
 @query("SELECT DISTINCT sha256(text) AS digest, CAST(strlen(text) AS BIGINT) AS byte_size, sha256(text) = sha256(text) AS intact FROM documents WHERE text IS NOT NULL")
@@ -42,3 +42,28 @@ def zone_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = zones.zone_map(spark, f"{sf_dir}/lineitem.parquet")
     of = lambda c, x: F.when(F.col("column") == c, F.col(x))
     return own.agg(F.sum(of("l_orderkey", "n_rows")).alias("n_rows"), F.sum(of("l_shipdate", "nulls")).alias("nulls"), F.min(of("l_orderkey", "low_whole")).alias("low"), F.max(of("l_orderkey", "high_whole")).alias("high"), F.min(of("l_returnflag", "low_text")).alias("low_flag"), F.max(of("l_returnflag", "high_text")).alias("high_flag"))
+
+
+@query("""SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE NOT (o_totalprice > 150000 AND o_orderpriority = '5-LOW') AND o_orderpriority <> '1-URGENT'
+UNION ALL SELECT o_orderkey, 'U', o_totalprice + 1 FROM orders WHERE o_orderpriority = '1-URGENT'
+UNION ALL SELECT -o_orderkey - 1, 'N', 0.5 FROM orders WHERE o_orderpriority = '2-HIGH'""")
+def bucketed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in hash buckets: urgent ones updated, new ones added, dear ones of low priority deleted."""
+    root = new_folder(spark, "buckets")
+    orders = table(spark, sf_dir, "orders")
+    own = lambda f: f.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    buckets.create(own(orders), root, ["o_orderkey"], 64)
+    urgent = orders.where("o_orderpriority = '1-URGENT'").withColumn("o_orderstatus", F.lit("U")).withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    added = orders.where("o_orderpriority = '2-HIGH'").withColumn("o_orderkey", -F.col("o_orderkey") - 1).withColumn("o_orderstatus", F.lit("N")).withColumn("o_totalprice", F.lit(0.5).cast(orders.schema["o_totalprice"].dataType))
+    buckets.upsert(own(urgent).union(own(added)), root)
+    buckets.delete(orders.where("o_totalprice > 150000 AND o_orderpriority = '5-LOW'").select("o_orderkey"), root)
+    return buckets.read(spark, root)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders JOIN (SELECT max(o_orderkey) AS top FROM orders GROUP BY o_custkey) t ON o_orderkey = t.top")
+def bucketed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's last order, looked up by key in a bucketed table."""
+    root = new_folder(spark, "buckets")
+    orders = table(spark, sf_dir, "orders")
+    buckets.create(orders.select("o_orderkey", "o_totalprice"), root, ["o_orderkey"], 64)
+    return buckets.lookup(spark, root, orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey")))

@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.sources import contents, zones
+from lodestone.sources import buckets, contents, zones
 from lodestone.sources.snapshots import row_groups
 from lodestone.sources.stores import opened_store
 
@@ -75,3 +75,47 @@ def test_only_row_groups_that_may_match_are_read(spark, tmp_path, conditions):
     assert sorted(map(tuple, zones.read_where(zone, path, ["k", "t"], conditions).collect())) == want
     groups = {(f"{i // 500}", i % 500 // 50) for i, _ in want}
     assert zones.choose(zone, conditions).count() == (len(groups) if conditions else row_groups(spark, path).count())
+
+
+def keyed(spark, rows):
+    return spark.createDataFrame(rows, "k long, a string, b long")
+
+
+def test_a_change_rewrites_only_its_buckets(spark, tmp_path):
+    root = f"file://{tmp_path}/t"
+    buckets.create(keyed(spark, [(i, f"a{i}", i) for i in range(1000)] + [(None, "none", 0)]), root, ["k"], 32)
+    first = buckets._state(root, 1)["of"]
+    new = [(5, "x", 1), (5, "z", 1), (5, "y", 9), (2000, "n", 1), (None, "null", 1)]
+    assert buckets.upsert(keyed(spark, new), root) == 2
+    second = buckets._state(root, 2)["of"]
+    touched = {b for b in second if second[b] != first.get(b)}
+    assert 1 <= len(touched) <= 3
+    got = {r.k: (r.a, r.b) for r in buckets.read(spark, root).collect()}
+    assert got == {i: (f"a{i}", i) for i in range(1000)} | {5: ("z", 1), 2000: ("n", 1), None: ("null", 1)}
+    assert buckets.read(spark, root, 1).count() == 1001
+    assert [r.a for r in buckets.lookup(spark, root, keyed(spark, [(2000, "", 0), (9999, "", 0)])).collect()] == ["n"]
+    assert buckets.delete(keyed(spark, [(7, "", 0), (8888, "", 0)]), root) == 3
+    assert buckets.read(spark, root).where("k = 7").count() == 0
+    assert buckets.read(spark, root).count() == 1001
+    buckets.vacuum(root)
+    assert buckets.read(spark, root).count() == 1001
+    buckets.delete(buckets.read(spark, root), root)
+    assert buckets.read(spark, root).count() == 0
+
+
+def test_a_failed_change_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/t"
+    buckets.create(keyed(spark, [(i, "a", i) for i in range(50)]), root, ["k"], 4)
+    bad = keyed(spark, [(1, "b", 1)]).withColumn("a", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        buckets.upsert(bad, root)
+    assert buckets.version(root) == 1
+    put = buckets._put
+    monkeypatch.setattr(buckets, "_put", lambda r, name, text: put(r, name, text) if name != "current" else (_ for _ in ()).throw(OSError("full")))
+    with pytest.raises(OSError, match="full"):
+        buckets.upsert(keyed(spark, [(1, "b", 1)]), root)
+    assert buckets.read(spark, root).where("a = 'b'").count() == 0
+    monkeypatch.setattr(buckets, "_put", put)
+    monkeypatch.setattr(buckets, "version", lambda r, seen=iter([1, 1, 1, 2]): next(seen))
+    with pytest.raises(buckets.Conflict):
+        buckets.upsert(keyed(spark, [(1, "b", 1)]), root)
