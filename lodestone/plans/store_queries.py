@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.plans.adapters import NETWORK_SQL, networks
 from lodestone.plans.registry import query, table
 from lodestone.plans.session import cut, new_folder
-from lodestone.sources import buckets, contents, zones
+from lodestone.sources import buckets, contents, touchstone, touchstone_source, zones
 
 
 @query("SELECT DISTINCT sha256(text) AS digest, CAST(strlen(text) AS BIGINT) AS byte_size, sha256(text) = sha256(text) AS intact FROM documents WHERE text IS NOT NULL")
@@ -67,3 +68,12 @@ def bucketed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     buckets.create(orders.select("o_orderkey", "o_totalprice"), root, ["o_orderkey"], 64)
     return buckets.lookup(spark, root, orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey")))
+
+
+@query(f"WITH {NETWORK_SQL} SELECT network_id, f_idx, i, j, round(re, 6) AS re, round(im, 6) AS im FROM networks WHERE network_id IN ('1', '4', '7') AND freq_hz >= 3e8 AND freq_hz < 9e9")
+def touchstone_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A band of three networks, from one Touchstone file for each network: other files aren't opened, other points not made rows."""
+    folder = new_folder(spark, "touchstone")
+    touchstone.write(networks(spark, sf_dir), folder).count()
+    own = touchstone_source.read(spark, folder).where("network_id IN ('1', '4', '7') AND freq_hz >= 3e8 AND freq_hz < 9e9")
+    return own.select("network_id", "f_idx", "i", "j", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))
