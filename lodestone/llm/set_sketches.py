@@ -4,7 +4,8 @@ A register holds the least of the exponentially distributed values that its hash
 of BASE, rounded down and truncated to 16 bits. Registers of a union are the maxima of its parts' registers, and two sets
 agree in a register about as often as their Jaccard similarity says.
 
-Equal sets are one class. Bands of registers are hashed to buckets. A bucket of two gives a pair: with the sizes of both
+Equal sets are one class. Bands of registers are hashed to buckets; each task first ties its own
+sets, so that a bucket gets a row or two from each block of HELD sets, however many share it. A bucket of two gives a pair: with the sizes of both
 sets, which are known, the counts of larger, smaller and equal registers give the likelihood of each similarity, and a
 pair whose likeliest similarity is SIGMAS standard errors below the threshold goes. Larger buckets tie their members to
 the smallest one, as there a member may link to any other. What is tied makes families, within which all links are
@@ -40,6 +41,8 @@ REGISTERS = BANDS * ROWS
 #: Rate of the exponential values, base of the registers' scale, and the largest register.
 RATE, BASE, TOP = 20.0, 1.001, (1 << 16) - 1
 SIGMAS = 6
+#: Sets of which a task ties those that share a band before it sends anything.
+HELD = 50_000
 _SALTS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
 _ODD = mix(_SALTS ^ U64(0x5851F42D4C957F2D)) | U64(1)
 
@@ -117,14 +120,81 @@ def _registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, REGISTERS)
 
 
+def _bands(registers: np.ndarray) -> np.ndarray:
+    """A hash of each band of each row's registers."""
+    own = registers.reshape(-1, BANDS, ROWS).astype(U64)
+    with np.errstate(over="ignore"):
+        return mix((own[:, :, 0] | own[:, :, 1] << U64(16) | own[:, :, 2] << U64(32) | own[:, :, 3] << U64(48)) ^ _SALTS[:BANDS]).view(np.int64)
+
+
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, a, b, c): of up to HELD sets at a time, the c that share a band, the smallest, and one more; beyond two, ties (band null) of the others to the smallest."""
+    names = ["band", "a", "b", "c"]
+
+    def combined(ids: np.ndarray, bands: np.ndarray) -> pa.RecordBatch:
+        band, id_ = bands.ravel(), np.repeat(ids, BANDS)
+        order = np.lexsort((id_, band))
+        band, id_ = band[order], id_[order]
+        heads = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1])))
+        count = np.diff(np.concatenate((heads, [len(band)])))
+        second = np.where(count > 1, id_[np.minimum(heads + 1, len(id_) - 1)], id_[heads])
+        rest = np.arange(len(band)) - np.repeat(heads, count) > 0
+        rest &= np.repeat(count > 2, count)
+        pairs = np.unique(np.stack([np.repeat(id_[heads], count)[rest], id_[rest]], axis=1), axis=0)
+        none = pa.nulls(len(pairs), pa.int64())
+        columns = [(band[heads], none), (id_[heads], pairs[:, 0]), (second, pairs[:, 1]), (count, np.zeros(len(pairs), dtype=np.int64))]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x, pa.int64()), y if isinstance(y, pa.Array) else pa.array(y, pa.int64())]) for x, y in columns], names=names)
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append((batch.column(0).to_numpy(zero_copy_only=False), _bands(_registers(batch.column(1)))))
+            n += batch.num_rows
+        if n >= HELD:
+            yield combined(np.concatenate([i for i, _ in held]), np.concatenate([b for _, b in held]))
+            held, n = [], 0
+    if n:
+        yield combined(np.concatenate([i for i, _ in held]), np.concatenate([b for _, b in held]))
+    give_back()
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, pair) of sorted buckets as they stream by: ties to a bucket's first set, or the one pair of a bucket of two."""
+    last = None  # band, first set, how many sets, the last tie: held back until the bucket has ended or grown
+    out: list[tuple[int, int, bool]] = []
+
+    def close() -> None:
+        if last and last[2] == 2 and last[3] is not None:
+            out.append((last[1], last[3], True))
+
+    def flush() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "pair"])
+        out.clear()
+        return made
+
     for batch in batches:
-        own = _registers(batch.column(1)).reshape(-1, BANDS, ROWS).astype(U64)
-        with np.errstate(over="ignore"):
-            packed = own[:, :, 0] | own[:, :, 1] << U64(16) | own[:, :, 2] << U64(32) | own[:, :, 3] << U64(48)
-            band = mix(packed ^ _SALTS[:BANDS])
-        ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(band.ravel().view(np.int64)), pa.array(ids)], names=["band", "id"])
+        band, a, b, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        same = np.concatenate(([last is not None and last[0] == band[0]], band[1:] == band[:-1])) if len(band) else np.zeros(0, dtype=bool)
+        busy = same | (c > 1)
+        busy[:-1] |= same[1:]
+        busy[-1:] = True  # may go on in the next batch
+        for x, p, q, n in zip(band[busy].tolist(), a[busy].tolist(), b[busy].tolist(), c[busy].tolist(), strict=True):
+            if last is None or last[0] != x:
+                close()
+                last = [x, p, 0, None]
+            mine = [y for y in dict.fromkeys((p, q)) if y != last[1]]
+            last[2] += n
+            if last[2] > 2:
+                out += [(min(last[1], y), max(last[1], y), False) for y in ([last[3]] if last[3] is not None else []) + mine]
+                last[3] = None
+            elif mine:
+                last[3] = mine[0]
+        if len(out) >= 1000:
+            yield flush()
+    close()
+    out[:] = [(min(x, y), max(x, y), z) for x, y, z in out]
+    yield flush()
 
 
 def _likely(percent: int):
@@ -141,11 +211,10 @@ def _likely(percent: int):
 
 def ties(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b) of classes (id, n, registers) that may be in one family."""
-    bands = classes.select("id", "registers").mapInArrow(_banded, "band long, id long")
-    buckets = bands.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("c")).where("a < b")
-    buckets = cut(buckets)
-    large = bands.join(buckets.where("c > 2").select("band", "a"), "band").where("id > a").select("a", F.col("id").alias("b")).distinct()
-    pairs = buckets.where("c = 2").select("a", "b").distinct().join(large, ["a", "b"], "left_anti")
+    bands = cut(classes.select("id", "registers").mapInArrow(_banded, "band long, a long, b long, c long"))
+    met = cut(bands.where("band is not null").repartition("band").sortWithinPartitions("band", "a").mapInArrow(_met, "a long, b long, pair boolean").distinct())
+    large = met.where("NOT pair").select("a", "b").union(bands.where("band is null").select("a", "b"))
+    pairs = met.where("pair").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     own = classes.select("id", "n", "registers")
     both = pairs.join(own.toDF("a", "na", "ra"), "a").join(own.toDF("b", "nb", "rb"), "b").select("a", "b", "na", "nb", "ra", "rb")
     fits = both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
