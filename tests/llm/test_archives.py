@@ -65,3 +65,46 @@ def test_random_pages_with_repeated_keys(spark, monkeypatch):
     names = [r.file for r in archives.write(pages, folder).collect()]
     assert {int(n.split("/")[1].split("-")[0], 16) % 2 for n in names} == {0, 1}
     assert sorted(map(tuple, archives.read_back(spark, folder).collect()), key=repr) == want
+
+
+def test_files_are_bounded_whatever_pages_hold(spark, monkeypatch):
+    monkeypatch.setattr(archives, "FILE_RECORDS", 1000)
+    pages = spark.createDataFrame([(i, None, None, 1) for i in range(4500)], SCHEMA).coalesce(1)
+    folder = archives.new_folder(spark, "warc")
+    assert sorted(r.records for r in archives.write(pages, folder).collect()) == [500, 1000, 1000, 1000, 1000]
+    assert archives.read_back(spark, folder).count() == 4500
+
+
+def test_members_are_read_in_linear_time():
+    """Ten times the members take about ten times as long, not a hundred times."""
+    import time
+
+    one = archives._packed(b"x" * 300)
+
+    def took(n):
+        data = one * n
+        best = 9e9
+        for _ in range(3):
+            began = time.process_time()
+            assert sum(1 for _ in archives.members(data)) == n
+            best = min(best, time.process_time() - began)
+        return best
+
+    assert took(48_000) < 30 * took(4_800)
+    with pytest.raises(ValueError, match="cut off"):
+        list(archives.members(one[:-4]))
+
+
+def test_identifiers_digests_and_damaged_heads(spark):
+    fields = {"URL": "http://a/", "Archive-date": "20240101000000", "IP-address": "0.0.0.0"}
+    body = b"HTTP/1.1 200 OK\r\nContent-Length: 3\r\n\r\nabc"
+    ((first, _),) = archives.parse_warc(archives.warc_record(fields, body, "1", None))
+    again = archives.warc_record(fields | {"URL": "http://b/"}, body, "2", "1", "http://a/")
+    ((second, _),) = archives.parse_warc(again)
+    assert second["WARC-Refers-To"] == first["WARC-Record-ID"] != second["WARC-Record-ID"]
+    assert second["WARC-Refers-To-Target-URI"] == "http://a/"
+    assert first["WARC-Payload-Digest"] == second["WARC-Payload-Digest"]
+    damaged = archives.warc_record(fields, body, "1", None).replace(b"200 OK", b"404 NO")
+    with pytest.raises(ValueError, match="block's digest"):
+        archives._records(archives._packed(damaged))
+    assert archives._records(archives._packed(archives.warcinfo_record("a.warc.gz"))).num_rows == 0
