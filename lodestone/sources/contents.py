@@ -9,6 +9,7 @@ is cleared; what an attempt left that didn't count goes with the staging folder.
 from __future__ import annotations
 
 import hashlib
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,11 +34,14 @@ class _Staged(WriterCommitMessage):
 class _Writer(DataSourceArrowWriter):
     def __init__(self, root: str):
         self.root, self.job = root.rstrip("/"), uuid.uuid4().hex
+        store, path = opened_store(self.root)
+        store.create_dir(f"{path}/_staging/{self.job}", recursive=True)
 
     def write(self, iterator: Iterator) -> _Staged:
         """Rows (digest, content), in order of digest; a digest that isn't the content's ends the job."""
         store, root = opened_store(self.root)
         folder = uuid.uuid4().hex
+        store.create_dir(f"{root}/_staging/{self.job}/{folder}", recursive=False)  # fails once the job has been cleared
         prefixes: list[str] = []
         last, objects = None, 0
         for batch in iterator:
@@ -49,7 +53,7 @@ class _Writer(DataSourceArrowWriter):
                     raise ValueError(f"content is not that of digest {digest}")
                 if not prefixes or prefixes[-1] != digest[:2]:
                     prefixes.append(digest[:2])
-                    store.create_dir(f"{root}/_staging/{self.job}/{folder}/{digest[:2]}", recursive=True)
+                    store.create_dir(f"{root}/_staging/{self.job}/{folder}/{digest[:2]}", recursive=False)
                 with store.open_output_stream(f"{root}/_staging/{self.job}/{folder}/{digest[:2]}/{digest}") as file:
                     file.write(data)
                 last, objects = digest, objects + 1
@@ -67,11 +71,28 @@ class _Writer(DataSourceArrowWriter):
         self._clear()
 
     def _clear(self) -> None:
-        from pyarrow import fs
+        _remove(self.root, f"_staging/{self.job}")
 
-        store, root = opened_store(self.root)
-        if store.get_file_info(f"{root}/_staging/{self.job}").type != fs.FileType.NotFound:
-            store.delete_dir(f"{root}/_staging/{self.job}")
+
+def _remove(root: str, name: str) -> None:
+    """Removes a folder; again, where a task that outlives its job writes at the same time."""
+    from pyarrow import fs
+
+    store, path = opened_store(root)
+    for left in range(20, -1, -1):
+        if store.get_file_info(f"{path}/{name}").type == fs.FileType.NotFound:
+            return
+        try:
+            store.delete_dir(f"{path}/{name}")
+        except OSError:
+            if not left:
+                raise
+            time.sleep(0.05)
+
+
+def sweep(root: str) -> None:
+    """Removes what jobs that died, driver and all, have left in the staging folder; for when no job writes."""
+    _remove(root, "_staging")
 
 
 class Contents(DataSource):

@@ -39,6 +39,9 @@ def test_a_failing_task_leaves_no_object(spark, tmp_path):
     frame = spark.createDataFrame(rows, "digest string, content binary").repartitionByRange(4, "digest").sortWithinPartitions("digest")
     with pytest.raises(Exception, match="not that of digest"):
         frame.write.format(contents.FORMAT).mode("append").save(f"file://{tmp_path}")
+    assert not os.path.exists(tmp_path / "objects")
+    spark.sparkContext.cancelAllJobs()
+    contents.sweep(f"file://{tmp_path}")  # Spark tells a job's tasks to end, and doesn't wait until they have
     assert files(tmp_path) == []
 
 
