@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from lodestone.llm.store import cut
 
 
+#: Edges that a task takes at least, where there are that many: rounds over a few thousand edges don't fill hundreds of files.
+TASK_EDGES = 10_000
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
@@ -22,10 +26,12 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while (now := _mark(own)) != before and now[0]:
         before = now
+        tasks = -(-now[0] // TASK_EDGES)
+        own = own.coalesce(tasks)
         both = own.union(own.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct().coalesce(tasks)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        own = cut(joined.select("a", F.col("m").alias("b")).union(joined.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a > b").distinct())
+        joined = large.join(least, "a").coalesce(tasks)
+        own = cut(joined.select("a", F.col("m").alias("b")).union(joined.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a > b").distinct().coalesce(tasks))
     return own.select(F.col("a").alias("id"), F.col("b").alias("component")).union(own.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
