@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.plans.session import cut
+
 FLOOR = 1e-15
 
 
@@ -97,11 +99,39 @@ def interpolate(long: DataFrame, grid: DataFrame) -> DataFrame:
     before = F.last(point, ignorenulls=True).over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     after = F.first(point, ignorenulls=True).over(by.rangeBetween(Window.currentRow, Window.unboundedFollowing))
     own = both.select("*", before.alias("a"), after.alias("b")).where("wanted")
-    a, b = F.coalesce("a", "b"), F.coalesce("b", "a")
+    return _between(own.select("network_id", "i", "j", "freq_hz", F.coalesce("a", "b").alias("a"), F.coalesce("b", "a").alias("b")))
+
+
+def interpolate_blocks(long: DataFrame, grid: DataFrame, blocks: int | None = None) -> DataFrame:
+    """As `interpolate`, for networks of any length: ranges of (cell, frequency) are windows of their own, and each takes the nearest points before and after it from a table of a row for each range and cell.
+
+    Equal frequencies of a cell fall in one range. Of several source points at one frequency any one may serve.
+    """
+    cells = long.select("network_id", "i", "j").distinct()
+    cell, none = ["network_id", "i", "j"], F.lit(None).cast("double")
+    wanted = grid.select("network_id", "freq_hz").distinct().join(cells, "network_id").select(*cell, "freq_hz", none.alias("re"), none.alias("im"), F.lit(True).alias("wanted"))
+    both = long.select(*cell, "freq_hz", "re", "im", F.lit(False).alias("wanted")).union(wanted)
+    order = [*cell, "freq_hz"]
+    ranged = both.repartitionByRange(blocks, *order) if blocks else both.repartitionByRange(*order)
+    own = cut(ranged.withColumn("block", F.spark_partition_id()))
+    point = F.when(~F.col("wanted"), F.struct("freq_hz", "re", "im"))
+    ends = own.groupBy(*cell, "block").agg(F.max(point).alias("last"), F.min(point).alias("first"))
+    by = Window.partitionBy(*cell).orderBy("block")
+    before = F.last("last", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("first", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))
+    ends = ends.select(*cell, "block", before.alias("before"), after.alias("after"))
+    by = Window.partitionBy(*cell, "block").orderBy("freq_hz")
+    a = F.last(point, ignorenulls=True).over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    b = F.first(point, ignorenulls=True).over(by.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    near = own.select("*", a.alias("a"), b.alias("b")).where("wanted").join(ends, [*cell, "block"])
+    near = near.withColumns({"a": F.coalesce("a", "before"), "b": F.coalesce("b", "after")})
+    return _between(near.select(*order, F.coalesce("a", "b").alias("a"), F.coalesce("b", "a").alias("b")))
+
+
+def _between(own: DataFrame) -> DataFrame:
     share = F.coalesce(F.try_divide(F.col("freq_hz") - F.col("a.freq_hz"), F.col("b.freq_hz") - F.col("a.freq_hz")), F.lit(0.0))
-    own = own.select("network_id", "i", "j", "freq_hz", a.alias("a"), b.alias("b")).withColumn("w", share)
     mixed = lambda c: (F.col(f"a.{c}") + F.col("w") * (F.col(f"b.{c}") - F.col(f"a.{c}"))).alias(c)
-    return own.select("network_id", "i", "j", "freq_hz", mixed("re"), mixed("im"))
+    return own.withColumn("w", share).select("network_id", "i", "j", "freq_hz", mixed("re"), mixed("im"))
 
 
 def deembed(long: DataFrame, shifts: dict[int, float]) -> DataFrame:

@@ -83,6 +83,17 @@ def network_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumns({c: F.round(c, 9) + 0.0 for c in ("re", "im")})
 
 
+@query("""WITH o AS (SELECT vec_id * 1e6::DOUBLE AS f, CAST(embedding[20] AS DOUBLE) AS re, CAST(embedding[21] AS DOUBLE) AS im FROM embeddings),
+    n AS (SELECT *, lead(f) OVER w AS f2, lead(re) OVER w AS re2, lead(im) OVER w AS im2 FROM o WINDOW w AS (ORDER BY f))
+    SELECT 'all' AS network_id, 1 AS i, 1 AS j, f + 250000.0::DOUBLE AS freq_hz, round(coalesce(re + 250000.0::DOUBLE / (f2 - f) * (re2 - re), re), 9) + 0.0 AS re, round(coalesce(im + 250000.0::DOUBLE / (f2 - f) * (im2 - im), im), 9) + 0.0 AS im FROM n""")
+def network_interpolate_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as one network of one cell, on a grid of as many points."""
+    hertz = F.col("vec_id") * F.lit(1e6)
+    own = table(spark, sf_dir, "embeddings").select(F.lit("all").alias("network_id"), F.lit(1).alias("i"), F.lit(1).alias("j"), hertz.alias("freq_hz"), F.col("embedding")[19].cast("double").alias("re"), F.col("embedding")[20].cast("double").alias("im"))
+    got = N.interpolate_blocks(own, own.select("network_id", (F.col("freq_hz") + 250_000.0).alias("freq_hz")))
+    return got.withColumns({c: F.round(c, 9) + 0.0 for c in ("re", "im")})
+
+
 @query(f"""WITH {NETWORK_SQL}, t AS (SELECT *, -(2 * pi() * freq_hz / 299792458.0::DOUBLE) * CASE WHEN i = j THEN CASE i WHEN 1 THEN 0.01::DOUBLE ELSE 0.02::DOUBLE END ELSE 0.01::DOUBLE + 0.02::DOUBLE END AS a FROM networks)
     SELECT network_id, f_idx, i, j, round(re * cos(a) - im * sin(a), 8) + 0.0 AS re, round(re * sin(a) + im * cos(a), 8) + 0.0 AS im FROM t""")
 def network_deembed(spark: SparkSession, sf_dir: str) -> DataFrame:
