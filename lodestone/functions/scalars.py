@@ -12,6 +12,9 @@ UNITS = {
     "frequency": {"hz": "1", "khz": "1000", "mhz": "1000000", "ghz": "1000000000"},
     "time": {"ps": "1", "ns": "1000", "us": "1000000", "ms": "1000000000"},
 }
+#: Lines of layer plots that tell when they were made, or are comments; time stamps and UUIDs of boards.
+LAYER_NOISE = r"^G04|(?i:creation\s*date|creation\s*time)"
+BOARD_STAMPS = r"\((tstamp|uuid)\s+[^)]+\)"
 _QUANTITY = r"^\s*([+-]?[0-9]+(?:\.[0-9]+)?)\s*([A-Za-z]*)\s*$"
 
 
@@ -81,7 +84,7 @@ def _lines(text: Column, skip: str) -> Column:
 
 def canonical_layers(text: Column) -> Column:
     """Layer plots without comments (G04) and lines that tell when they were made."""
-    return _lines(text, r"^G04|(?i:creation\s*date|creation\s*time)")
+    return _lines(text, LAYER_NOISE)
 
 
 def canonical_drills(text: Column) -> Column:
@@ -91,7 +94,7 @@ def canonical_drills(text: Column) -> Column:
 
 def canonical_boards(text: Column) -> Column:
     """Board files whose time stamps and UUIDs have lost their values."""
-    return F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"\((tstamp|uuid)\s+[^)]+\)", "($1)")
+    return F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), BOARD_STAMPS, "($1)")
 
 
 def canonical_hash(text: Column) -> Column:
