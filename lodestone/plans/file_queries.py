@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -175,13 +173,6 @@ def graph_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.export_graph(*graph(spark, sf_dir))
 
 
-@query("SELECT 4 AS w, 'line' AS name, 2 AS n_layers")
-def spec_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = {"name": str, "trace": {"w": int}, "layers": [{"t": int}]}
-    own = S.load_spec(spark, json.dumps({"name": "line", "trace": {"w": 4}, "layers": [{"t": 1}, {"t": 2}]}), known)
-    return own.select(F.col("trace.w").cast("int").alias("w"), "name", F.size("layers").alias("n_layers"))
-
-
 @query("SELECT p_partkey, 'T0_SIZE' AS constraint_id, true AS passed FROM part")
 def enforced_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results that all pass, through the check that fails at the first that doesn't."""
