@@ -28,11 +28,14 @@ def _filter_sql(rounds: int) -> str:
     return "WITH " + ",\n".join(ctes) + f" SELECT cand_id, feasible, feasible_before, CAST(repairs AS BIGINT) AS repairs, round(distance, 9) AS distance, CAST(violations_t0 AS BIGINT) AS violations_t0, CAST(violations_t1 AS BIGINT) AS violations_t1, CAST(violations_t2 AS BIGINT) AS violations_t2 FROM {last}"
 
 
-def _filtered(spark: SparkSession, sf_dir: str, repair: bool) -> DataFrame:
-    got = R.batch_filter(candidates(spark, sf_dir), TIGHT, repair)
+def _shown(got: DataFrame) -> DataFrame:
     return got.select("cand_id", "feasible", "feasible_before", F.col("repairs").cast("bigint").alias("repairs"), F.round("distance", 9).alias("distance"), *[F.col(f"violations_t{i}").cast("bigint").alias(f"violations_t{i}") for i in range(3)])
 
 
+def _filtered(spark: SparkSession, sf_dir: str, repair: bool) -> DataFrame:
+    return _shown(R.batch_filter(candidates(spark, sf_dir), TIGHT, repair))
+
+
 @query(_filter_sql(R.ROUNDS))
 def batch_filter_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filtered(spark, sf_dir, True)
