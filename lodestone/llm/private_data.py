@@ -104,6 +104,9 @@ _AT = re.compile(r"(?<=[A-Za-z0-9_])\x20?[\[({<]\x20?(?:at|@)\x20?[\])}>]\x20?(?
 _DOT = re.compile(r"(?<=[A-Za-z0-9])\x20?[\[({<]\x20?(?:dot|\.)\x20?[\])}>]\x20?(?=[A-Za-z0-9])", re.IGNORECASE)
 #: A bare "dot" counts in a host after a sign, or after a bare "at"; that counts where some dot of the host is disguised.
 _BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(\x20at\x20|@)([A-Za-z0-9-]++(?:(?:\.|\x20dot\x20)[A-Za-z0-9-]++)+)", re.IGNORECASE)
+#: Before a bare "at", a name begins with a letter and is none of these; the host after it doesn't begin with an article.
+NO_NAMES = frozenset("look looks looked looking see seen us me him her them it here there is are was were be been available found hosted online live now out stay visit and or".split())
+ARTICLES = frozenset("the a an der die das ein eine el la los las un una le les une".split())
 _BARE_DOT = re.compile(r"\x20dot\x20", re.IGNORECASE)
 #: Besides, a bare "dot" counts between figures.
 _DIGIT_DOT = re.compile(r"(?<=[0-9])\x20dot\x20(?=[0-9])", re.IGNORECASE)
@@ -170,6 +173,9 @@ def _bare(own: Rewritten, text: str) -> list[tuple[int, int, str]]:
         if m[1] != "@":
             if not dots and all(text[slice(*own.source((i, i + 1)))] == "." for i in range(*m.span(2)) if own.text[i] == "."):
                 continue
+            name, host = m[0][: m.start(1) - m.start()].lower(), re.match("[a-z0-9-]+", m[2], re.IGNORECASE)[0].lower()
+            if not name[0].isalpha() or name in NO_NAMES or host in ARTICLES:
+                continue
             out.append((*m.span(1), "@"))
         out += dots
     return out

@@ -208,6 +208,13 @@ def test_bare_words_that_are_no_disguise():
         assert private_data.redact(text) == text
 
 
+def test_a_bare_at_in_prose_stays():
+    for text in ("page 1 at the dot com boom", "look at example [dot] com", "it peaked at the dot com bubble", "7 at mail dot org", "us at example dot com"):
+        assert private_data.redact(text) == text
+    for text in ("bob at example dot com", "b.7 at the-mail dot org", "Seen2 at example [dot] com"):
+        assert private_data.redact(f"to {text}!") == "to [EMAIL]!"
+
+
 def test_substitutions_are_tolerated(spark):
     rnd = random.Random(3)
     item = [f"b{i}" for i in range(30)]
