@@ -41,3 +41,8 @@ def cut(frame: DataFrame) -> DataFrame:
     """Computes the frame into the shared folder and reads it from there."""
     shared_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def dealt(frame: DataFrame, key: str, rows: int) -> DataFrame:
+    """The same rows in tasks of about that many, by the key's hash: a small file of rows that make much work would fill one task. The frame is counted first."""
+    return frame.repartition(max(1, -(-frame.count() // rows)), key)

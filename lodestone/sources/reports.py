@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.plans.session import cut
+from lodestone.plans.session import cut, dealt
 
 #: Names that go, whatever their case.
 UNSTABLE = ("date", "time", "timestamp", "generated_at", "kicad_version", "host", "source", "schema_version")
@@ -27,6 +27,8 @@ ABSOLUTE = r"^(/|[a-zA-Z]:\\\\|\\\\\\\\)"
 UNORDERED = ("violations", "unconnected_items", "schematic_parity")
 #: Levels that a document may have, as Spark's own parser allows them.
 DEEPEST = 1000
+#: Documents that a task takes apart, about.
+DEAL = 10_000
 
 
 def quoted(text: Column) -> Column:
@@ -73,10 +75,12 @@ def _node(frame: DataFrame) -> DataFrame:
 def canonical(frame: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """(keys.., canonical) of every row: null for a null document, for text that isn't JSON, and where an object repeats a name.
 
-    Whole numbers stay as they are; -0.0 becomes 0.0, as VARIANT has no negative zero in decimals.
+    Whole numbers stay as they are; -0.0 becomes 0.0, as VARIANT has no negative zero in decimals. Joins are by sorting:
+    the sizes that Spark expects of nodes are those of the documents' files, and a side as small as that would go through the driver.
     """
     spark = frame.sparkSession
-    own = cut(frame.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.monotonically_increasing_id().alias("doc"), F.try_parse_json(column).alias("v")))
+    own = cut(frame.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.monotonically_increasing_id().alias("doc"), F.col(column).alias("v")))
+    own = cut(dealt(own, "doc", DEAL).withColumn("v", F.try_parse_json("v")))
     # path: null in a list, where strings stay as they are; under: the name that a list goes by
     now = own.where("v IS NOT NULL").select("doc", F.lit("").alias("parent"), F.lit("0").alias("id"), F.lit("").alias("name"), F.lit(0).alias("place"), F.lit("").alias("under"), F.lit(False).alias("path"), "v")
     levels = [cut(_node(now.withColumn("path", F.lit(None).cast("boolean"))))]
@@ -86,7 +90,8 @@ def canonical(frame: DataFrame, column: str, keys: list[str]) -> DataFrame:
         path = F.when(F.col("named"), F.lower("key").isin(*PATHS) | F.lower("key").rlike(PATH_LIKE))
         name = F.when(F.col("named"), F.col("key"))
         now = rows.select("doc", "parent", F.concat("parent", F.lit("."), F.col("pos").cast("string")).alias("id"), F.coalesce(name, F.lit("")).alias("name"), F.col("pos").alias("place"), F.coalesce(name, "under").alias("under"), path.alias("path"), F.col("value").alias("v"))
-        now = cut(_node(now))
+        now = _node(now)
+        now = cut(now.withColumn("v", F.when(F.col("text").isNull(), F.col("v"))))
         if now.isEmpty():
             break
         levels.append(now)
@@ -95,7 +100,7 @@ def canonical(frame: DataFrame, column: str, keys: list[str]) -> DataFrame:
         part = level.select("doc", "parent", "id", "name", "place", "under", "kind", "text")
         if done is not None:
             items = done.groupBy("doc", F.col("parent").alias("id")).agg(F.array_sort(F.collect_list(F.struct("name", "place", "text"))).alias("items"))
-            part = part.join(items, ["doc", "id"], "left")
+            part = part.join(items.hint("merge"), ["doc", "id"], "left")
             texts = F.transform("items", lambda x: x["text"])
             fields = F.transform("items", lambda x: F.concat(quoted(x["name"]), F.lit(":"), x["text"]))
             listed = F.array_join(F.when(F.col("under").isin(*UNORDERED), F.array_sort(texts)).otherwise(texts), ",")
@@ -103,4 +108,4 @@ def canonical(frame: DataFrame, column: str, keys: list[str]) -> DataFrame:
         else:
             whole = F.when(F.col("kind") == "OBJECT", "{}").when(F.col("kind") == "ARRAY", "[]")
         done = part.select("doc", "parent", "name", "place", F.coalesce("text", whole).alias("text"))
-    return own.join(done.select("doc", F.col("text").alias("canonical")), "doc", "left").select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "canonical")
+    return own.join(done.select("doc", F.col("text").alias("canonical")).hint("merge"), "doc", "left").select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "canonical")

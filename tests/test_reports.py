@@ -56,3 +56,12 @@ def test_no_python_and_rows_stay_apart(spark):
     assert sorted((r.id or 0, r.canonical) for r in got.collect()) == [(0, "[2]"), (1, '{"b":[1]}'), (1, '{"b":[1]}')]
     assert "Python" not in got._jdf.queryExecution().toString()
     assert reports.canonical(own.limit(0), "doc", ["id"]).count() == 0
+
+
+def test_no_side_goes_through_the_driver(spark, tmp_path, monkeypatch):
+    """Documents of a small file fill several tasks, and no join is a broadcast, however small the file's size lets sides seem."""
+    monkeypatch.setattr(reports, "DEAL", 50)
+    spark.range(200).selectExpr("id", """'{"a": [1, {"b": ' || id || '}]}' AS doc""").coalesce(1).write.parquet(str(tmp_path / "d"))
+    got = reports.canonical(spark.read.parquet(str(tmp_path / "d")), "doc", ["id"])
+    assert "Broadcast" not in got._jdf.queryExecution().toString()
+    assert {r.id: r.canonical for r in got.collect()} == {i: f'{{"a":[1,{{"b":{i}}}]}}' for i in range(200)}
