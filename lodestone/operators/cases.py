@@ -21,11 +21,11 @@ def _folded(entry: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n"), 256)
 
 
-def _folders(entries: DataFrame) -> DataFrame:
-    """(case_id, folder, hash) of entries (case_id, folder, name, hash)."""
+def _folders(entries: DataFrame, deepest: int | None) -> DataFrame:
+    """(case_id, folder, hash) of entries (case_id, folder, name, hash), by way of buckets of that many digits at most."""
     many = entries.groupBy("case_id", "folder").agg(F.count("*").alias("n"))
     digits = F.greatest(F.lit(0), F.ceil(F.log(F.col("n") / FAN) / F.log(F.lit(16.0)))).cast("int")
-    many = many.select("case_id", "folder", digits.alias("digits"))
+    many = many.select("case_id", "folder", (digits if deepest is None else F.least(digits, F.lit(deepest))).alias("digits"))
     deepest = many.agg(F.max("digits")).first()[0] or 0
     own = entries.join(many, ["case_id", "folder"]).withColumn("key", F.sha2("name", 256))
     for d in range(deepest, 0, -1):
@@ -36,9 +36,12 @@ def _folders(entries: DataFrame) -> DataFrame:
     return own.groupBy("case_id", "folder").agg(_folded(F.concat("name", F.lit(":"), "hash")).alias("hash"))
 
 
-def tree_hashes(files: DataFrame) -> DataFrame:
+def tree_hashes(files: DataFrame, deepest: int | None = None) -> DataFrame:
     """(case_id, path, kind, hash) of all files and folders; a case's own folder has the path "".
 
+    Buckets have as many digits as a folder needs, or `deepest` at most: then groups grow with folders of more than
+    FAN * 16 ** deepest entries.
+
     Repeated rows of one file count once; a path with two digests raises an error, as does one that is both file and folder.
     Rows with a null count for nothing. Rounds are as many as paths are deep.
     """
@@ -56,7 +59,7 @@ def tree_hashes(files: DataFrame) -> DataFrame:
         level = level if folders is None else level.union(folders)
         if folders is not None and not folders.join(own, ["case_id", "path"], "left_semi").isEmpty():
             raise ValueError("a path of a case is a file and a folder")
-        folders = cut(_folders(level.select("case_id", parent.alias("folder"), name.alias("name"), "hash")).select("case_id", F.col("folder").alias("path"), "hash"))
+        folders = cut(_folders(level.select("case_id", parent.alias("folder"), name.alias("name"), "hash"), deepest).select("case_id", F.col("folder").alias("path"), "hash"))
         out = out.union(folders.select("case_id", "path", F.lit("folder"), "hash"))
     return out
 

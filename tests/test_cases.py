@@ -107,3 +107,24 @@ def test_layout(spark):
     assert {c for c, r in got.items() if r.valid} == {"CAL_1"}
     assert got["CAL_2"].missing == ["oracle_case.json"] and got["CAL_2"].n_bad_names == 1 and got["CAL_3"].empty_folders == ["fab/gerbers"]
     assert {r.case_id for r in C.layout(own, strict=False).collect() if r.valid} == {"CAL_1", "CAL_4"}
+
+
+def test_large_folders_are_as_in_sql(spark, tmp_path):
+    """A folder of more than 65,536 orders, which would take a third digit of buckets."""
+    import duckdb
+
+    from lodestone.plans import catalog
+
+    duck = duckdb.connect()
+    for name, sql in {
+        "nation": "SELECT i::INT AS n_nationkey, 'N' || i AS n_name, 0 AS n_regionkey FROM range(2) t(i)",
+        "customer": "SELECT i AS c_custkey, i::INT AS c_nationkey FROM range(2) t(i)",
+        "orders": "SELECT i AS o_orderkey, (i % 1000 = 0)::BIGINT AS o_custkey FROM range(66500) t(i)",
+        "lineitem": "SELECT i AS l_orderkey, 1::INT AS l_linenumber, i % 7 AS l_partkey, i % 5 AS l_suppkey, 'A' AS l_returnflag FROM range(66500) t(i)",
+    }.items():
+        duck.execute(f"CREATE TABLE {name} AS {sql}")
+        duck.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT PARQUET)")
+    for name, ends in (("case_fingerprints", ""),):
+        got = catalog.queries()[name](spark, str(tmp_path))
+        want = duck.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.oracle_sql()[name]}) WHERE {ends or 'true'}").fetchall()
+        assert sorted(map(tuple, (got.where(ends) if ends else got).collect())) == sorted(want) and want
