@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lodestone.plans.session import cut
@@ -89,6 +89,11 @@ def stability(long: DataFrame) -> DataFrame:
     return wide.select("network_id", "f_idx", k.alias("k"), delta.alias("delta"))
 
 
+def _backwards(*by: str) -> WindowSpec:
+    """From the greatest frequency down to a row's own: a frame that grows is linear, one that shrinks is made anew for each row."""
+    return Window.partitionBy(*by).orderBy(F.desc("freq_hz")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 def interpolate(long: DataFrame, grid: DataFrame) -> DataFrame:
     """Values on a grid (network_id, freq_hz), linear in real and imaginary part, constant beyond the ends: a union and two windows, no range join."""
     cells = long.select("network_id", "i", "j").distinct()
@@ -97,7 +102,7 @@ def interpolate(long: DataFrame, grid: DataFrame) -> DataFrame:
     by = Window.partitionBy("network_id", "i", "j").orderBy("freq_hz")  # equal frequencies are peers: the source point serves as both ends
     point = F.when(~F.col("wanted"), F.struct("freq_hz", "re", "im"))
     before = F.last(point, ignorenulls=True).over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first(point, ignorenulls=True).over(by.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    after = F.last(point, ignorenulls=True).over(_backwards("network_id", "i", "j"))
     own = both.select("*", before.alias("a"), after.alias("b")).where("wanted")
     return _between(own.select("network_id", "i", "j", "freq_hz", F.coalesce("a", "b").alias("a"), F.coalesce("b", "a").alias("b")))
 
@@ -116,13 +121,13 @@ def interpolate_blocks(long: DataFrame, grid: DataFrame, blocks: int | None = No
     own = cut(ranged.withColumn("block", F.spark_partition_id()))
     point = F.when(~F.col("wanted"), F.struct("freq_hz", "re", "im"))
     ends = own.groupBy(*cell, "block").agg(F.max(point).alias("last"), F.min(point).alias("first"))
-    by = Window.partitionBy(*cell).orderBy("block")
-    before = F.last("last", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("first", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))
+    by = Window.partitionBy(*cell)
+    before = F.last("last", ignorenulls=True).over(by.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    after = F.last("first", ignorenulls=True).over(by.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1))
     ends = ends.select(*cell, "block", before.alias("before"), after.alias("after"))
     by = Window.partitionBy(*cell, "block").orderBy("freq_hz")
     a = F.last(point, ignorenulls=True).over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    b = F.first(point, ignorenulls=True).over(by.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    b = F.last(point, ignorenulls=True).over(_backwards(*cell, "block"))
     near = own.select("*", a.alias("a"), b.alias("b")).where("wanted").join(ends, [*cell, "block"])
     near = near.withColumns({"a": F.coalesce("a", "before"), "b": F.coalesce("b", "after")})
     return _between(near.select(*order, F.coalesce("a", "b").alias("a"), F.coalesce("b", "a").alias("b")))
