@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,6 +73,17 @@ def numbered(frame: DataFrame, order: list[Column]) -> DataFrame:
     return placed.join(F.broadcast(before), "_p").withColumn("n", F.col("_r") - 1 + F.col("_before")).drop("_p", "_r", "_before")
 
 
+def placed(frame: DataFrame, by: list[str], order: list[str], name: str, dense: bool = False) -> DataFrame:
+    """Adds a row's place in its group from 1, for groups of any size: ranges of (by, order) are counted first, and a group's later ranges shifted by those before. Rows of equal order lie in one range; they have one place if dense."""
+    part = cut(frame.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()))
+    inner = (F.dense_rank() if dense else F.row_number()).over(Window.partitionBy(*by, "_p").orderBy(*order))
+    heads = (part.select(*by, *order, "_p").distinct() if dense else part).groupBy(*by, "_p").agg(F.count("*").alias("_c"))
+    shift = F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = heads.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col("_p").alias("_q"), shift.alias("_shift"))  # a row for each range and group
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)], F.col("_p") == F.col("_q"))
+    return part.withColumn("_r", inner).join(heads, same).withColumn(name, (F.col("_r") + F.col("_shift")).cast("int")).select(*frame.columns, name)
+
+
 def status_shares(frame: DataFrame) -> DataFrame:
     """(batch, status, n, share of the batch)."""
     counted = frame.groupBy("batch", "status").agg(F.count("*").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.integrity import placed
 from lodestone.plans.registry import table
 
 ARTIFACTS_SQL = """artifacts AS (SELECT CAST(o_orderkey AS VARCHAR) AS artifact_id, o_orderpriority AS artifact_type,
@@ -81,6 +82,11 @@ networks AS (SELECT network_id, CAST(f_idx AS INT) AS f_idx, f_idx * 1e8 AS freq
     FROM ranked, (VALUES (1, 1), (1, 2), (2, 1), (2, 2)) p(i, j))"""
 
 
+def _cells(ranked: DataFrame) -> DataFrame:
+    cell = lambda i, j: F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (2 * F.col("embedding")[19 + 4 * (i - 1) + 2 * (j - 1)].cast("double")).alias("re"), (2 * F.col("embedding")[20 + 4 * (i - 1) + 2 * (j - 1)].cast("double")).alias("im"))
+    return ranked.select("network_id", "f_idx", (F.col("f_idx") * F.lit(1e8)).alias("freq_hz"), F.inline(F.array(cell(1, 1), cell(1, 2), cell(2, 1), cell(2, 2))))
+
+
 def networks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as 2-port networks, one per label and range of ids, in long form: network_id, f_idx, freq_hz, i, j, re, im."""
     from pyspark.sql import Window
@@ -88,8 +94,19 @@ def networks(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.when(F.col("vec_id") >= POINTS, F.concat(F.lit("-"), F.floor(F.col("vec_id") / POINTS).cast("string"))).otherwise("")
     named = table(spark, sf_dir, "embeddings").select(F.concat(F.col("label").cast("string"), part).alias("network_id"), "embedding", "vec_id")
     ranked = named.withColumn("f_idx", F.row_number().over(Window.partitionBy("network_id").orderBy("vec_id")))
-    cell = lambda i, j: F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (2 * F.col("embedding")[19 + 4 * (i - 1) + 2 * (j - 1)].cast("double")).alias("re"), (2 * F.col("embedding")[20 + 4 * (i - 1) + 2 * (j - 1)].cast("double")).alias("im"))
-    return ranked.select("network_id", "f_idx", (F.col("f_idx") * F.lit(1e8)).alias("freq_hz"), F.inline(F.array(cell(1, 1), cell(1, 2), cell(2, 1), cell(2, 2))))
+    return _cells(ranked)
+
+
+WHOLE_NETWORK_SQL = """ranked AS (SELECT CAST(label AS VARCHAR) AS network_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS f_idx FROM embeddings),
+networks AS (SELECT network_id, CAST(f_idx AS INT) AS f_idx, f_idx * 1e8 AS freq_hz, i, j,
+    2 * CAST(embedding[20 + 4 * (i - 1) + 2 * (j - 1)] AS DOUBLE) AS re, 2 * CAST(embedding[21 + 4 * (i - 1) + 2 * (j - 1)] AS DOUBLE) AS im
+    FROM ranked, (VALUES (1, 1), (1, 2), (2, 1), (2, 2)) p(i, j))"""
+
+
+def whole_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As networks, but one for each label, whose length grows with the table: points are numbered within ranges."""
+    named = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("network_id"), "embedding", "vec_id")
+    return _cells(placed(named, ["network_id"], ["vec_id"], "f_idx"))
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from lodestone.operators import lineage as G
 from lodestone.operators import meshes as M
 from lodestone.operators import proofs as P
 from lodestone.operators import verification as V
-from lodestone.plans.adapters import ARTIFACTS_SQL, GRAPH_SQL, NETWORK_SQL, artifacts, graph, networks
+from lodestone.plans.adapters import ARTIFACTS_SQL, GRAPH_SQL, NETWORK_SQL, WHOLE_NETWORK_SQL, artifacts, graph, networks, whole_networks
 from lodestone.plans.registry import query, table
 from lodestone.plans.session import new_folder
 from lodestone.sources import contents
@@ -117,10 +117,10 @@ def touchstone_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("network_id").agg(F.count("*").alias("n"), F.count_distinct("f_idx").alias("points"), F.round(F.sum("re"), 6).alias("re"), F.round(F.sum("im"), 6).alias("im"), F.max("z0").alias("z0"))
 
 
-@query(f"WITH {NETWORK_SQL} SELECT f_idx, i, j, re, im FROM networks WHERE network_id = '3'")
+@query(f"WITH {WHOLE_NETWORK_SQL} SELECT f_idx, i, j, re, im FROM networks WHERE network_id = '3'")
 def sparameter_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "csv")
-    J.sparameter_wide(networks(spark, sf_dir).where("network_id = '3'")).drop("network_id").write.option("header", True).csv(folder)
+    J.sparameter_wide(whole_networks(spark, sf_dir).where("network_id = '3'")).drop("network_id").write.option("header", True).csv(folder)
     return J.sparameter_csv(spark, folder, "3").select(F.col("f_idx").cast("int").alias("f_idx"), "i", "j", "re", "im")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.integrity import placed
+
 MANIFEST = """artifact_id string, artifact_type string, byte_size bigint, created_utc string, content_hash struct<algorithm:string,digest:string>,
     lineage struct<run_id:string,inputs:array<struct<artifact_id:string,relation:string>>>, roles array<string>, tags map<string,string>, _corrupt string"""
 
@@ -36,12 +38,10 @@ def put(new: DataFrame, have: DataFrame, digest: str = "digest") -> DataFrame:
 
 def sparameter_csv(spark: SparkSession, path: str, network_id: str) -> DataFrame:
     """freq_hz, s11_re, s11_im, .. as long rows."""
-    from pyspark.sql import Window
-
-    own = spark.read.option("header", True).option("inferSchema", True).csv(path)
+    own = placed(spark.read.option("header", True).option("inferSchema", True).csv(path), [], ["freq_hz"], "f_idx", dense=True)
     cells = [c[:-3] for c in own.columns if c.endswith("_re")]
     long = F.array(*[F.struct(F.lit(int(c[1])).alias("i"), F.lit(int(c[2])).alias("j"), F.col(f"{c}_re").cast("double").alias("re"), F.col(f"{c}_im").cast("double").alias("im")) for c in cells])
-    return own.select(F.lit(network_id).alias("network_id"), F.col("freq_hz").cast("double").alias("freq_hz"), F.inline(long)).withColumn("f_idx", F.dense_rank().over(Window.partitionBy("network_id").orderBy("freq_hz")))
+    return own.select(F.lit(network_id).alias("network_id"), F.col("freq_hz").cast("double").alias("freq_hz"), F.inline(long), "f_idx").select("network_id", "freq_hz", "i", "j", "re", "im", "f_idx")
 
 
 def sparameter_wide(long: DataFrame) -> DataFrame:
