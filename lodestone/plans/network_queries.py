@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from lodestone.operators import networks as N
 from lodestone.operators import signals as S
 from lodestone.operators import verification as V
-from lodestone.plans.adapters import NETWORK_SQL, networks
+from lodestone.plans.adapters import NETWORK_SQL, WHOLE_NETWORK_SQL, networks, whole_networks
 from lodestone.plans.registry import query, table
+from lodestone.plans.session import cut
 
 _WIDE = f"WITH {NETWORK_SQL}, wide AS (SELECT network_id, f_idx, freq_hz, " + ", ".join(f"max({c}) FILTER (i = {i} AND j = {j}) AS {c}{i}{j}" for i in (1, 2) for j in (1, 2) for c in ("re", "im")) + " FROM networks GROUP BY 1, 2, 3)"
 _DB = lambda n: f"20 * log10(greatest(sqrt(re{n} * re{n} + im{n} * im{n}), 1e-15))"
@@ -146,10 +147,11 @@ def line_impedance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("p_partkey", F.round("z", 6).alias("z0"), F.round(off, 6).alias("mismatch"), verdict.alias("status"))
 
 
-@query(f"""WITH {NETWORK_SQL} SELECT network_id, f_idx, i, j, round(re * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * (f_idx - 1) / greatest(n - 1, 1))), 8) + 0.0 AS re FROM networks JOIN (SELECT network_id, count(*) AS n FROM ranked GROUP BY 1) USING (network_id)""")
+@query(f"""WITH {WHOLE_NETWORK_SQL} SELECT network_id, f_idx, i, j, round(re * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * (f_idx - 1) / greatest(n - 1, 1))), 8) + 0.0 AS re FROM networks JOIN (SELECT network_id, count(*) AS n FROM ranked GROUP BY 1) USING (network_id)""")
 def windowed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = networks(spark, sf_dir)
-    n = own.where("i = 1 AND j = 1").groupBy("network_id").agg(F.count("*").alias("n"))
+    own = whole_networks(spark, sf_dir)
+    n = cut(own.where("i = 1 AND j = 1").groupBy("network_id").agg(F.count("*").alias("n")))
+    n = F.broadcast(n) if n.count() <= 100_000 else n  # a few labels hold all rows
     return own.join(n, "network_id").select("network_id", "f_idx", "i", "j", (F.round(F.col("re") * S.window("hann", F.col("f_idx") - 1, F.col("n")), 8) + 0.0).alias("re"))
 
 

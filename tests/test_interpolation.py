@@ -1,5 +1,6 @@
 """Interpolation in ranges gives what a window for each whole network gives."""
 
+import math
 import random
 
 import pytest
@@ -30,3 +31,15 @@ def test_one_network_fills_many_tasks(spark):
     assert len(ranged) >= 12 and max(r["count"] for r in ranged) < 4_000
     assert N.interpolate_blocks(own, own, 16).join(own.toDF("network_id", "i", "j", "freq_hz", "re2", "im2"), ["network_id", "i", "j", "freq_hz"]).where("re = re2 AND im = im2").count() == 20_000
     assert N.interpolate_blocks(own.limit(0), own, 4).count() == 0
+
+
+def test_series_of_whole_labels(spark, tmp_path):
+    """Networks of a label go on beyond 250 vectors: one window, one file."""
+    from lodestone.plans import catalog
+
+    own = spark.range(900).select(F.col("id").alias("vec_id"), F.array_repeat(F.lit(1.0).cast("float"), 32).alias("embedding"), (F.col("id") % 3 + 1).cast("int").alias("label"))
+    own.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.queries()["windowed_series"](spark, str(tmp_path)).where("i = 1 AND j = 1").collect()
+    assert sorted((r.network_id, r.f_idx) for r in got) == [(n, k + 1) for n in "123" for k in range(300)]
+    assert all(abs(r.re - (1 - math.cos(2 * math.pi * (r.f_idx - 1) / 299))) < 1e-7 for r in got)
+    assert sorted(r.f_idx for r in catalog.queries()["sparameter_csv"](spark, str(tmp_path)).collect()) == sorted([*range(1, 301)] * 4)
