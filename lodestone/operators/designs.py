@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import base32_prefix
-from lodestone.operators.connectivity import touching
+from lodestone.operators.connectivity import links
 from lodestone.operators.lineage import components
 from lodestone.operators.proofs import at_least, evaluate
 from lodestone.operators.rules import SPACE, physical, vectors
@@ -53,7 +53,7 @@ def short_evaluation(frame: DataFrame, key: str) -> DataFrame:
 
 def net_connectivity(points: DataFrame, ports: DataFrame, largest_radius: int) -> DataFrame:
     """net, connected: whether the ports (net, left_id, right_id) of a net lie in one component of its touching shapes (id, net, x, y, r)."""
-    groups = components(touching(points, largest_radius), points)
+    groups = components(links(points, largest_radius), points)
     left = groups.select(F.col("id").alias("left_id"), F.col("component").alias("a"))
     right = groups.select(F.col("id").alias("right_id"), F.col("component").alias("b"))
     joined = ports.join(left, "left_id", "left").join(right, "right_id", "left")

@@ -43,3 +43,9 @@ def test_series_of_whole_labels(spark, tmp_path):
     assert sorted((r.network_id, r.f_idx) for r in got) == [(n, k + 1) for n in "123" for k in range(300)]
     assert all(abs(r.re - (1 - math.cos(2 * math.pi * (r.f_idx - 1) / 299))) < 1e-7 for r in got)
     assert sorted(r.f_idx for r in catalog.queries()["sparameter_csv"](spark, str(tmp_path)).collect()) == sorted([*range(1, 301)] * 4)
+
+
+@pytest.mark.parametrize("way", [N.interpolate, N.interpolate_blocks])
+def test_no_frame_is_made_anew_for_each_row(spark, way):
+    own = spark.range(20).select(F.lit("n").alias("network_id"), F.lit(1).alias("i"), F.lit(1).alias("j"), F.col("id").cast("double").alias("freq_hz"), F.lit(1.0).alias("re"), F.lit(2.0).alias("im"))
+    assert "unboundedfollowing" not in way(own, own)._jdf.queryExecution().toString()

@@ -285,3 +285,14 @@ def test_byte_forms(spark):
             n //= 1024
 
     assert [(r.a, r.b) for r in rows] == [(listing(n), report(n)) for n in sizes]
+
+
+def test_shapes_of_one_centre_give_no_pairs(spark):
+    """300 shapes at each of four centres: links grow with the shapes, and tie what all pairs tie."""
+    from lodestone.operators import connectivity as K
+    from lodestone.operators import lineage as G
+
+    points = spark.range(1200).select("id", (F.col("id") % 2).alias("net"), F.when(F.col("id") % 4 < 2, 0).otherwise(100).alias("x"), F.lit(0).alias("y"), (F.col("id") % 40 + 11).alias("r"))
+    assert K.links(points, 50).count() <= 1200 < K.touching(points, 50).count()
+    want = {(r.id, r.component) for r in G.components(K.touching(points, 50), points).collect()}
+    assert {(r.id, r.component) for r in G.components(K.links(points, 50), points).collect()} == want
