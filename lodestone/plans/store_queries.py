@@ -21,10 +21,15 @@ def content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contents.read(spark, root).select("digest", F.octet_length("content").cast("bigint").alias("byte_size"), "intact")
 
 
+#: Lines that a file of sorted lines gets, about; their number grows with the table.
+LINES = 250_000
+
+
 def _sorted_lines(spark: SparkSession, sf_dir: str) -> str:
     """Lines by order key, in files of many row groups, as an ingest in order leaves them."""
     path = new_folder(spark, "lines")
-    table(spark, sf_dir, "lineitem").repartitionByRange(4, "l_orderkey").sortWithinPartitions("l_orderkey").write.option("parquet.block.size", 1 << 14).option("parquet.page.size", 1 << 12).option("parquet.page.row.count.limit", 500).parquet(path)
+    lines = table(spark, sf_dir, "lineitem")
+    lines.repartitionByRange(max(4, -(-lines.count() // LINES)), "l_orderkey").sortWithinPartitions("l_orderkey").write.option("parquet.block.size", 1 << 14).option("parquet.page.size", 1 << 12).option("parquet.page.row.count.limit", 500).parquet(path)
     return path
 
 
