@@ -9,13 +9,17 @@ cut into equal parts, and theirs in turn, until none is.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.meshes import SPEED_OF_LIGHT
+from lodestone.plans.session import dealt
 
+#: Axes that a task plans, about, and different ones whose plans it keeps.
+DEAL, ALIKE = 10_000, 64
 #: Lines that an axis may get; more raise an error.
 MOST_LINES = 1_000_000
 
@@ -104,11 +108,12 @@ def plans(axes: DataFrame, key: str, ratio: float) -> DataFrame:
         raise ValueError("the ratio is above 1")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        planned = lru_cache(ALIKE)(lambda f, c: plan(list(f), c, ratio))  # boards of one design have equal axes
         for batch in batches:
-            yield pd.DataFrame({key: batch[key], "lines": [plan([int(x) for x in f], int(c), ratio) if f is not None else [] for f, c in zip(batch["fixed"], batch["cap"], strict=True)]})
+            yield pd.DataFrame({key: batch[key], "lines": [planned(tuple(f.tolist()), int(c)) if f is not None else [] for f, c in zip(batch["fixed"], batch["cap"], strict=True)]})
 
     kind = axes.schema[key].dataType.simpleString()
-    return axes.select(key, F.filter("fixed", lambda x: x.isNotNull()).alias("fixed"), "cap").mapInPandas(run, f"`{key}` {kind}, lines array<bigint>")
+    return dealt(axes.select(key, F.filter("fixed", lambda x: x.isNotNull()).alias("fixed"), "cap"), key, DEAL).mapInPandas(run, f"`{key}` {kind}, lines array<bigint>")
 
 
 def summary(planned: DataFrame, key: str) -> DataFrame:

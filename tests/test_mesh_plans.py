@@ -41,3 +41,11 @@ def test_odd_axes():
     assert M.plan([], 10, 1.5) == [] and M.plan([5], 10, 1.5) == [5] and M.plan([0, 1], 10, 1.5) == [0, 1]
     with pytest.raises(ValueError, match="more than"):
         M.plan([0, 10**9], 1, 1.5)
+
+
+def test_equal_axes_are_planned_once_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(M, "DEAL", 50)
+    axes = spark.range(400).select("id", F.array(F.lit(0).cast("bigint"), (F.col("id") % 3 * 1000 + 900).cast("bigint")).alias("fixed"), F.lit(100).cast("bigint").alias("cap"))
+    got = M.plans(axes.coalesce(1), "id", 1.5)
+    assert got.rdd.getNumPartitions() == 8
+    assert all(list(r.lines) == M.plan([0, r.id % 3 * 1000 + 900], 100, 1.5) for r in got.collect())
