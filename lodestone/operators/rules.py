@@ -11,6 +11,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.plans.session import dealt
+
 #: Parameters in vector order, with the ends of their linear ranges (nanometres).
 SPACE = (
     ("trace_width", 100_000, 500_000),
@@ -244,10 +246,14 @@ DOCUMENT_RULES = (
 )
 
 
+#: Documents that a task checks, about: each gives a row for each rule.
+DEAL = 50_000
+
+
 def document_results(frame: DataFrame, key: str) -> DataFrame:
     """Long form of the document checks over columns of their names: key, constraint_id, margin, passed. A null in any of a rule's columns leaves that rule out."""
     cells = [F.struct(F.lit(r).alias("constraint_id"), F.expr(m).cast("double").alias("margin")) for r, m in DOCUMENT_RULES]
-    return frame.select(key, F.inline(F.array(*cells))).where("margin IS NOT NULL").withColumn("passed", F.col("margin") >= 0)
+    return dealt(frame, key, DEAL).select(key, F.inline(F.array(*cells))).where("margin IS NOT NULL").withColumn("passed", F.col("margin") >= 0)
 
 
 _EDGE = "2 * (floor(trace_width / 2) + trace_gap + coalesce(fence_offset + floor(fence_via / 2), 0) + min_edge_clearance)"

@@ -62,3 +62,12 @@ def test_worst_pair_and_symmetry(spark):
     assert abs(r.max_error_db - 20 * math.log10(error(worst))) < 1e-9
     got = {r.network_id: (r.symmetry_error, r.n_active) for r in V.symmetry(rows(spark).where("network_id <> 'single'")).collect()}
     assert got == {"good": (0.0, 0), "active": (0.0, 1), "one_way": (0.0, 0)}
+
+
+def test_documents_fill_tasks_by_their_number(spark, monkeypatch):
+    from lodestone.operators import rules
+    from lodestone.plans import rule_queries
+
+    monkeypatch.setattr(rules, "DEAL", 20)
+    own = rule_queries.specs(spark, "/root/testdata/sf0.001")
+    assert rules.document_results(own, "p_partkey").rdd.getNumPartitions() == -(-own.count() // 20) > 4
