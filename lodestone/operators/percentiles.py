@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from lodestone.plans.session import cut
 
 BINS = 1024
+#: Ranks that are sent to all tasks; beyond, only those of groups of more values than MANY are.
+FEW, MANY = 50_000, 100_000
 
 
 def percentiles(frame: DataFrame, by: list[str], value: str, shares: Iterable[float]) -> DataFrame:
@@ -26,8 +28,9 @@ def percentiles(frame: DataFrame, by: list[str], value: str, shares: Iterable[fl
     own = frame.select(F.struct(*[F.col(c) for c in by]).alias("g"), F.col(value).cast("double").alias("v")).where("v is not null")
     each = cut(own.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
     place = each.select("*", F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")).withColumn("at", F.col("share") * (F.col("n") - 1))
-    ranks = place.select("g", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank"), "lo", "hi").distinct()
-    state = cut(ranks.withColumn("k", F.col("rank")).select("g", "rank", "k", "lo", "hi"))
+    ranks = place.select("g", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank"), "lo", "hi", "n").distinct()
+    many = (F.col("n") > MANY).alias("many")
+    state = cut(ranks.select("g", "rank", F.col("rank").alias("k"), "lo", "hi", many))
     settled = state.where("lo = hi")
     open_ = state.where("lo <> hi")
     before = Window.partitionBy("g", "rank").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -35,9 +38,15 @@ def percentiles(frame: DataFrame, by: list[str], value: str, shares: Iterable[fl
         ratio = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
         inner = F.when(F.isnan(ratio), 1).otherwise(1 + F.floor(F.least(F.greatest(ratio, F.lit(0.0)), F.lit(1.0)) * (BINS - 1)))
         bin_ = F.when(F.col("v") == F.col("lo"), 0).when(F.col("v") == F.col("hi"), BINS + 1).otherwise(inner).cast("int")
-        here = own.alias("o").join(open_.withColumnRenamed("g", "h").alias("s"), F.col("g").eqNullSafe(F.col("h"))).where("v >= lo AND v <= hi").select("g", "rank", "k", "v", bin_.alias("bin"))
-        counted = here.groupBy("g", "rank", "k", "bin").agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).withColumn("upto", F.sum("c").over(before))
-        state = cut(counted.where("upto > k AND upto - c <= k").select("g", "rank", (F.col("k") - F.col("upto") + F.col("c")).alias("k"), "lo", "hi"))
+        to = open_.withColumnRenamed("g", "h")
+        near = lambda side: own.join(side, F.col("g").eqNullSafe(F.col("h"))).where("v >= lo AND v <= hi")  # noqa: B023, E731
+        if open_.count() <= FEW:
+            here = near(F.broadcast(to))
+        else:  # groups of many values are few, and shuffled by their group they would fill one task
+            here = near(F.broadcast(to.where("many"))).union(near(to.where("NOT many").hint("merge")))
+        here = here.select("g", "rank", "k", "many", "v", bin_.alias("bin"))
+        counted = here.groupBy("g", "rank", "k", "many", "bin").agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).withColumn("upto", F.sum("c").over(before))
+        state = cut(counted.where("upto > k AND upto - c <= k").select("g", "rank", (F.col("k") - F.col("upto") + F.col("c")).alias("k"), "lo", "hi", "many"))
         settled, open_ = settled.union(state.where("lo = hi")), state.where("lo <> hi")
     found = cut(settled.select(F.col("g").alias("h"), "rank", F.col("lo").alias("x")))
     low, high = found.toDF("h1", "r1", "x1"), found.toDF("h2", "r2", "x2")

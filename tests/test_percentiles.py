@@ -42,3 +42,23 @@ def test_same_as_spark_and_no_rows(spark):
     assert [r.percentile for r in P.percentiles(nan, ["g"], "v", [0.5]).collect()] == [2.0]
     with pytest.raises(ValueError, match="from 0 to 1"):
         P.percentiles(frame, ["g"], "v", [1.5])
+
+
+def test_large_groups_are_not_gathered(spark, monkeypatch, tmp_path):
+    """Few ranks go to all tasks, whatever size Spark expects of them; of many ranks, those of large groups."""
+    frame = spark.range(9_000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 90).alias("g"), F.sin("id").alias("v"))
+    seen = []
+    monkeypatch.setattr(P, "cut", lambda f, real=P.cut: (seen.append(f._jdf.queryExecution().toString()), real(f))[1])
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        want = {r.g: r.p for r in frame.groupBy("g").agg(F.percentile("v", F.lit(0.9)).alias("p")).collect()}
+        for few, sorts in ((1_000, False), (0, True)):
+            seen.clear()
+            monkeypatch.setattr(P, "FEW", few)
+            monkeypatch.setattr(P, "MANY", 1_000)
+            assert {r.g: r.percentile for r in P.percentiles(frame, ["g"], "v", [0.9]).collect()} == want
+            rounds = [x for x in seen if "upto" in x]
+            assert rounds and all("BroadcastHashJoin" in x and ("SortMergeJoin" in x) == sorts for x in rounds)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
