@@ -111,22 +111,45 @@ class Contents(DataSource):
         return _Writer(self.options["path"])
 
 
-def _listing(spark: SparkSession, root: str, digest: str = "*") -> DataFrame | None:
-    """Stored files, by Spark's own reader of files; nothing where the store holds none yet."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.format("binaryFile").option("pathGlobFilter", digest).option("recursiveFileLookup", "true").load(f"{root}/objects" if digest == "*" else f"{root}/objects/{digest[:2]}")
-    except AnalysisException as gone:
-        if "PATH_NOT_FOUND" not in str(gone):
-            raise
-        return None
+#: Bytes of contents that a task hands on at once, about.
+BATCH = 8_000_000
+
+
+def _objects(spark: SparkSession, root: str, digest: str | None, schema: str, contents: bool) -> DataFrame:
+    """What is stored, a row for each file: tasks list the folders of their prefixes, so that names don't go through the driver, and open the files if contents are wanted."""
+    prefixes = [digest[:2]] if digest else [f"{i:02x}" for i in range(256)]
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, path = opened_store(root)
+        inner = lambda p: store.get_file_info(fs.FileSelector(p, allow_not_found=True))
+        for batch in batches:
+            for prefix in batch.column(0).to_pylist():
+                for folder in inner(f"{path}/objects/{prefix}"):
+                    names, data, size = [], [], 0
+                    for file in inner(folder.path) if folder.type == fs.FileType.Directory else ():
+                        if file.type != fs.FileType.File or file.base_name.startswith((".", "_")) or digest not in (None, file.base_name):
+                            continue
+                        names.append(file.base_name)
+                        if contents:
+                            with store.open_input_stream(file.path) as stream:
+                                data.append(stream.read())
+                            size += len(data[-1])
+                        if size >= BATCH:
+                            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(data, pa.binary())], names=["digest", "content"])
+                            names, data, size = [], [], 0
+                    if names:
+                        yield pa.RecordBatch.from_arrays([pa.array(names), *([pa.array(data, pa.binary())] if contents else [])], names=["digest", "content"][: 1 + contents])
+
+    own = spark.createDataFrame([(p,) for p in prefixes], "prefix string")
+    return own.repartition(min(len(prefixes), 64), "prefix").mapInArrow(run, schema)
 
 
 def stored(spark: SparkSession, root: str) -> DataFrame:
     """Digests of all contents; only files' names are read."""
-    own = _listing(spark, root)
-    return spark.createDataFrame([], "digest string") if own is None else own.select(F.element_at(F.split("path", "/"), -1).alias("digest")).distinct()
+    return _objects(spark, root, None, "digest string", contents=False).distinct()
 
 
 def put(frame: DataFrame, root: str, content: str = "content") -> DataFrame:
@@ -135,15 +158,12 @@ def put(frame: DataFrame, root: str, content: str = "content") -> DataFrame:
     spark.dataSource.register(Contents)
     own = frame.where(F.col(content).isNotNull()).select(F.col(content).cast("binary").alias("content")).withColumn("digest", F.sha2("content", 256))
     have = stored(spark, root)
-    fresh = documents.put(own, have).select("digest", "content")
+    fresh = documents.put(own, have.hint("merge")).select("digest", "content")  # Spark doesn't know how many a listing in tasks gives, and would send all to the driver
     fresh.repartitionByRange("digest").sortWithinPartitions("digest").write.format(FORMAT).mode("append").save(root)
     return own.select("digest", F.octet_length("content").cast("bigint").alias("byte_size"))
 
 
 def read(spark: SparkSession, root: str, digest: str | None = None) -> DataFrame:
     """(digest, content, intact) of one content or of all; intact tells whether it still is what its name says."""
-    own = _listing(spark, root, digest or "*")
-    if own is None:
-        return spark.createDataFrame([], "digest string, content binary, intact boolean")
-    name = F.element_at(F.split("path", "/"), -1)
-    return own.select(name.alias("digest"), "content", (F.sha2("content", 256) == name).alias("intact"))
+    own = _objects(spark, root, digest, "digest string, content binary", contents=True)
+    return own.select("digest", "content", (F.sha2("content", 256) == F.col("digest")).alias("intact"))

@@ -122,3 +122,21 @@ def test_a_failed_change_leaves_the_old_version(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(buckets, "version", lambda r, seen=iter([1, 1, 1, 2]): next(seen))
     with pytest.raises(buckets.Conflict):
         buckets.upsert(keyed(spark, [(1, "b", 1)]), root)
+
+
+def test_names_of_contents_stay_in_tasks(spark, tmp_path):
+    """No listing of files on the driver, and no digests sent there for a broadcast."""
+    root = f"file://{tmp_path}"
+    contents.put(spark.range(300).select(F.col("id").cast("string").alias("content")), root)
+    for own in (contents.stored(spark, root), contents.read(spark, root)):
+        assert own.count() == 300 and own.inputFiles() == []
+    fresh = contents.documents.put(spark.range(9).selectExpr("sha2(cast(id AS string), 256) AS digest"), contents.stored(spark, root).hint("merge"))
+    assert "Broadcast" not in fresh._jdf.queryExecution().toString() and fresh.count() == 0
+
+
+def test_sorted_lines_get_more_files_as_they_grow(spark, monkeypatch):
+    from lodestone.plans import store_queries
+
+    monkeypatch.setattr(store_queries, "LINES", 500)
+    path = store_queries._sorted_lines(spark, "/root/testdata/sf0.001")
+    assert len([f for f in os.listdir(path.removeprefix("file:").replace("///", "/")) if f.endswith(".parquet")]) > 8
