@@ -4,7 +4,7 @@ Cycles are condensed first. Of the graph that is left, each node's least parent
 preorder, so that a node's descendants in the forest are an interval. Edges outside the forest hand the intervals of their
 targets to their sources and to all above, where they aren't covered already; lineage has few such edges. A node is then an
 ancestor of another, or itself, if one of its intervals holds the other's number: a join on the node. All ancestors of
-many nodes come from a join of numbers with intervals cut into blocks of powers of two, on (size, block).
+many nodes come from a join of numbers with intervals cut into blocks of powers of 16, on (size, block).
 
 Edges (source_id, target_id): the source is an input of the target. Every loop keeps its state in the shared folder; its
 rounds are as many as the graph is deep.
@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from lodestone.plans.session import cut
 
 
+#: Bits between the sizes of blocks; blocks of more bits than LARGE are sent to all tasks while they are at most FEW, as ids asked of others are.
+STEP, LARGE, FEW = 4, 8, 200_000
+
+
 @dataclass
 class Labels:
     """(id, comp) of all ids; (comp, start) of components; (comp, lo, hi) of all their intervals; how many numbers there are."""
@@ -138,33 +142,43 @@ def reaches(pairs: DataFrame, made: Labels) -> DataFrame:
     return own.join(hits.withColumn("reaches", F.lit(True)), ["a", "b"], "left").select("a", "b", F.coalesce("reaches", F.lit(False)).alias("reaches"))
 
 
-def _blocks(intervals: DataFrame, n: int) -> DataFrame:
-    """Intervals as blocks [block << size, (block + 1) << size), at most two of each size."""
-    each = intervals.withColumn("size", F.explode(F.sequence(F.lit(0), F.lit(max(n, 1).bit_length()))))
-    first = F.expr("shiftright(lo + shiftleft(1L, size) - 1, size)")
-    last = F.expr("shiftright(hi, size) - 1")
-    left = F.when((first % 2 == 1) & (first <= last), first)
-    right = F.when((last % 2 == 0) & (last >= first), last)
-    return each.select("comp", "size", F.explode(F.array_compact(F.array(left, right))).alias("block"))
+def _sizes(made: Labels) -> list[int]:
+    """Exponents of the blocks' sizes: powers of 16."""
+    return list(range(0, max(made.n, 1).bit_length() + STEP, STEP))
+
+
+def _blocks(made: Labels) -> DataFrame:
+    """(comp, size, block) of all intervals as blocks [block << size, (block + 1) << size), at most 30 of each size; none lies in a larger one of the same interval."""
+    each = made.intervals.withColumn("size", F.explode(F.array(*[F.lit(x) for x in _sizes(made)])))
+    each = each.selectExpr("comp", "size", "shiftright(lo + shiftleft(1L, size) - 1, size) AS first", "shiftright(hi, size) - 1 AS last").where("first <= last")
+    each = each.selectExpr("*", f"shiftright(first + {2**STEP - 1}, {STEP}) AS above", f"shiftright(last + 1, {STEP}) AS below")  # the larger blocks inside are above to below - 1
+    some = lambda x, y: F.when(x <= y, F.sequence(x, y)).otherwise(F.array().cast("array<bigint>"))
+    first, last, left, right = F.col("first"), F.col("last"), F.col("above") * 2**STEP - 1, F.col("below") * 2**STEP
+    return each.select("comp", "size", F.explode(F.when(F.col("above") < F.col("below"), F.concat(some(first, left), some(right, last))).otherwise(some(first, last))).alias("block"))
 
 
-def _points(comps: DataFrame, made: Labels) -> DataFrame:
-    """(comp, size, block) of the blocks that hold a component's number."""
-    each = comps.join(made.starts, "comp").withColumn("size", F.explode(F.sequence(F.lit(0), F.lit(max(made.n, 1).bit_length()))))
+def _points(comps: DataFrame, made: Labels, sizes: list[int]) -> DataFrame:
+    """(comp, size, block) of the blocks of these sizes that hold a component's number."""
+    each = comps.join(made.starts, "comp").withColumn("size", F.explode(F.array(*[F.lit(x) for x in sizes])))
     return each.select("comp", "size", F.expr("shiftright(start, size)").alias("block"))
 
 
 def ancestors(starts: DataFrame, made: Labels) -> DataFrame:
     """(origin, artifact_id) of all ancestors of all starts (artifact_id), themselves included."""
     own = starts.select(F.col("artifact_id").alias("id")).distinct().join(made.of, "id")
-    points = _points(own.select("comp").distinct(), made).withColumnRenamed("comp", "at")
-    above = points.join(_blocks(made.intervals, made.n), ["size", "block"]).select("at", "comp").distinct()
+    comps = cut(own.select("comp").distinct())
+    large = cut(_blocks(made).where(F.col("size") > LARGE))
+    large = F.broadcast(large) if large.count() <= FEW else large  # a large block holds very many numbers, that would fill one task
+    near = lambda f: f.withColumnRenamed("comp", "at")
+    small = near(_points(comps, made, [x for x in _sizes(made) if x <= LARGE])).join(_blocks(made).where(F.col("size") <= LARGE).hint("merge"), ["size", "block"])
+    great = near(_points(comps, made, [x for x in _sizes(made) if x > LARGE])).join(large, ["size", "block"])
+    above = small.union(great).select("at", "comp").distinct()
     return own.toDF("origin", "at").join(above, "at").join(made.of.withColumnRenamed("id", "artifact_id"), "comp").select("origin", "artifact_id")
 
 
 def closure(starts: DataFrame, made: Labels) -> DataFrame:
     """(artifact_id) of all that are an ancestor of any start, or one; no row for each start and ancestor."""
     own = starts.select(F.col("artifact_id").alias("id")).distinct().join(made.of, "id").select("comp").distinct()
-    held = _points(own, made).select("size", "block").distinct()
-    above = _blocks(made.intervals, made.n).join(held, ["size", "block"], "left_semi").select("comp").distinct()
+    held = _points(own, made, _sizes(made)).select("size", "block").distinct()
+    above = _blocks(made).join(held, ["size", "block"], "left_semi").select("comp").distinct()
     return made.of.join(above, "comp", "left_semi").select(F.col("id").alias("artifact_id"))

@@ -45,3 +45,21 @@ def test_same_as_walks(spark, seed, n, m):
 def test_no_edges(spark):
     made = R.labels(spark.createDataFrame([("a",)], "artifact_id string"), spark.createDataFrame([], "source_id string, target_id string"))
     assert [tuple(r) for r in R.ancestors(spark.createDataFrame([("a",)], "artifact_id string"), made).collect()] == [("a", "a")]
+
+
+@pytest.mark.parametrize("few", [0, 1_000])
+def test_blocks_of_all_sizes(spark, monkeypatch, few):
+    """A fan of 700 below a chain: intervals of several sizes; large blocks and asked ids sent to all tasks, or not."""
+    monkeypatch.setattr(R, "FEW", few)
+    monkeypatch.setattr(R, "LARGE", 4)
+    edges = [("r", "m"), ("m", "k"), ("k", "m"), ("x", "f5")] + [("k", f"f{i}") for i in range(700)] + [("f9", f"g{i}") for i in range(40)]
+    ids = sorted({i for e in edges for i in e})
+    made = R.labels(spark.createDataFrame([(i,) for i in ids], "artifact_id string"), spark.createDataFrame(edges, "source_id string, target_id string"))
+    want = walks(ids, edges)
+    starts = spark.createDataFrame([(i,) for i in ids], "artifact_id string")
+    assert sorted(map(tuple, R.ancestors(starts, made).collect())) == sorted((o, a) for o in ids for a in want[o])
+    pairs = spark.createDataFrame([(a, b) for a in ("r", "x", "f9", "no") for b in ids], "a string, b string")
+    assert {(r.a, r.b): r.reaches for r in R.reaches(pairs, made).collect()} == {(a, b): a in want[b] for a in ("r", "x", "f9", "no") for b in ids}
+    for pin in ("f5", "g7", "r"):
+        assert {r.artifact_id for r in R.closure(spark.createDataFrame([(pin,)], "artifact_id string"), made).collect()} == want[pin]
+    assert R._blocks(made).groupBy("comp", "size").count().agg({"count": "max"}).first()[0] > 2
