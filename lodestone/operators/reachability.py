@@ -137,9 +137,10 @@ def labels(nodes: DataFrame, edges: DataFrame) -> Labels:
 def reaches(pairs: DataFrame, made: Labels) -> DataFrame:
     """Distinct (a, b) with `reaches`: whether a is an ancestor of b, or b itself; ids that the labels don't know reach nothing."""
     own = pairs.select("a", "b").distinct()
-    ends = own.join(made.of.toDF("a", "ca"), "a").join(made.of.toDF("b", "cb"), "b").join(made.starts.toDF("cb", "start"), "cb")
-    hits = ends.join(made.intervals.withColumnRenamed("comp", "ca"), "ca").where("lo <= start AND start < hi").select("a", "b").distinct()
-    return own.join(hits.withColumn("reaches", F.lit(True)), ["a", "b"], "left").select("a", "b", F.coalesce("reaches", F.lit(False)).alias("reaches"))
+    held = cut(own.select("a").distinct().join(made.of.toDF("a", "ca"), "a").join(made.intervals.toDF("ca", "lo", "hi"), "ca").select("a", "lo", "hi"))
+    held = F.broadcast(held) if held.count() <= FEW else held  # few ids asked of many fill few tasks otherwise
+    ends = own.join(made.of.toDF("b", "cb").join(made.starts.toDF("cb", "start"), "cb").select("b", "start"), "b", "left")
+    return ends.join(held, "a", "left").groupBy("a", "b").agg(F.coalesce(F.bool_or(F.expr("lo <= start AND start < hi")), F.lit(False)).alias("reaches"))
 
 
 def _sizes(made: Labels) -> list[int]:
