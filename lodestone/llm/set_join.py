@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,10 +38,12 @@ from lodestone.llm.words import U64, WORD_BASE, Words, buffers, give_back, lean,
 SHINGLE, PERCENT = 3, 90
 #: Sets, and shingles in all of them, of a chunk of a family that is joined within itself; of one that others' members are compared with; and of a chunk of a prefix list.
 CHUNK_SETS, CHUNK_SHINGLES = 100, 500_000
-ACROSS_SETS, ACROSS_SHINGLES = 250, 1_000_000
+ACROSS_SETS, ACROSS_SHINGLES = 1000, 1_000_000
 LIST_SETS, LIST_SHINGLES = 1000, 2_000_000
 #: Copies of its members that a family may send to its chunks, as a multiple of their number; beyond that they meet by prefix lists.
 SPREAD = 16
+#: Members of other sets that are looked up at a time, and cells and holders that are counted at a time.
+SOUGHT, OVERLAPS = 1 << 18, 1 << 21
 #: Rows that a task remembers, to pass on equal ones once.
 SEEN = 200_000
 _NODE = "id long, part long, n int, data binary"
@@ -253,29 +255,83 @@ def _cluster(percent: int):
     return run
 
 
+def overlaps(sets: list[np.ndarray], others: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """The overlaps of others with all sets, a block of rows at a time, with the index of its first row.
+
+    Members that at least an eighth of the sets hold are counted by a product of matrices (of at most eight cells for each
+    member of a set), the rest by their holders; no pair is intersected.
+    """
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    token = np.concatenate(sets)
+    order = np.argsort(token, kind="stable")
+    holder = np.repeat(np.arange(len(sets)), size)[order]
+    own, first, many = np.unique(token[order], return_index=True, return_counts=True)
+    common = (8 * many > len(sets)) & (len(sets) >= 16)
+    common &= common.sum() < 1 << 24  # counts stay exact
+    slot = np.cumsum(common) - 1
+    held = np.zeros((int(common.sum()), len(sets)), dtype=np.float32)
+    cell = common[np.repeat(np.arange(len(own)), many)]
+    held[np.repeat(slot, many)[cell], holder[cell]] = 1
+    length = np.array([len(o) for o in others], dtype=np.int64)
+    ends = np.cumsum(length)
+    lo = 0
+    while lo < len(others):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - length[lo] + SOUGHT, side="right")))
+        sought = np.concatenate(others[lo:hi])
+        place = np.minimum(np.searchsorted(own, sought), len(own) - 1)
+        hit = own[place] == sought
+        row, place = np.repeat(np.arange(hi - lo), length[lo:hi])[hit], place[hit]
+        cost = np.cumsum(np.bincount(row, np.where(common[place], 0, many[place]), hi - lo) + len(sets) + len(held))
+        at = 0
+        while at < hi - lo:
+            end = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + OVERLAPS, side="right")))
+            here = slice(*np.searchsorted(row, [at, end]))
+            r, x = row[here] - at, place[here]
+            dense = common[x]
+            has = np.zeros((end - at, len(held)), dtype=np.float32)
+            has[r[dense], slot[x[dense]]] = 1
+            r, begin, n = r[~dense], first[x[~dense]], many[x[~dense]]
+            listed = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            rare = np.bincount(np.repeat(r * len(sets), n) + holder[listed], minlength=(end - at) * len(sets)).reshape(end - at, len(sets))
+            yield lo + at, rare + (has @ held).astype(np.int64)
+            at = end
+        lo = hi
+
+
 def _across(percent: int):
-    """Links of a chunk's sets with sets of other chunks, except where both are in one component already."""
+    """Links of a chunk's sets with sets of other chunks, one for each other set and component, except where both are in one component already.
+
+    With a column `token`, sets meet only under the same one: members are told apart by it, so that many short lists are
+    one piece of work.
+    """
+
+    def salted(table: pa.Table) -> list[np.ndarray]:
+        tokens = table["token"].to_numpy().view(U64) if "token" in table.column_names else np.zeros(len(table), dtype=U64)
+        return [np.frombuffer(d, dtype="<u8").astype(U64) ^ t for d, t in zip(table["data"].to_pylist(), mix(tokens), strict=True)]
 
     @lean
     def run(_, chunk, others):
-        found = []
+        found = [np.zeros((0, 2), dtype=np.int64)]
         if len(chunk) and len(others):
-            ids, sets = _sets(chunk)
-            part = dict(zip(chunk["id"].to_pylist(), chunk["component"].to_pylist(), strict=True))
+            tokens = chunk["token"].to_pylist() if "token" in chunk.column_names else [0] * len(chunk)
+            held: dict[tuple[int, int], np.ndarray] = {}  # rows with one id are one set
+            for key, own in zip(zip(tokens, chunk["id"].to_pylist(), strict=True), salted(chunk), strict=True):
+                held[key] = np.union1d(held[key], own) if key in held else own
+            of = dict(zip(chunk["id"].to_pylist(), chunk["component"].to_pylist(), strict=True))
+            ids = np.array([i for _, i in held], dtype=np.int64)
+            part = np.array([of[i] for _, i in held], dtype=np.int64)
+            sets, own = list(held.values()), salted(others)
             size = np.array([len(s) for s in sets])
-            lead = sets[int(np.argmax(size))]
-            overlap = lambda a, b: len(np.intersect1d(a, b, assume_unique=True))
-            known = np.array([overlap(s, lead) for s in sets])
-            for i, data, component in zip(others["id"].to_pylist(), others["data"].to_pylist(), others["component"].to_pylist(), strict=True):
-                own = np.frombuffer(data, dtype="<u8").astype(U64)
-                n, with_lead = len(own), overlap(own, lead)
-                bound = np.minimum(known, with_lead) + np.minimum(size - known, n - with_lead)
-                done = {component}
-                for j in np.flatnonzero(bound >= least_overlap(size, n, percent)).tolist():
-                    if part[ids[j]] not in done and overlap(own, sets[j]) >= least_overlap(len(sets[j]), n, percent):
-                        found.append((i, ids[j]))
-                        done.add(part[ids[j]])
-        return pa.table([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+            other, component = (others[c].to_numpy() for c in ("id", "component"))
+            for at, both in overlaps(sets, own):
+                n = np.array([len(o) for o in own[at : at + len(both)]])
+                i, j = np.nonzero(both)
+                linked = (both[i, j] >= least_overlap(size[j], n[i], percent)) & (part[j] != component[at + i])
+                i, j = i[linked], j[linked]
+                _, one = np.unique(np.stack([i, part[j]], axis=1), axis=0, return_index=True)
+                found.append(np.stack([other[at + i[one]], ids[j[one]]], axis=1))
+        got = np.concatenate(found)
+        return pa.table([pa.array(got[:, 0], pa.int64()), pa.array(got[:, 1], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -293,8 +349,30 @@ def _by_chunks(known: DataFrame, percent: int) -> DataFrame:
     return chunks.groupBy("family", "chunk").cogroup(minor.groupBy("family", "chunk")).applyInArrow(_across(percent), "a long, b long")
 
 
-def _by_lists(known: DataFrame, percent: int) -> DataFrame:
-    """Links of members of different components that share a prefix shingle; a list that holds one component only is passed over, a long one is split."""
+def _rarest(known: DataFrame, percent: int) -> DataFrame:
+    """(token, id, component, n) of sets in any order: the rarest members of each, as many as its prefix has and are in more than one set; tokens stand for a member and a family."""
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.array([len(d.as_buffer()) // 8 for d in batch.column(4)], dtype=np.int64)
+            data = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype="<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(data)] + [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n)) for c in range(4)], names=["token", "family", "id", "component", "n"])
+
+    spread = known.select("family", "id", "component", F.col("n").cast("long").alias("n"), "data").mapInArrow(members, "token long, family long, id long, component long, n long")
+    spread = spread.select(F.xxhash64("family", "token").alias("token"), "id", "component", "n")
+    many = spread.groupBy("token").agg(F.count("*").alias("many"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("many > 1")
+    place = spread.join(many, "token").withColumn("place", F.dense_rank().over(Window.partitionBy("id").orderBy("many", "token")))
+    place = place.withColumn("shared", F.max("place").over(Window.partitionBy("id")))
+    prefix = F.col("shared") + 1 - F.ceil(percent * F.col("n") / 100)  # members that only this set has come first
+    return place.where((F.col("place") <= prefix) & (F.col("lo") != F.col("hi"))).select("token", "id", "component", "n").distinct()
+
+
+def _by_lists(known: DataFrame, percent: int, ordered: bool) -> DataFrame:
+    """Links of members of different components that share a prefix shingle; a list that holds one component only is passed over, a long one is split.
+
+    Where sets aren't ordered by how many hold their shingles, they are ordered so first: lists of shingles of any order
+    hold what many sets share.
+    """
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,21 +382,25 @@ def _by_lists(known: DataFrame, percent: int) -> DataFrame:
             spread = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), many))  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.int64)), spread(0), spread(1), pa.array(np.repeat(n, many))], names=["token", "id", "component", "n"])
 
-    tokens = known.select("id", "component", "n", "data").mapInArrow(prefixes, "token long, id long, component long, n long")
+    tokens = cut(_rarest(known, percent)) if not ordered else known.select("id", "component", "n", "data").mapInArrow(prefixes, "token long, id long, component long, n long")
     alive = tokens.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
     members = cut(tokens.join(alive, "token"))
     each = members.groupBy("token", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    lists = each.groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.greatest(F.ceil(F.sum("c") / LIST_SETS), F.ceil(F.sum("s") / LIST_SHINGLES)).alias("chunks"))
-    own = members.join(lists, "token").select("token", "id", "component", "main", "chunks")
+    lists = each.groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    lists = lists.withColumn("chunks", F.greatest(F.ceil(F.col("c") / LIST_SETS), F.ceil(F.col("s") / LIST_SHINGLES)))
+    short = lists.where("chunks = 1").agg(F.greatest(F.ceil(F.sum("c") / LIST_SETS), F.ceil(F.sum("s") / LIST_SHINGLES)).alias("n")).first()["n"] or 1
+    own = members.join(lists, "token").select("token", "id", "component", "main", "chunks", F.when(F.col("chunks") > 1, F.col("token")).otherwise(F.pmod("token", F.lit(short))).alias("list"))
     data = known.select("id", "data")
-    chunks = own.select("token", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"), "id", "component").join(data, "id").select("token", "chunk", "id", "data", "component")
-    minor = own.where("component != main").select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "id", "component").join(data, "id").select("token", "chunk", "id", "data", "component")
+    place = lambda c: F.when(F.col("chunks") > 1, c).otherwise(F.lit(-1)).cast("long").alias("chunk")  # noqa: E731  short lists are put together
+    chunks = own.select("list", place(F.pmod(F.xxhash64("id"), F.col("chunks"))), "token", "id", "component").join(data, "id").select("list", "chunk", "token", "id", "data", "component")
+    minor = own.where("component != main").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("list", place(F.col("at")), "token", "id", "component")
+    minor = minor.join(data, "id").select("list", "chunk", "token", "id", "data", "component")
     minor = minor.toDF(*minor.columns)  # columns of its own, for both sides come from one frame
-    return chunks.groupBy("token", "chunk").cogroup(minor.groupBy("token", "chunk")).applyInArrow(_across(percent), "a long, b long")
+    return chunks.groupBy("list", "chunk").cogroup(minor.groupBy("list", "chunk")).applyInArrow(_across(percent), "a long, b long")
 
 
-def _links(sets: DataFrame, families: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within families, enough to connect all that links connect."""
+def _links(sets: DataFrame, families: DataFrame, percent: int, ordered: bool = True) -> DataFrame:
+    """Links (a, b) within families, enough to connect all that links connect; ordered says whether sets are, rarest first."""
     level = _chunked(sets.join(families.withColumnRenamed("component", "family"), "id"))
     schema = "family long, chunk long, a long, b long"
     cluster = lambda x: cut(x.select("family", "chunk", "id", "data").repartition("family", "chunk").groupBy("family", "chunk").applyInArrow(_cluster(percent), schema))
@@ -346,7 +428,7 @@ def _links(sets: DataFrame, families: DataFrame, percent: int) -> DataFrame:
     known = cut(known.join(main, "family").withColumn("few", (F.col("members") - F.col("largest")) * F.col("across") <= SPREAD * F.col("members")))
     few, many = known.where("few"), known.where("NOT few")
     links = links.union(_by_chunks(few, percent))
-    return links if many.isEmpty() else links.union(_by_lists(many, percent))
+    return links if many.isEmpty() else links.union(_by_lists(many, percent, ordered))
 
 
 def join(frame: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT, part_bytes: int = X.PART_BYTES, group_words: int = GROUP_WORDS) -> DataFrame:

@@ -247,7 +247,7 @@ def near_duplicates(frame: DataFrame, key: str = "doc_id", text: str = "text", w
     members = classes.select("id", F.col("rep.salt").alias("salt")).join(families.select("id"), "id", "left_semi").distinct()
     texts = _dealt(own, "key", "text", 1).withColumn("salt", F.xxhash64("key", "text")).withColumn("id", F.col("key").cast("long"))
     sets = cut(texts.join(members, ["id", "salt"]).select("id", "text").mapInArrow(_full_sets(width), "id long, n int, data binary"))
-    linked = components(_links(sets, families, percent))
+    linked = components(_links(sets, families, percent, ordered=False))
     labels = classes.join(linked, "id", "left").select("n", "x", "y", F.coalesce("component", "id").alias("component"))
     reached = described.drop("registers").join(labels, ["n", "x", "y"], "left")
     component = F.coalesce("component", F.col("key").cast("long"))

@@ -54,3 +54,29 @@ def test_every_pair_at_the_threshold_is_a_candidate():
         x, y = S.sketch(a, np.array([180])), S.sketch(b, np.array([180]))
         assert (x == y).reshape(S.BANDS, S.ROWS).all(axis=1).any()
         assert S.likeliest(x, y, np.array([180]), np.array([180]))[0] >= S.least_estimate(80)
+
+
+@pytest.mark.parametrize(("sought", "most"), [(1 << 18, 1 << 21), (50, 200)])
+def test_overlaps_of_blocks(monkeypatch, sought, most):
+    monkeypatch.setattr(set_join, "SOUGHT", sought)
+    monkeypatch.setattr(set_join, "OVERLAPS", most)
+    rnd = np.random.default_rng(6)
+    some = lambda n: [np.unique(np.minimum(rnd.integers(0, 300, 40), rnd.integers(5, 300, 40))).astype(np.uint64) for _ in range(n)]
+    for n in (3, 40):
+        sets, others = some(n), some(25)
+        got = np.concatenate([rows for _, rows in set_join.overlaps(sets, others)])
+        assert (got == [[len(np.intersect1d(a, b)) for a in sets] for b in others]).all()
+
+
+def test_what_many_sets_share_makes_no_lists(spark):
+    """200 sets of 60 members, 20 of them in all, and two pairs that share 55: in lists by size of hash all would meet."""
+    rnd = np.random.default_rng(7)
+    hashes = lambda n: rnd.integers(1 << 40, 1 << 62, n, dtype=np.int64)
+    sets = [np.concatenate((np.arange(20), hashes(40))) for _ in range(200)]
+    sets += [np.concatenate((s[:55], hashes(5))) for s in sets[:2]]
+    rows = [(0, i, 60, np.sort(s).astype("<u8").tobytes(), i) for i, s in enumerate(sets)]
+    known = spark.createDataFrame(rows, "family long, id long, n int, data binary, component long")
+    got = set_join._rarest(known, 80).collect()
+    assert {r.id for r in got} == {0, 1, 200, 201} and max(sum(r.token == t for r in got) for t in {r.token for r in got}) == 2
+    links = {tuple(sorted(r)) for r in set_join._by_lists(known, 80, ordered=False).collect()}
+    assert links == {(0, 200), (1, 201)}
