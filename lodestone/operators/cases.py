@@ -10,24 +10,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.plans.session import cut
+from lodestone.plans.session import cut, stored
 from lodestone.sources import variants
 
 #: Entries that a folder's hash is made of at once, on average, before its names are dealt to 16 times as many buckets.
 FAN = 256
+#: Rows of a side that is sent to all tasks, at most.
+SENT = 100_000
 
 
 def _folded(entry: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n"), 256)
 
 
+def _parent() -> Column:
+    return F.substring("path", F.lit(1), F.length("path") - F.length(_name()) - 1)
+
+
+def _name() -> Column:
+    return F.substring_index("path", "/", -1)
+
+
+def _sent(frame: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(frame) if n <= SENT else frame
+
+
 def _folders(entries: DataFrame, deepest: int | None) -> DataFrame:
     """(case_id, folder, hash) of entries (case_id, folder, name, hash), by way of buckets of that many digits at most."""
-    many = entries.groupBy("case_id", "folder").agg(F.count("*").alias("n"))
-    digits = F.greatest(F.lit(0), F.ceil(F.log(F.col("n") / FAN) / F.log(F.lit(16.0)))).cast("int")
-    many = many.select("case_id", "folder", (digits if deepest is None else F.least(digits, F.lit(deepest))).alias("digits"))
-    deepest = many.agg(F.max("digits")).first()[0] or 0
-    own = entries.join(many, ["case_id", "folder"]).withColumn("key", F.sha2("name", 256))
+    digits = F.ceil(F.log(F.col("n") / FAN) / F.log(F.lit(16.0))).cast("int")
+    many = entries.groupBy("case_id", "folder").agg(F.count("*").alias("n")).where(F.col("n") > FAN)
+    many = cut(many.select("case_id", "folder", (digits if deepest is None else F.least(digits, F.lit(deepest))).alias("digits")))
+    got = many.agg(F.max("digits").alias("digits"), F.count("*").alias("n")).first()
+    deepest = got["digits"] or 0
+    own = entries.join(_sent(many, got["n"]), ["case_id", "folder"], "left") if deepest else entries.withColumn("digits", F.lit(0))
+    own = own.withColumn("digits", F.coalesce("digits", F.lit(0))).withColumn("key", F.sha2("name", 256))
     for d in range(deepest, 0, -1):
         bucket = F.substring("key", 1, d)
         line = F.concat("name", F.lit(":"), "hash")
@@ -36,30 +52,56 @@ def _folders(entries: DataFrame, deepest: int | None) -> DataFrame:
     return own.groupBy("case_id", "folder").agg(_folded(F.concat("name", F.lit(":"), "hash")).alias("hash"))
 
 
-def tree_hashes(files: DataFrame, deepest: int | None = None) -> DataFrame:
+def leaf_folders(files: DataFrame, *same: str) -> DataFrame:
+    """(case_id, path, hash) of the folders of files (case_id, path, digest) that hold nothing but these; each is folded at once, however large.
+
+    `same` names columns whose values all files of a folder share: where a join on them has put such rows together,
+    nothing is shuffled for the folders. Repeated rows, nulls and a path with two digests are as in tree_hashes.
+    """
+    own = files.select("case_id", _parent().alias("path"), _name().alias("name"), F.col("digest").alias("hash"), *same).dropna(subset=["case_id", "path", "name", "hash"])
+    held = own.groupBy("case_id", "path", *same).agg(F.collect_set(F.struct("name", "hash")).alias("held"))
+    lines = F.array_sort(F.transform("held", lambda x: F.concat(x["name"], F.lit(":"), x["hash"])))
+    twice = F.size(F.array_distinct(F.transform("held", lambda x: x["name"]))) < F.size("held")
+    out = stored(held.select("case_id", "path", F.sha2(F.array_join(lines, "\n"), 256).alias("hash"), twice.alias("twice")), "folders")
+    if not out.where("twice").isEmpty():
+        raise ValueError("a path of a case has more than one digest")
+    return out.drop("twice")
+
+
+def tree_hashes(files: DataFrame, deepest: int | None = None, done: DataFrame | None = None) -> DataFrame:
     """(case_id, path, kind, hash) of all files and folders; a case's own folder has the path "".
 
     Buckets have as many digits as a folder needs, or `deepest` at most: then groups grow with folders of more than
-    FAN * 16 ** deepest entries.
+    FAN * 16 ** deepest entries. Folders (case_id, path, hash) that were folded already may be given as `done`, with all
+    that they hold; their files are not among `files` nor in the result.
 
     Repeated rows of one file count once; a path with two digests raises an error, as does one that is both file and folder.
     Rows with a null count for nothing. Rounds are as many as paths are deep.
     """
+    depth = F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/")))
     own = files.select("case_id", "path", F.col("digest").alias("hash")).dropna().distinct()
-    own = cut(own.withColumn("depth", F.size(F.split("path", "/"))))
+    own = cut(own.withColumn("depth", depth))
     twice = own.groupBy("case_id", "path").agg(F.count("*").alias("n")).where("n > 1")
     if not twice.isEmpty():
         raise ValueError("a path of a case has more than one digest")
-    parent = F.when(F.instr("path", "/") > 0, F.regexp_extract("path", "^(.*)/", 1)).otherwise("")
-    name = F.regexp_extract("path", "([^/]*)$", 1)
     out = own.select("case_id", "path", F.lit("file").alias("kind"), "hash")
+    got = own.agg(F.max("depth").alias("depth"), F.count("*").alias("n")).first()
+    last, paths = got["depth"] or 0, _sent(own.select("case_id", "path"), got["n"])
+    if done is not None:
+        done = done.withColumn("depth", depth)
+        last = max(last, done.agg(F.max("depth")).first()[0] or 0)
+        below = own.withColumn("path", _parent()).select("case_id", "path").distinct()
+        if not done.join(_sent(below.union(own.select("case_id", "path")), got["n"]), ["case_id", "path"], "left_semi").isEmpty():
+            raise ValueError("a folder that is done is a file or holds another file")
+        out = out.union(done.select("case_id", "path", F.lit("folder"), "hash"))
     folders = None
-    for d in range(own.agg(F.max("depth")).first()[0] or 0, 0, -1):
+    for d in range(last, 0, -1):
         level = own.where(F.col("depth") == d).select("case_id", "path", "hash")
+        level = level if done is None else level.union(done.where(F.col("depth") == d).select("case_id", "path", "hash"))
         level = level if folders is None else level.union(folders)
-        if folders is not None and not folders.join(own, ["case_id", "path"], "left_semi").isEmpty():
+        if folders is not None and not folders.join(paths, ["case_id", "path"], "left_semi").isEmpty():
             raise ValueError("a path of a case is a file and a folder")
-        folders = cut(_folders(level.select("case_id", parent.alias("folder"), name.alias("name"), "hash"), deepest).select("case_id", F.col("folder").alias("path"), "hash"))
+        folders = cut(_folders(level.select("case_id", _parent().alias("folder"), _name().alias("name"), "hash"), deepest).select("case_id", F.col("folder").alias("path"), "hash"))
         out = out.union(folders.select("case_id", "path", F.lit("folder"), "hash"))
     return out
 

@@ -43,6 +43,19 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def stored(frame: DataFrame, what: str) -> DataFrame:
+    """As cut, for frames of very many rows: into compressed files, and what was shuffled for them is deleted at once."""
+    spark = frame.sparkSession
+    folder, key = new_folder(spark, what), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        frame.write.option("compression", "zstd").parquet(folder)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return spark.read.parquet(folder)
+
+
 def dealt(frame: DataFrame, key: str, rows: int) -> DataFrame:
     """The same rows in tasks of about that many, by the key's hash: a small file of rows that make much work would fill one task. The frame is counted first."""
     return frame.repartition(max(1, -(-frame.count() // rows)), key)

@@ -128,3 +128,35 @@ def test_large_folders_are_as_in_sql(spark, tmp_path):
         got = catalog.queries()[name](spark, str(tmp_path))
         want = duck.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.oracle_sql()[name]}) WHERE {ends or 'true'}").fetchall()
         assert sorted(map(tuple, (got.where(ends) if ends else got).collect())) == sorted(want) and want
+
+
+def test_folders_that_are_done(spark, cases, monkeypatch):
+    """Folders of files only are folded apart, in one stage where files of a folder lie together; the tree is the same."""
+    own = {c: {f"top/d{len(p) % 3}/{i}": h for i, (p, h) in enumerate(files.items())} for c, files in cases.items()}
+    tops = {c: {"oracle_case.json": sha(c)} for c in own} | {"D": {"only": sha("d")}}
+    lines = frame(spark, own)
+    done = C.leaf_folders(lines.union(lines).union(spark.createDataFrame([("A", None, "1"), (None, "x/y", "2")], lines.schema)))
+    got = hashes(C.tree_hashes(frame(spark, tops), done=done).select("case_id", "path", "hash"))
+    want = {(c, p): h for c in tops for p, h in plain(own.get(c, {}) | tops[c], C.FAN).items()}
+    assert got == {k: h for k, h in want.items() if k[1] not in own.get(k[0], {})}
+    with pytest.raises(ValueError):
+        C.leaf_folders(frame(spark, {"A": {"x/y": "1"}}).union(frame(spark, {"A": {"x/y": "2"}})))
+    for path in ("top/d0", "top/d0/more"):
+        with pytest.raises(ValueError):
+            C.tree_hashes(frame(spark, {"B": {path: "1"}}), done=done)
+
+
+def test_lines_are_shuffled_once(spark, tmp_path, monkeypatch):
+    """Files of an order are folded in the stage that joins them; what is shuffled for that is deleted."""
+    from lodestone.plans import case_queries as Q
+
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = []
+        monkeypatch.setattr(C, "stored", lambda f, what: plans.append(f._jdf.queryExecution().executedPlan().toString()) or f)
+        C.leaf_folders(Q._line_files(Q._lines(spark, "/root/testdata/sf0.001")), "l_orderkey")
+        plans.append(Q.files(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString())
+        assert [p.count("Exchange hashpartitioning") for p in plans] == [4, 4]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
